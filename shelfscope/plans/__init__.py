@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["prices"]
+FAMILIES = ["prices", "offers", "catalogue"]
 
 
 def load_all() -> None:
