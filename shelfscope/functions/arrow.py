@@ -6,12 +6,13 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 # ASCII, kana, kanji and common Japanese punctuation are their own NFKC form.
 _STABLE = r"^[ -~\n\tぁ-ゖァ-ヺ・ー一-鿿、。「」【】]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

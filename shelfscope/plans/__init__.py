@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["prices", "offers", "catalogue"]
+FAMILIES = ["prices", "offers", "catalogue", "text"]
 
 
 def load_all() -> None:
