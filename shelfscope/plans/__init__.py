@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["prices", "offers", "catalogue", "text"]
+FAMILIES = ["prices", "offers", "catalogue", "text", "matching"]
 
 
 def load_all() -> None:

@@ -129,7 +129,9 @@ def name_cleanup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("name_conflicts", READ + """
-SELECT orig_idx, concat(name, ' ', CAST(amount + 5 AS VARCHAR), unit) AS fixed_name FROM read WHERE form = 1""")
+SELECT orig_idx, concat(name, ' ', CAST(amount + 5 AS VARCHAR), unit) AS fixed_name FROM read WHERE form = 1
+UNION ALL SELECT orig_idx, concat(name, ' ', a, unit, CAST(amount + 5 AS VARCHAR), unit) FROM read
+WHERE form = 3 AND unit = '枚' AND amount * packs <> amount + 5""")
 def name_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     df = named(spark, sf).withColumn(
         "stored", F.concat((F.col("amount") + 5).cast("string"), F.col("unit")))
