@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["prices", "offers", "catalogue", "text", "matching"]
+FAMILIES = ["prices", "offers", "catalogue", "text", "matching", "jobs"]
 
 
 def load_all() -> None:
