@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
-def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """``file, line_no, raw`` of all matching files below a folder.
 
     Files stay splittable.  Rows come in order inside a split, so a line number
