@@ -17,8 +17,8 @@ _HALF = "".join(map(chr, [*range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x30, 0
 _FULL = "".join(chr(ord(c) + 0xFEE0) for c in _HALF)
 
 _BRACKET = rf"[（(]({NUMBER}){WS}*({CAPACITY_UNITS})[）)]"
-_BASE = rf"^({NUMBER}){WS}*({BASE_UNITS})(.*)"
-_PACK = rf"^([\d,]+){WS}*({PACK_UNITS})(.*)"
+_BASE = rf"(?s)^({NUMBER}){WS}*({BASE_UNITS})([^\n]*).*$"
+_PACK = rf"(?s)^([\d,]+){WS}*({PACK_UNITS})([^\n]*).*$"
 _FACTOR = rf"[{TIMES}]{WS}*([\d,]+)"
 _NOTE = r"[（(][^）)]*[）)]"
 _MEASURE = rf"(?i)\d[\d,]*{WS}*({MEASURE_UNITS})"
@@ -27,7 +27,17 @@ SIZE_TYPE = "struct<total:double,unit:string>"
 
 def half_width(text: Column) -> Column:
     """Full-width letters and digits (only those) to half width."""
-    return F.translate(text, _FULL, _HALF)
+    return F.when(text.rlike("[ａ-ｚＡ-Ｚ０-９]"), F.translate(text, _FULL, _HALF)).otherwise(text)
+
+
+def cut_at(text: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern that covers the whole text as an array, NULL without a match.
+
+    One regex pass for all groups.
+    """
+    marks = "\u0001".join(f"${g}" for g in range(1, groups + 1))
+    parts = F.split(F.regexp_replace(text, pattern, marks), "\u0001")
+    return F.when(F.size(parts) == groups, parts)
 
 
 def number(text: Column) -> Column:
@@ -52,24 +62,26 @@ def with_total(df: DataFrame, text: str | Column, out: str) -> DataFrame:
     Staged, so that each regex runs once per row: Catalyst does not merge a
     projection whose result is used several times.
     """
-    t, b, u, f, p, pu, pf, n = (f"_{out}_{c}" for c in ("t", "b", "u", "f", "p", "pu", "pf", "n"))
+    t, n, head, b, f = (f"_{out}_{c}" for c in ("t", "n", "head", "b", "f"))
     source = F.col(text) if isinstance(text, str) else text
-    outside = F.regexp_replace(F.regexp_extract(t, _BASE, 3), _NOTE, "")
+    parts = F.col(head)
+    outside = F.regexp_replace(parts[2], _NOTE, "")
+    # notes in brackets are no factors of an amount, but they are of a pack count
+    rest = F.when(parts[1].rlike(f"^({PACK_UNITS})$"), parts[2]).otherwise(outside)
+    bracketed = F.col(t).rlike("[（(]")
     return (
         df.withColumn(t, half_width(source))
         .withColumns({
-            n: number(F.regexp_extract(t, _BRACKET, 1)),
-            b: number(F.regexp_extract(t, _BASE, 1)),
-            u: F.regexp_extract(t, _BASE, 2),
-            f: product_of(F.regexp_extract_all(outside, F.lit(_FACTOR), 1)),
-            p: number(F.regexp_extract(t, _PACK, 1)),
-            pu: F.regexp_extract(t, _PACK, 2),
-            pf: product_of(F.regexp_extract_all(F.regexp_extract(t, _PACK, 3), F.lit(_FACTOR), 1)),
+            n: F.when(bracketed, number(F.regexp_extract(t, _BRACKET, 1))),
+            head: F.coalesce(cut_at(F.col(t), _BASE, 3), cut_at(F.col(t), _PACK, 3)),
+        })
+        .withColumns({
+            b: number(parts[0]),
+            f: F.when(rest.rlike(f"[{TIMES}]"), product_of(F.regexp_extract_all(rest, F.lit(_FACTOR), 1))),
         })
         .withColumn(out, F.when(F.col(n) > 0, size(F.col(n), F.regexp_extract(t, _BRACKET, 2)))
-                    .when(F.col(b) > 0, size(F.col(b) * _above_one(f), F.col(u)))
-                    .when(F.col(p) > 0, size(F.col(p) * _above_one(pf), F.col(pu))))
-        .drop(t, b, u, f, p, pu, pf, n)
+                    .when(F.col(b) > 0, size(F.col(b) * _above_one(f), parts[1])))
+        .drop(t, n, head, b, f)
     )
 
 
@@ -267,11 +279,9 @@ def is_count_choice(name: Column) -> Column:
 def is_multi_measure(name: Column) -> Column:
     """Two or more distinct amounts of one measured unit in a name."""
     hits = F.regexp_extract_all(half_width(name), F.lit(_MEASURE), 0)
-    amounts = F.transform(
-        hits,
-        lambda h: normalized(size(
-            number(F.regexp_extract(h, r"^([\d,]+)", 1)), F.regexp_extract(h, _MEASURE, 1))),
-    )
+    amounts = F.transform(hits, lambda h: size(
+        number(F.regexp_extract(h, r"^([\d,]+)", 1)), F.regexp_extract(h, _MEASURE, 1)))
+    amounts = F.transform(amounts, normalized)
     distinct = F.array_distinct(F.filter(amounts, lambda a: a.isNotNull()))
     units = F.transform(distinct, lambda a: a["unit"])
     return F.size(units) > F.size(F.array_distinct(units))

@@ -78,8 +78,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores; text parsing costs far more than the move.
+
+    A large input has splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _derive(spark: SparkSession, sf_dir: str, source: str, sql: str) -> DataFrame:
     df = table(spark, sf_dir, source)
+    if source in ("part", "documents"):
+        df = spread(df)
     return spark.sql(sql.replace(f"FROM {source}", "FROM {src}"), src=df)
 
 
