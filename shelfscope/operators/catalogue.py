@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -119,7 +120,11 @@ def category_articles(articles: DataFrame, categories: DataFrame) -> DataFrame:
     rows = published(articles).select("category_id", kind.alias("kind"), "article_id", "published_at")
     rows = row_numbers(
         rows, ["category_id", "kind"], [F.col("published_at").desc(), F.col("article_id")], "place")
-    return categories.select("category_id", "name").join(rows, "category_id", "left")
+    names = categories.select("category_id", "name")
+    # an inner join can split a hot category; empty ones are added apart
+    used = rows.select("category_id").distinct()
+    empty = names.join(used, "category_id", "left_anti")
+    return names.join(rows, "category_id").unionByName(empty, allowMissingColumns=True)
 
 
 def popular_articles(articles: DataFrame, ids: DataFrame, n: int = 6) -> DataFrame:
@@ -202,12 +207,13 @@ def related_articles(articles: DataFrame, n: int = 3) -> DataFrame:
         .withColumn("tier", F.lit(2))
     )
     # the newest few of all: own category and tag hits may take up to 2n of them
-    latest = base.drop("tags").orderBy(*newest).limit(3 * n).collect()
+    latest = base.select("article_id", F.col("category_id").alias("_cat"), "published_at").orderBy(
+        *newest).limit(3 * n)
+    listed = F.from_json(
+        F.lit(json.dumps([json.loads(r) for r in latest.toJSON().collect()])),
+        "array<struct<article_id:string,_cat:string,published_at:date>>")
     fallback = needy.select(
-        F.col("article_id").alias("of"), "category_id",
-        F.inline(F.array(*[
-            F.struct(F.lit(r["article_id"]).alias("article_id"), F.lit(r["category_id"]).alias("_cat"),
-                     F.lit(r["published_at"]).alias("published_at")) for r in latest])),
+        F.col("article_id").alias("of"), "category_id", F.inline(listed)
     ).filter(F.col("category_id") != F.col("_cat")).select(
         "of", "article_id", "published_at", F.lit(3).alias("tier"), F.lit(0).alias("overlap"))
 

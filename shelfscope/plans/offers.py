@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import capacity as C
 from ..operators import offers as O
 from ..operators import ranking as R
+from ..session import cut_lineage
 from . import fixtures as fx
 from .prices import NUMBERS, fixed_text_sql
 from .registry import query
@@ -171,6 +172,8 @@ def comparison_sort(spark: SparkSession, sf: str) -> DataFrame:
     table = C.with_total(table, "capacity", "size")
     table = C.with_unit_price(table, "lowest_price", "size", "ppu").select(
         "article_id", "orig_idx", "rating", "lowest_price", F.col("ppu.label").alias("unit_price_label"))
+    # sorted three ways below
+    table = cut_lineage(table)
     table = R.comparison_sort(table, "price", False, "by_price")
     table = R.comparison_sort(table, "unit_price", True, "by_unit_price")
     table = R.comparison_sort(table, "rating", True, "by_rating")

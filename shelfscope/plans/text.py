@@ -264,7 +264,7 @@ def item_code(spark: SparkSession, sf: str) -> DataFrame:
 @query("code_identity", fx.with_ctes("products") + """
 SELECT orig_idx, concat('code', CAST(orig_idx AS VARCHAR)) AS code FROM products WHERE orig_idx % 3 = 0""")
 def code_identity(spark: SparkSession, sf: str) -> DataFrame:
-    """Equi-join of two marketplaces on the item code; all-digit codes do not identify."""
+    """Products whose item code another marketplace lists; all-digit codes do not identify."""
     n = F.col("orig_idx").cast("string")
     code = F.when(F.col("orig_idx") % 3 == 0, F.concat(F.lit("Code"), n)).otherwise(n)
     rows = fx.products(spark, sf).withColumn("c", code)
@@ -273,7 +273,7 @@ def code_identity(spark: SparkSession, sf: str) -> DataFrame:
     target = F.concat(F.lit("https://store.shopping.yahoo.co.jp/s/"), F.upper("c"), F.lit(".html"))
     right = rows.select(U.offer_item_code(F.concat(
         F.lit("https://ck.example/r?vc_url="), F.url_encode(target))).alias("code"))
-    return left.filter(~F.col("code").rlike(r"^\d+$")).join(right, "code").select("orig_idx", "code")
+    return left.filter(~F.col("code").rlike(r"^\d+$")).join(right, "code", "left_semi").select("orig_idx", "code")
 
 
 @query("url_multiplier", fx.with_ctes("products") + """

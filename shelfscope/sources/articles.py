@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 OFFER = ("struct<provider:string,label:string,asin:string,price:bigint,rating:double,reviewCount:bigint,"
          "url:string,imageUrl:string,available:boolean,updatedAt:string,matchStatus:string,matchNotes:string>")
@@ -28,7 +27,9 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@F.pandas_udf(StringType())
+def _yaml_to_json(front: pd.Series) -> pd.Series:
+    """YAML blocks to JSON text; NULL for a broken block."""
     import json
 
     import yaml
@@ -41,32 +42,27 @@ def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()
     }
 
-    def convert(text: str | None) -> str | None:
-        if text is None:
-            return None
+    def convert(text: str) -> str | None:
         try:
             return json.dumps(yaml.load(text, Loader) or {}, ensure_ascii=False)
         except (yaml.YAMLError, TypeError, ValueError):
             return None
 
-    for batch in batches:
-        yield batch.assign(front=batch["front"].map(convert, na_action="ignore"))
+    return front.map(convert, na_action="ignore")
 
 
 def parse_front_matter(files: DataFrame, schema: str = ARTICLE) -> tuple[DataFrame, DataFrame]:
     """Records (``path, data, body, first_line``) and the rejected paths.
 
-    Only the YAML block goes through Python; the record takes a fixed type.
+    Only the YAML block goes to Python; the record takes a fixed type.
     """
     split = files.select(
         "path", F.when(F.col("content").rlike(_FRONT), F.regexp_extract("content", _FRONT, 1)).alias("front"),
         F.regexp_extract("content", _FRONT, 2).alias("body"))
-    lines = F.size(F.split("front", "\n")) + 2
-    # lines before the body proper; the body starts with the rest of the closing line
-    split = split.withColumn("first_line", lines - 1)
-    parsed = split.mapInPandas(
-        _yaml_to_json, "path string, front string, body string, first_line int")
-    rows = parsed.select("path", "body", "first_line", F.from_json("front", schema).alias("data"))
+    rows = split.select(
+        # the body starts with the rest of the closing line
+        "path", "body", (F.size(F.split("front", "\n")) + 1).alias("first_line"),
+        F.from_json(_yaml_to_json("front"), schema).alias("data"))
     return rows.filter("data IS NOT NULL"), rows.filter("data IS NULL").select("path")
 
 

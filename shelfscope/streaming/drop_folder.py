@@ -18,12 +18,13 @@ from ..sources.jsonl import read_lines, tolerant
 Judge = Callable[[DataFrame], dict[str, DataFrame]]
 
 
-def decision_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of decision files as they arrive."""
+def decision_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+    """Paths of decision files as they arrive, a bounded number per batch."""
     return (
         spark.readStream.format("binaryFile").schema(
             "path string, modificationTime timestamp, length long, content binary")
-        .option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(folder)
+        .option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", max_files).load(folder)
         # the content column is never read
         .select("path")
     )
@@ -39,7 +40,7 @@ def run_decisions(
     reads the current catalogue itself, so that each batch sees the latest.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        # one small file name per arriving file, not file contents
+        # file names only, at most maxFilesPerTrigger of them
         paths = [r["path"] for r in batch.toLocalIterator()]
         if not paths:
             return
