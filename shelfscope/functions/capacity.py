@@ -53,6 +53,16 @@ def product_of(factors: Column) -> Column:
     return F.aggregate(factors, F.lit(1.0), lambda acc, f: acc * number(f))
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    A later filter or join key on them stays above the generator; pushed
+    through the stages it would repeat their regexes once per use.
+    """
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline_outer(one))
+
+
 def with_total(df: DataFrame, text: str | Column, out: str) -> DataFrame:
     """Add the total amount of a pack-size text as ``STRUCT<total, unit>``.
 
@@ -69,7 +79,7 @@ def with_total(df: DataFrame, text: str | Column, out: str) -> DataFrame:
     # notes in brackets are no factors of an amount, but they are of a pack count
     rest = F.when(parts[1].rlike(f"^({PACK_UNITS})$"), parts[2]).otherwise(outside)
     bracketed = F.col(t).rlike("[（(]")
-    return (
+    staged = (
         df.withColumn(t, half_width(source))
         .withColumns({
             n: F.when(bracketed, number(F.regexp_extract(t, _BRACKET, 1))),
@@ -79,10 +89,10 @@ def with_total(df: DataFrame, text: str | Column, out: str) -> DataFrame:
             b: number(parts[0]),
             f: F.when(rest.rlike(f"[{TIMES}]"), product_of(F.regexp_extract_all(rest, F.lit(_FACTOR), 1))),
         })
-        .withColumn(out, F.when(F.col(n) > 0, size(F.col(n), F.regexp_extract(t, _BRACKET, 2)))
-                    .when(F.col(b) > 0, size(F.col(b) * _above_one(f), parts[1])))
-        .drop(t, n, head, b, f)
     )
+    total = F.when(F.col(n) > 0, size(F.col(n), F.regexp_extract(t, _BRACKET, 2))).when(
+        F.col(b) > 0, size(F.col(b) * _above_one(f), parts[1]))
+    return settled(staged, {out: total}).drop(t, n, head, b, f)
 
 
 def _above_one(factor: str) -> Column:
@@ -189,14 +199,12 @@ def with_unit_price(
     source = F.col(price) if isinstance(price, str) else price
     sized = F.col(total) if target_unit is None else sized_for(F.col(total), target_unit)
     value, unit = F.col(v), F.col(z)["unit"]
-    return (
-        df.withColumns({p: source, z: sized})
-        .withColumn(v, F.when(F.col(p) > 0, F.col(p).cast("double") / F.col(z)["total"]))
-        .withColumn(out, F.when(value.isNotNull(), F.struct(
-            value.alias("value"), unit.alias("unit"),
-            F.concat(F.lit("約"), price_text(value), F.lit("円/"), unit).alias("label"))))
-        .drop(p, z, v)
-    )
+    staged = df.withColumns({p: source, z: sized}).withColumn(
+        v, F.when(F.col(p) > 0, F.col(p).cast("double") / F.col(z)["total"]))
+    label = F.concat(F.lit("約"), price_text(value), F.lit("円/"), unit)
+    price_per_unit = F.when(value.isNotNull(), F.struct(
+        value.alias("value"), unit.alias("unit"), label.alias("label")))
+    return settled(staged, {out: price_per_unit}).drop(p, z, v)
 
 
 # -- kinds of pack size ------------------------------------------------------

@@ -17,7 +17,7 @@ def article_of(file: Column) -> Column:
 def match_fields(lines: DataFrame) -> DataFrame:
     """Typed fields of match decisions; wrong types count as absent."""
     b = F.col("body")
-    return lines.withColumns({
+    return C.settled(lines, {
         "article_file": text_at(b, "$.articleFile"),
         "rank": F.try_variant_get(b, "$.rank", "double").cast("bigint"),
         "current_name": F.coalesce(text_at(b, "$.currentName"), text_at(b, "$.current.name"),
@@ -82,7 +82,7 @@ def route_decisions(
         F.when(is_delete & (c("_same") > 1), "review").when(is_delete & (c("_n") <= 1), "review")
         .when(is_delete, "delete").when(c("action") == "review", "review").otherwise("replace")
     )
-    df = df.withColumn("_failed", failed).withColumn(
+    df = C.settled(df, {"_failed": failed}).withColumn(
         "outcome", F.when(c("is_empty"), "noop").when(pending, "pending")
         .when(c("_failed").isNotNull(), "failed").otherwise("processed")
     ).withColumn("effect", F.when(c("outcome") == "processed", effect)).withColumns({
@@ -140,7 +140,7 @@ def apply_decisions(products: DataFrame, routed: DataFrame) -> tuple[DataFrame,
 def size_fields(lines: DataFrame) -> DataFrame:
     b = F.col("body")
     rank = F.try_variant_get(b, "$.rank", "double")
-    return lines.withColumns({
+    return C.settled(lines, {
         "article_id": article_of(text_at(b, "$.articleFile")),
         "decision": text_at(b, "$.decision"),
         "rank": F.when(rank > 0, rank).cast("bigint"),
@@ -209,7 +209,7 @@ def stale_guard(lines: DataFrame, products: DataFrame) -> DataFrame:
         .when(~U.same_item(c("b_affiliate"), c("p_url")) | ~U.same_item(c("b_item"), c("p_url")),
               "basis URL points to a different item")
     )
-    return df.withColumn("_f", failed).withColumn("_r", review).withColumns({
+    return C.settled(df, {"_f": failed, "_r": review}).withColumns({
         "outcome": F.when(c("is_empty"), "noop").when(c("_f").isNotNull(), "failed")
         .when(c("_r").isNotNull(), "review").otherwise("processed"),
         "message": F.when(~c("is_empty"), F.coalesce("_f", "_r", F.lit("ok"))),

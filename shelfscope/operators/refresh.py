@@ -83,7 +83,8 @@ def decide_fields(df: DataFrame, target_unit: Column | None = None, auto_apply_s
         )),
     ))
     frozen = c("rule") == "frozen"
-    df = df.withColumn("review_reasons", F.when(~frozen, reasons).otherwise(F.array().cast("array<string>")))
+    df = N.settled(df, {
+        "review_reasons": F.when(~frozen, reasons).otherwise(F.array().cast("array<string>"))})
     df = df.withColumn("needs_review", F.size("review_reasons") > 0).withColumns({
         "new_capacity": F.when(yes if auto_apply_size else ~c("needs_review"), c("_proposed")),
         "blocked": c("_proposed").isNotNull() & c("needs_review") & F.lit(not auto_apply_size),
