@@ -262,6 +262,11 @@ def search_products(products: DataFrame, articles: DataFrame, categories: DataFr
                     "category_name", "features"))
 
 
+def product_hits(rows: DataFrame, query: str, n: int = 30) -> DataFrame:
+    """The first ``n`` products that match, in article and list order."""
+    return matching(rows, query).orderBy("article_id", "orig_idx").limit(n)
+
+
 def matching(rows: DataFrame, query: str) -> DataFrame:
     """Rows whose keyword text holds the query; an empty query finds nothing."""
     wanted = query.strip().lower()

@@ -68,9 +68,10 @@ def file_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("article_feed", fx.with_ctes("articles") + """
-SELECT title, published_at, concat('https://site.example/articles/', article_id, '/') AS link FROM articles WHERE NOT draft""")
+SELECT title, CAST(published_at AS VARCHAR) AS published_at, concat('https://site.example/articles/', article_id, '/') AS link FROM articles WHERE NOT draft""")
 def article_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return K.article_feed(fx.articles(spark, sf), "https://site.example")
+    feed = K.article_feed(fx.articles(spark, sf), "https://site.example")
+    return feed.withColumn("published_at", F.col("published_at").cast("string"))
 
 
 @query("article_category", fx.with_ctes("articles", "categories") + """
@@ -82,11 +83,12 @@ def article_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("category_articles", fx.with_ctes("articles", "categories") + """,
 rows AS (SELECT category_id, CASE WHEN article_type = 'review' THEN 'review' ELSE 'comparison' END AS kind, article_id, published_at FROM articles WHERE NOT draft)
-SELECT c.category_id, c.name, kind, article_id, published_at,
+SELECT c.category_id, c.name, kind, article_id, CAST(published_at AS VARCHAR) AS published_at,
   CASE WHEN article_id IS NOT NULL THEN row_number() OVER (PARTITION BY c.category_id, kind ORDER BY published_at DESC, article_id) END AS place
 FROM categories c LEFT JOIN rows USING (category_id)""")
 def category_articles(spark: SparkSession, sf: str) -> DataFrame:
-    return K.category_articles(fx.articles(spark, sf), fx.categories(spark, sf))
+    rows = K.category_articles(fx.articles(spark, sf), fx.categories(spark, sf))
+    return rows.withColumn("published_at", F.col("published_at").cast("string"))
 
 
 @query("popular_articles", fx.with_ctes("articles") + """
@@ -100,11 +102,11 @@ def popular_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("newest_articles", fx.with_ctes("articles") + """
-SELECT article_id, coalesce(updated_at, published_at) AS shown_at FROM articles WHERE NOT draft
+SELECT article_id, CAST(coalesce(updated_at, published_at) AS VARCHAR) AS shown_at FROM articles WHERE NOT draft
 ORDER BY coalesce(updated_at, published_at) DESC, article_id LIMIT 6""")
 def newest_articles(spark: SparkSession, sf: str) -> DataFrame:
     return K.newest_articles(fx.articles(spark, sf), 6, by_update=True).select(
-        "article_id", F.coalesce("updated_at", "published_at").alias("shown_at"))
+        "article_id", F.coalesce("updated_at", "published_at").cast("string").alias("shown_at"))
 
 
 @query("category_order", fx.with_ctes("categories") + """

@@ -10,6 +10,7 @@ from ..functions.arrow import nfkc_lower
 from ..operators import decisions as D
 from ..operators import exports as X
 from ..operators import offers as O
+from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import refresh as P
 from ..operators import reports as A
@@ -23,7 +24,7 @@ from .matching import HITS, hits
 from .offers import VISIBLE_SQL, visible
 from .prices import NUMBERS, fixed_text_sql
 from .registry import query
-from .text import _NAMED, NAMED_SQL
+from .text import _NAMED, NAMED_SQL, PAIRS_SQL, faq_articles
 
 # -- Markdown articles -------------------------------------------------------
 
@@ -44,13 +45,13 @@ _GOOD = "WHERE doc_id % 23 <> 5 AND doc_id % 29 <> 7"
 
 
 @query("src_articles", fx.with_ctes("articles") + f"""
-SELECT article_id, title, category_id, article_type, draft, published_at, length(d.text) + 1 AS body_length
+SELECT article_id, title, category_id, article_type, draft, CAST(published_at AS VARCHAR) AS published_at, length(d.text) + 1 AS body_length
 FROM articles a JOIN documents d USING (doc_id) {_GOOD}""")
 def src_articles(spark: SparkSession, sf: str) -> DataFrame:
     records, _ = S.parse_front_matter(markdown(spark, sf))
     return S.article_table(records).select(
-        "article_id", "title", "category_id", "article_type", "draft", "published_at",
-        F.length("body").alias("body_length"))
+        "article_id", "title", "category_id", "article_type", "draft",
+        F.col("published_at").cast("string").alias("published_at"), F.length("body").alias("body_length"))
 
 
 @query("src_rejects", fx.with_ctes("articles") + """
@@ -169,7 +170,7 @@ def apply_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("deletion_history", fx.with_ctes("products", more=SHELF + "," + ROUTED) + """
-SELECT DATE '2024-03-10' AS deleted_at, article_id, 'ai-review' AS reason, rank, name, base_url AS direct_url, replace(name, ' ', '') AS identity_key
+SELECT '2024-03-10' AS deleted_at, article_id, 'ai-review' AS reason, rank, name, base_url AS direct_url, replace(name, ' ', '') AS identity_key
 FROM routed WHERE outcome = 'processed' AND would = 'delete'""")
 def deletion_history(spark: SparkSession, sf: str) -> DataFrame:
     _, deleted = D.apply_decisions(shelf_ranked(spark, sf), routed(spark, sf))
@@ -179,7 +180,7 @@ def deletion_history(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "deleted")
     W.append_deletions(rows, path)
     return spark.read.parquet(path).select(
-        "deleted_at", "article_id", "reason", "rank", "name", "direct_url", "identity_key")
+        F.col("deleted_at").cast("string").alias("deleted_at"), "article_id", "reason", "rank", "name", "direct_url", "identity_key")
 
 
 @query("file_finalization", fx.with_ctes("products", more=SHELF + "," + ROUTED) + """
@@ -330,7 +331,7 @@ def append_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("apply_snapshot", fx.with_ctes("products") + """
 SELECT orig_idx, CASE WHEN orig_idx % 4 = 0 THEN price + 10 ELSE price END AS price,
-  CASE WHEN orig_idx % 4 = 0 THEN DATE '2024-03-10' ELSE DATE '2024-03-01' END AS updated_at FROM products""")
+  CASE WHEN orig_idx % 4 = 0 THEN '2024-03-10' ELSE '2024-03-01' END AS updated_at FROM products""")
 def apply_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """Two runs; the second writes its changed rows only."""
     path = scratch_path(spark, "snapshot")
@@ -340,7 +341,8 @@ def apply_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     second = first.withColumn("price", F.when(F.col("orig_idx") % 4 == 0, F.col("price") + 10).otherwise(F.col("price")))
     changed = W.changed_rows(first, second, ["orig_idx"], ["price"], F.lit("2024-03-10").cast("date"))
     W.append_snapshot(changed, path, "2024-03-10")
-    return W.latest_snapshot(spark.read.parquet(path), ["orig_idx"]).select("orig_idx", "price", "updated_at")
+    return W.latest_snapshot(spark.read.parquet(path), ["orig_idx"]).select(
+        "orig_idx", "price", F.col("updated_at").cast("string").alias("updated_at"))
 
 
 # -- exports -----------------------------------------------------------------
@@ -449,6 +451,30 @@ def product_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.get_json_object("document", "$.name").alias("name"))
 
 
+@query("article_documents", fx.with_ctes("articles", "categories") + """
+SELECT article_id, title AS headline, CAST(coalesce(updated_at, published_at) AS VARCHAR) AS modified,
+  concat('https://site.example/category/', slug) AS crumb FROM articles a JOIN categories c USING (category_id)""")
+def article_documents(spark: SparkSession, sf: str) -> DataFrame:
+    heads = fx.articles(spark, sf).join(
+        fx.categories(spark, sf).select("category_id", F.col("name").alias("category_name"), "slug"), "category_id")
+    docs = X.article_documents(heads.withColumn("description", F.col("source")), "https://site.example")
+    return docs.select(
+        "article_id", F.get_json_object("article", "$.headline").alias("headline"),
+        F.get_json_object("article", "$.dateModified").alias("modified"),
+        F.get_json_object("breadcrumb", "$.itemListElement[1].item").alias("crumb"))
+
+
+@query("faq_documents", PAIRS_SQL + """
+SELECT doc, n AS questions, first AS first_answer FROM per JOIN (SELECT doc, arg_min(a, pos) AS first FROM kept GROUP BY doc) USING (doc)""")
+def faq_documents(spark: SparkSession, sf: str) -> DataFrame:
+    rows = Q.with_faqs(faq_articles(spark, sf), "faqs").withColumn("article_id", F.col("doc"))
+    docs = X.faq_documents(rows)
+    return docs.select(
+        F.col("article_id").alias("doc"),
+        F.size(F.from_json(F.get_json_object("document", "$.mainEntity"), "array<string>")).alias("questions"),
+        F.get_json_object("document", "$.mainEntity[0].acceptedAnswer.text").alias("first_answer"))
+
+
 @query("latest_reports")
 def latest_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Newest report files of a folder of exports written by day."""
@@ -496,14 +522,15 @@ def search_analytics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("traffic_report", f"WITH {EVENTS}" + """
-SELECT day, device, count(*) FILTER (WHERE event_type = 'view') AS screenPageViews, count(DISTINCT user_id) AS activeUsers,
+SELECT CAST(day AS VARCHAR) AS day, device, count(*) FILTER (WHERE event_type = 'view') AS screenPageViews, count(DISTINCT user_id) AS activeUsers,
   count(DISTINCT (user_id, day)) AS sessions, count(DISTINCT (user_id, day)) FILTER (WHERE event_type IN ('click', 'purchase')) AS engagedSessions,
   count(*) AS eventCount, CAST(sum(cents) AS DOUBLE) / 100 / count(DISTINCT (user_id, day)) AS averageSessionDuration
-FROM e WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' GROUP BY ALL""")
+FROM e WHERE e.day BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' GROUP BY e.day, device""")
 def traffic_report(spark: SparkSession, sf: str) -> DataFrame:
-    return A.traffic_report(
+    report = A.traffic_report(
         events(spark, sf), "30daysAgo", "yesterday", "2024-01-31", ["day", "device"],
         ["screenPageViews", "activeUsers", "sessions", "engagedSessions", "eventCount", "averageSessionDuration"])
+    return report.withColumn("day", F.col("day").cast("string"))
 
 
 @query("zero_runs", """

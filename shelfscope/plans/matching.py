@@ -105,10 +105,9 @@ def replacement_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("match_queue", fx.with_ctes("products", more=HITS) + """
-SELECT orig_idx, row_number() OVER (PARTITION BY orig_idx ORDER BY pos) AS place, hit_name AS name FROM hits WHERE NOT donated AND orig_idx % 5 = 0""")
+SELECT orig_idx, row_number() OVER (PARTITION BY orig_idx ORDER BY pos) AS place, hit_name AS name FROM hits WHERE NOT donated""")
 def match_queue(spark: SparkSession, sf: str) -> DataFrame:
-    failed = fx.products(spark, sf).filter("orig_idx % 5 = 0")
-    return M.match_queue(failed, hits(spark, sf), "orig_idx").select("orig_idx", "place", "name")
+    return M.match_queue(fx.products(spark, sf), hits(spark, sf), "orig_idx").select("orig_idx", "place", "name")
 
 
 # -- candidates: four per product in two searches ----------------------------

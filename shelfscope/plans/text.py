@@ -121,9 +121,9 @@ def capacity_equal(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("name_cleanup", READ + """
 SELECT orig_idx, trim(CASE WHEN found IS NULL THEN item_name WHEN contains(item_name, found) THEN
-  regexp_replace(replace(item_name, found, ''), '  +', ' ') ELSE item_name END) AS clean FROM read WHERE form IN (0, 1, 6, 8)""")
+  regexp_replace(replace(item_name, found, ''), '  +', ' ') ELSE item_name END) AS clean FROM read""")
 def name_cleanup(spark: SparkSession, sf: str) -> DataFrame:
-    df = N.with_name_capacity(named(spark, sf).filter("form IN (0, 1, 6, 8)"), "item_name", "found")
+    df = N.with_name_capacity(named(spark, sf), "item_name", "found")
     return df.select("orig_idx", N.name_without_capacity(
         F.col("item_name"), F.col("found"), F.lit(None).cast("string")).alias("clean"))
 
@@ -137,7 +137,7 @@ def name_conflicts(spark: SparkSession, sf: str) -> DataFrame:
         "stored", F.concat((F.col("amount") + 5).cast("string"), F.col("unit")))
     df = N.with_name_capacity(df, "item_name", "found")
     df = C.with_total(C.with_total(df, "found", "inside"), "stored", "total")
-    return df.filter("form IN (1, 3, 8)").withColumn("fixed_name", N.fixed_name(
+    return df.withColumn("fixed_name", N.fixed_name(
         F.col("item_name"), F.col("found"), F.col("inside"), F.col("stored"), F.col("total"))
     ).filter("fixed_name IS NOT NULL").select("orig_idx", "fixed_name")
 

@@ -253,3 +253,18 @@ def test_last_product_stays(spark):
     # the higher rank goes first, the last one stays
     assert [r.name for r in deleted.collect()] == ["n1"] and [r.name for r in state.collect()] == ["n0"]
     assert all(r.outcome == "processed" for r in routed.collect())
+
+
+def test_partitioning_does_not_change_results(spark):
+    import __spark_entry__ as entry
+
+    from .conftest import SF
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for name in ("price_ranking", "dedupe_first", "offer_display_order", "same_product_ngram"):
+        seen = []
+        for parts in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.append(sorted(map(str, entry.queries()[name](spark, SF).collect())))
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        assert seen[0] == seen[1], name
