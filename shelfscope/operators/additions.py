@@ -9,7 +9,7 @@ from ..functions import names as N
 from ..functions import urls as U
 from ..functions.arrow import nfkc_lower
 from ..functions.text import unique_texts
-from ..session import cut_lineage
+from ..session import checked_broadcast, cut_lineage
 from .matching import same_product
 from .numbering import first_per, top_per
 
@@ -30,7 +30,7 @@ def rules_for(articles: DataFrame, rules: DataFrame) -> DataFrame:
     units, min_score, require_include.  A rule with a ``keyword_regex`` fits
     only articles whose keyword matches.
     """
-    r = rules.withColumnRenamed("category_id", "_cat")
+    r = checked_broadcast(rules.withColumnRenamed("category_id", "_cat"))
     fits = (articles["category_id"] == r["_cat"]) & (
         r["keyword_regex"].isNull() | F.regexp_like(articles["keyword"], r["keyword_regex"]))
     picked = first_per(articles.join(r, fits, "left"), ["article_id"], [F.col("priority").asc_nulls_last()])

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import checked_broadcast
 from .numbering import first_per, row_numbers, top_per
 
 # Articles with more tags than this go the direct way in ``related_articles``.
@@ -106,7 +107,7 @@ def file_filter(df: DataFrame, column: str, wanted: str | None) -> DataFrame:
 
 
 def article_category(articles: DataFrame, categories: DataFrame) -> DataFrame:
-    names = categories.select("category_id", F.col("name").alias("_name"))
+    names = checked_broadcast(categories.select("category_id", F.col("name").alias("_name")))
     return articles.join(names, "category_id", "left").withColumn(
         "category_name", F.coalesce("_name", "category_id")).drop("_name")
 

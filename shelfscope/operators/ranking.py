@@ -55,13 +55,13 @@ def rank_by_unit_price(df: DataFrame) -> DataFrame:
     number of units is bounded by the unit vocabulary, rows are not.
     """
     known = F.col("unit_value").isNotNull()
-    # read several times below: parse the sizes once
-    rows = cut_lineage(df.withColumn("_unit", F.when(known, F.col("unit"))))
-    rows = row_numbers(
-        rows, ["article_id", "_unit"],
+    # parsed once, numbered once: the rows are read several times below
+    parsed = cut_lineage(df.withColumn("_unit", F.when(known, F.col("unit"))))
+    rows = cut_lineage(row_numbers(
+        parsed, ["article_id", "_unit"],
         [F.col("unit_value").asc_nulls_last(), F.col("price").asc_nulls_last(), F.col("orig_idx")],
         "_place",
-    )
+    ))
     groups = rows.groupBy("article_id", "_unit").agg(
         F.count("*").alias("_size"),
         F.min(F.when(F.col("_place") == 1, F.col("price"))).alias("_price"),
@@ -100,8 +100,9 @@ def rank_by_unit_price(df: DataFrame) -> DataFrame:
         named.groupBy("article_id").agg(F.sum("_size").alias("_before"))
         .select("article_id", F.lit(None).cast("string").alias("_unit"), "_before")
     )
-    starts = offsets.unionByName(unknown).select(
-        F.col("article_id").alias("_article"), F.col("_unit").alias("_name"), "_before")
+    # one row per article and unit, written so that its size is known to the join
+    starts = cut_lineage(offsets.unionByName(unknown).select(
+        F.col("article_id").alias("_article"), F.col("_unit").alias("_name"), "_before"))
     return (
         rows.join(starts, (rows["article_id"] == starts["_article"])
                   & rows["_unit"].eqNullSafe(starts["_name"]), "left")

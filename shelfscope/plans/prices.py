@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import capacity as C
 from ..operators import ranking as R
+from ..session import checked_broadcast
 from . import fixtures as fx
 from .registry import query
 
@@ -63,7 +64,7 @@ def policy(spark: SparkSession) -> DataFrame:
 
 def priced(spark: SparkSession, sf: str) -> DataFrame:
     """Products with the unit price in the unit of their category's policy."""
-    df = sized(spark, sf).join(policy(spark), "category_id", "left")
+    df = sized(spark, sf).join(checked_broadcast(policy(spark)), "category_id", "left")
     return C.with_unit_price(df, "price", "size", "ppu", F.col("target_unit"))
 
 

@@ -5,18 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# A dimension up to this many rows is sent to all tasks.
+MAX_BROADCAST_ROWS = 50_000
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options the jobs rely on.
 
-    No operator hints a broadcast.  Spark broadcasts a join side only below
-    ``autoBroadcastJoinThreshold`` (statistics at planning time, real sizes at
-    run time through AQE); above it the sort-merge join with skew splitting is
-    the other way.
+    A join side is broadcast only behind a check of its size: Spark's own
+    threshold, or ``checked_broadcast`` for dimensions.  Above it the sort-merge
+    join with skew splitting is the other way.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -43,6 +44,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast if the table has at most ``max_rows`` rows, else leave it to Spark.
+
+    For dimensions without file statistics, whose size Spark learns only after
+    it has shuffled the large side as well.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written rows.
 
