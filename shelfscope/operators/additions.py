@@ -176,3 +176,9 @@ def exclusion_stats(judged: DataFrame) -> DataFrame:
 def exclusion_samples(judged: DataFrame, n: int = 20) -> DataFrame:
     return top_per(judged.filter("reason IS NOT NULL"), ["article_id"],
                    [F.col("query_idx"), F.col("pos"), F.col("row_id")], n, "place")
+
+
+def refill(articles: DataFrame, deletions: DataFrame, day: Column) -> DataFrame:
+    """Articles that lost a product on a day, for another addition report."""
+    lost = deletions.filter(F.col("deleted_at") == day).select("article_id").distinct()
+    return articles.join(lost, "article_id", "left_semi")
