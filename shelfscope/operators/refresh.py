@@ -171,10 +171,11 @@ def write_review_report(lines: DataFrame, path: str) -> None:
 
 
 def review_inputs(items: DataFrame) -> DataFrame:
-    """Review records with the current product, the basis and the rule's reading."""
+    """Review records with the product as it stays, the basis and the rule's reading."""
     return items.select(
         "article_id", "orig_idx",
-        F.struct("name", "capacity", "price", "base_url", "price_per_unit").alias("current"),
+        F.struct("name", F.col("after_capacity").alias("capacity"), F.col("after_price").alias("price"),
+                 "base_url", F.col("after_price_per_unit").alias("price_per_unit")).alias("current"),
         F.struct(F.col("item_price").alias("apiPrice"), F.col("item_url").alias("itemUrl")).alias("basis"),
         F.struct(F.col("found").alias("extractedCapacity"), "confidence",
                  F.col("review_reasons").alias("reasons")).alias("ruleAnalysis"),

@@ -578,6 +578,15 @@ def capacity_review(spark: SparkSession, sf: str) -> DataFrame:
     return decided(spark, sf).select("orig_idx", "needs_review", special.alias("special"))
 
 
+@query("review_inputs", fx.with_ctes("products", more=REFRESH) + """
+SELECT orig_idx, capacity, price + 4 AS price, price + 4 AS api_price, found FROM w
+WHERE NOT frozen AND (low OR form = 8 OR (found IS NOT NULL AND (t1 <> t2 OR u1 <> u2)))""")
+def review_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    items = P.review_inputs(decided(spark, sf).filter("needs_review"))
+    return items.select("orig_idx", "current.capacity", "current.price", F.col("basis.apiPrice").alias("api_price"),
+                        F.col("ruleAnalysis.extractedCapacity").alias("found"))
+
+
 @query("review_report", fx.with_ctes("products", more=REFRESH) + """
 SELECT count(*) AS items, count(*) FILTER (WHERE found IS NULL) AS without_size FROM w
 WHERE NOT frozen AND (low OR form = 8 OR (found IS NOT NULL AND (t1 <> t2 OR u1 <> u2)))""")
