@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfscope.session import cut_lineage, scratch_path
 
-__all__ = ["Bounded", "components", "crc_fold", "cut_lineage", "present", "scratch_path", "table"]
+__all__ = ["Bounded", "components", "crc_fold", "cut_lineage", "hash_sample", "most_frequent", "present", "scratch_path",
+           "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,36 @@ class Bounded(dict):
         return value
 
 
+def most_frequent(counts: DataFrame, limit: int) -> list:
+    """At most ``limit`` rows of the largest ``n``, largest first, ties by the other columns.
+
+    Rows per eighth of a power of two of ``n`` are counted first, at most a few hundred numbers, and the
+    lowest step is chosen that keeps the rows within ``limit``; only those rows travel to the driver.
+    """
+    step = F.floor(8 * F.log2("n"))
+    floor, kept = None, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect():
+        if kept + r.rows > limit:
+            break
+        floor, kept = r.step, kept + r.rows
+    if floor is None:
+        return []
+    rows = counts.where(step >= floor).collect()
+    return sorted(rows, key=lambda r: (-r.n, *[str(v) for k, v in r.asDict().items() if k != "n"]))
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows at most, by hash of ``key``; all of them if there are no more.
+
+    The share is set from the count, with a tenth to spare, so that no more than that is ever sorted or sent.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    share = int(1.1 * rows / total * (1 << 30))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share).orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large and small stars.
 
