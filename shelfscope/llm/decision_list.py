@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import crc_fold, present
+from .common import crc_fold, hash_sample, present
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -166,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     ``labels``: ``doc_id``, ``quality`` (0 bad, 1 good; null is no label).
     """
-    chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(
-        F.min("quality").alias("_good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_good"))
+    chosen = hash_sample(known, "doc_id", sample_rows)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     part = crc_fold("doc_id", 3).alias("part")
     data = with_counts(rows, carry=["_good"]).select(

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Bounded, present
+from .common import Bounded, hash_sample, present
 
 # Labelled rows that word weights and the score are learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -187,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     used, those of the smallest hash of the id.  Without any toxic row all scores are the base rate's.
     """
     counts = trigram_counts(docs if corpus is None else corpus, text)
-    chosen = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(
-        F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = hash_sample(known, "doc_id", sample_rows)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     weights = _word_weights(rows, Scorer({}, log_model(counts, []), [0.0] * 4), 3)
     scorer = Scorer(weights, log_model(counts, sorted(w for w in weights if w.isalpha())), [0.0, 0.0, 0.0, 0.0])

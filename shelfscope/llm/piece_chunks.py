@@ -16,7 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Bounded, cut_lineage, present
+from .common import Bounded, cut_lineage, most_frequent, present
 
 # Distinct marked words that go to all tasks; the rest is segmented where it stands.
 HEAD_WORDS = 1 << 17
@@ -120,8 +120,7 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
     head: list[tuple[str, list[int]]] = []
     if split:
         words = cut_lineage(chunk_table(docs, model, text))
-        top = words.orderBy(F.desc("n"), "chunk").limit(head_words)
-        head = [(r.chunk, r.ids) for r in top.select("chunk", "ids").toLocalIterator()]
+        head = [(r.chunk, r.ids) for r in most_frequent(words, head_words)]
     shared = docs.sparkSession.sparkContext.broadcast(head)
     eos = _processor(model).eos_id()
     schema = f"{doc_id} long, n_tokens long, ids_sha256 string, decoded_sha256 string"
