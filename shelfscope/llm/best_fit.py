@@ -216,6 +216,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, doc_id
     end id alone; very long texts give many pieces, all of ``capacity`` but the first; repeated rows are
     packed each; null ids are kept; other columns are dropped; no documents give no rows.
     """
-    pieces = tokenize(docs, tokenizer, capacity, doc_id, text)
+    pieces = cut_lineage(tokenize(docs, tokenizer, capacity, doc_id, text))
     return pack(pieces, capacity, [doc_id, "piece", "ids_crc32"]).select(
         doc_id, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
