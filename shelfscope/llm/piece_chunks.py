@@ -16,10 +16,11 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Bounded, cut_lineage, most_frequent, present
+from .common import cut_lineage, most_frequent, present
 
 # Distinct marked words that go to all tasks; the rest is segmented where it stands.
 HEAD_WORDS = 1 << 17
+_GROUP = 1000  # texts whose rare words are segmented together
 _MARK = "▁"
 _CHUNK = re.compile(r" +[^ ]*")
 
@@ -80,26 +81,27 @@ class _Texts:
     def __init__(self, model: str, head: list[tuple[str, list[int]]]):
         self.sp = _processor(model)
         self.model = model
-        self.memo = Bounded(self._one, limit=len(head) + 150_000)
-        for word, ids in head:
-            self.memo[word] = self._row(ids)
+        self.table = self._rows([w for w, _ in head], [ids for _, ids in head])
 
-    def _row(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " " + self.sp.decode(ids)
+    def _rows(self, words: list[str], ids: list[list[int]]) -> dict[str, tuple[int, str, str]]:
+        decoded = self.sp.decode(ids) if ids else []
+        return {w: (len(i), " ".join(map(str, i)), " " + d) for w, i, d in zip(words, ids, decoded)}
 
-    def _one(self, word: str) -> tuple[int, str, str]:
-        return self._row(segment(self.model, [word])[0])
+    def whole(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        ids = [self.sp.encode(t, num_threads=1) for t in texts]
+        return [(len(i), " ".join(map(str, i)), self.sp.decode(i)) for i in ids]
 
-    def whole(self, text: str) -> tuple[int, str, str]:
-        ids = self.sp.encode(text, num_threads=1)
-        return len(ids), " ".join(map(str, ids)), self.sp.decode(ids)
-
-    def joined(self, text: str) -> tuple[int, str, str]:
-        rows = list(map(self.memo.__getitem__, chunks(text)))
-        if not rows:
-            return 0, "", ""
-        n, ids, decoded = zip(*rows)
-        return sum(n), " ".join(ids), "".join(decoded)[1:]
+    def joined(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Each text's words looked up and put together; words outside the table are segmented once for all texts."""
+        split = [chunks(t) for t in texts]
+        rare = list(set().union(*split).difference(self.table))
+        rest = self._rows(rare, segment(self.model, rare) if rare else [])
+        out = []
+        for words in split:
+            rows = [self.table.get(w) or rest[w] for w in words]
+            n, ids, decoded = zip(*rows) if rows else ((), (), ())
+            out.append((sum(n), " ".join(ids), "".join(decoded)[1:]))
+        return out
 
 
 def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text",
@@ -107,10 +109,10 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
     """Ids of each whole text with an end id, and the text decoded from them.
 
     The table of distinct marked words covers all texts.  Its ``head_words`` most frequent rows, a bound
-    that does not grow with the corpus, go to all tasks and are put back by position.  A rarer word is
-    segmented where it stands and kept in a bounded memo there: shipping a word to a table and its ids
-    back costs two shuffles of nearly the whole corpus.  A model whose pieces cross markers, or that
-    normalises, encodes whole texts instead.
+    that does not grow with the corpus, go to all tasks and are put back by position.  Rarer words are
+    segmented where they stand, once for each group of texts: shipping a word to a table and its ids back
+    costs two shuffles of nearly the whole corpus.  A model whose pieces cross markers, or that normalises,
+    encodes whole texts instead.
 
     Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, with ``keep_text``, ``ids`` and
     ``decoded``.  A null or empty text has the end id only and decodes to nothing; texts of any length
@@ -130,10 +132,9 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = _Texts(model, shared.value)
         encode = texts.joined if split else texts.whole
-        for batch in batches:
+        for batch in (b.slice(i, _GROUP) for b in batches for i in range(0, b.num_rows, _GROUP)):
             rows = []
-            for t in present(batch.column(1).to_pylist()):
-                n, ids, decoded = encode(t)
+            for n, ids, decoded in encode(present(batch.column(1).to_pylist())):
                 ids = f"{ids} {eos}" if n else str(eos)
                 row = [n + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                 rows.append((*row, ids, decoded) if keep_text else row)

@@ -33,8 +33,7 @@ def pieces_row(text):
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
 def test_marked_words_give_the_whole_segmentation(text):
-    texts = pc._Texts(MODEL, [])
-    n, ids, decoded = texts.joined(text)
+    n, ids, decoded = pc._Texts(MODEL, []).joined([text])[0]
     whole = SP.encode(text)
     assert ids == " ".join(map(str, whole)) and n == len(whole) and decoded == SP.decode(whole)
 
