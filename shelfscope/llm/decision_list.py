@@ -171,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     part = crc_fold("doc_id", 3).alias("part")
     data = with_counts(rows, carry=["_good"]).select(
-        "_good", part, *[F.expr(e).alias(f) for f, e in FEATURES.items()]).orderBy("doc_id", *FEATURES).toPandas()
+        "doc_id", "_good", part, *[F.expr(e).alias(f) for f, e in FEATURES.items()]).toPandas()
+    data = data.sort_values(["doc_id", *FEATURES])
     return learn({f: data[f].to_numpy() for f in FEATURES}, data["_good"].to_numpy() == 0, data["part"].to_numpy())
 
 

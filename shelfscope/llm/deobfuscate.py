@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     weights = _word_weights(rows, Scorer({}, log_model(counts, []), [0.0] * 4), 3)
     scorer = Scorer(weights, log_model(counts, sorted(w for w in weights if w.isalpha())), [0.0, 0.0, 0.0, 0.0])
-    data = _features(rows, scorer, ["toxic"]).orderBy("strongest", "total", "hits", "toxic").toPandas()
+    data = _features(rows, scorer, ["toxic"]).toPandas().sort_values(["strongest", "total", "hits", "toxic"])
     if len(data):
         scorer.coefficients = _logistic(data[["strongest", "total", "hits"]].to_numpy(), data["toxic"].to_numpy(float))
     return scorer
