@@ -12,9 +12,10 @@ from .numbering import first_per, row_numbers, top_per
 
 # Articles with more tags than this go the direct way in ``related_articles``.
 MAX_SUBSET_TAGS = 8
-# Products per search row; a row also holds the first names of the next one.
+# Names and brands per search row, and the longest query in characters.  A row also holds as many of the
+# next ones as a query can span, so that no phrase is cut.
 SEARCH_PART = 1000
-SEARCH_OVERLAP = 20
+LONGEST_QUERY = 200
 
 
 def published(articles: DataFrame) -> DataFrame:
@@ -193,10 +194,12 @@ def related_articles(articles: DataFrame, n: int = 3) -> DataFrame:
     )
     tag_rows = base.select("article_id", F.col("category_id").alias("_cat"), "published_at",
                            (~narrow).alias("_wide"), F.explode("tags").alias("tag"))
+    # wide articles are told apart before the join: narrow pairs never meet here
+    asking = needy.select(F.col("article_id").alias("of"), "category_id", (~narrow).alias("_ofw"),
+                          F.explode("tags").alias("tag"))
     direct = (
-        needy.select(F.col("article_id").alias("of"), "category_id", (~narrow).alias("_ofw"),
-                     F.explode("tags").alias("tag"))
-        .join(tag_rows, "tag").filter(F.col("_wide") | F.col("_ofw"))
+        asking.where("_ofw").join(tag_rows, "tag")
+        .unionByName(asking.where("not _ofw").join(tag_rows.where("_wide"), "tag"))
         .groupBy("of", "category_id", "article_id", "_cat", "published_at")
         .agg(F.count("*").cast("int").alias("overlap"))
     )
@@ -225,31 +228,38 @@ def related_articles(articles: DataFrame, n: int = 3) -> DataFrame:
 
 
 def search_articles(articles: DataFrame, products: DataFrame, categories: DataFrame) -> DataFrame:
-    """Search rows of articles: title, description, category, tags, product names and brands.
+    """Search rows of articles: title, description, category, tags, all product names, then all brands.
 
-    An article with very many products gets several rows (``part``), so that no
-    text grows without bound; a row repeats the first names of the next part,
-    which keeps phrases that run over a boundary findable.
+    The text of an article with very many products is spread over several rows (``part``), none of which
+    grows without bound.  A row repeats the first names of the next part, one for each character of the
+    longest query, so any phrase that the whole text holds lies in one of them.  ``article_hits`` gives
+    one row per article.
     """
-    placed = row_numbers(products.select("article_id", "orig_idx", "name", "brand"),
-                         ["article_id"], [F.col("orig_idx")], "_n")
+    entries = products.select("article_id", F.inline(F.array(
+        F.struct(F.lit(1).alias("_kind"), "orig_idx", F.col("name").alias("_text")),
+        F.struct(F.lit(2).alias("_kind"), "orig_idx", F.col("brand").alias("_text")))))
+    placed = row_numbers(entries, ["article_id"], [F.col("_kind"), F.col("orig_idx"), F.col("_text")], "_n")
     at = F.col("_n") - 1
     part = F.floor(at / SEARCH_PART)
     parts = F.when(
-        (part > 0) & (at % SEARCH_PART < SEARCH_OVERLAP), F.array(part, part - 1)).otherwise(F.array(part))
+        (part > 0) & (at % SEARCH_PART <= LONGEST_QUERY), F.array(part, part - 1)).otherwise(F.array(part))
     listed = placed.withColumn("part", F.explode(parts)).groupBy("article_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("_n", "name", "brand"))).alias("_p"))
-    heads = article_category(articles, categories)
+        F.array_sort(F.collect_list(F.struct("_n", "_text"))).alias("_p"))
+    head = F.concat_ws(" ", "title", "description", "category_name", "tags")
     return (
-        heads.join(listed, "article_id", "left")
+        article_category(articles, categories).join(listed, "article_id", "left")
         .withColumn("part", F.coalesce("part", F.lit(0)))
         .withColumn("keywords", F.concat_ws(
-            " ", "title", "description", "category_name", "tags",
-            F.transform("_p", lambda p: p["name"]), F.transform("_p", lambda p: p["brand"])))
+            " ", F.when(F.col("part") == 0, head), F.transform("_p", lambda p: p["_text"])))
         .drop("_p")
     )
 
 
+def article_hits(rows: DataFrame, query: str) -> DataFrame:
+    """One row per article whose text holds the query: its first part that does."""
+    return first_per(matching(rows, query), ["article_id"], [F.col("part")])
+
+
 def search_products(products: DataFrame, articles: DataFrame, categories: DataFrame) -> DataFrame:
     """Search rows of products; empty parts are left out of the keyword text."""
     heads = article_category(articles, categories).select("article_id", "title", "category_name")
@@ -257,10 +267,11 @@ def search_products(products: DataFrame, articles: DataFrame, categories: DataFr
     def part(name: str) -> Column:
         return F.nullif(F.col(name), F.lit(""))
 
+    advice = [part("recommended_for")] if "recommended_for" in products.columns else []
     return products.join(heads, "article_id").withColumn(
         "keywords",
         F.concat_ws(" ", part("name"), part("brand"), part("capacity"), part("price_per_unit"),
-                    "category_name", "features"))
+                    "category_name", "features", *advice))
 
 
 def product_hits(rows: DataFrame, query: str, n: int = 30) -> DataFrame:
@@ -271,6 +282,8 @@ def product_hits(rows: DataFrame, query: str, n: int = 30) -> DataFrame:
 def matching(rows: DataFrame, query: str) -> DataFrame:
     """Rows whose keyword text holds the query; an empty query finds nothing."""
     wanted = query.strip().lower()
+    if len(wanted) > LONGEST_QUERY:
+        raise ValueError(f"a query has at most {LONGEST_QUERY} characters")
     if not wanted:
         return rows.limit(0)
     return rows.filter(F.contains(F.lower("keywords"), F.lit(wanted)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.patterns import (
     BASE_PROVIDER, PROVIDER_LABELS, PROVIDER_SHORT, PROVIDERS, UNPRICED_PROVIDER,
@@ -213,7 +213,10 @@ _FIELDS = ["price", "rating", "review_count", "image_url", "available"]
 
 
 def upsert_offers(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Merge incoming offers into the current ones, one row per key and provider.
+    """Merge incoming offers into the current ones.
+
+    Of several offers of one key and provider the first one, by ``pos`` where the table has it, else by
+    its values, takes part on either side; other current offers pass through unchanged.
 
     ``current``: key, provider, label, url, match_status, price, rating,
     review_count, image_url, available, updated_at, catalogue_id.
@@ -222,10 +225,17 @@ def upsert_offers(current: DataFrame, incoming: DataFrame, key: list[str]) -> Da
     """
     keys = [*key, "provider"]
     names = ["label", "url", "match_status", *_FIELDS, "updated_at", "catalogue_id"]
-    cur = current.select(*keys, F.struct(*names).alias("c"))
     flags = ["verified", "strict", "force"]
-    new = incoming.select(*keys, F.struct(*[n for n in names if n != "match_status"], *flags).alias("n"))
-    both = cur.join(new, keys, "full_outer")
+
+    def places(df: DataFrame) -> DataFrame:
+        order = ["pos"] if "pos" in df.columns else [x for x in [*names, *flags] if x in df.columns]
+        return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+    cur = places(current).select(*keys, "_place", F.struct(*names).alias("c"))
+    new = places(incoming).where("_place = 1").select(
+        *keys, "_place", F.struct(*[n for n in names if n != "match_status"], *flags).alias("n"))
+    # only first places meet; a later current offer finds no partner and is kept
+    both = cur.join(new, [*keys, "_place"], "full_outer")
     c, n = F.col("c"), F.col("n")
     yes = {f: F.coalesce(n[f], F.lit(False)) for f in flags}
     status = F.coalesce(F.nullif(c["match_status"], F.lit("")), F.lit("matched"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.capacity import number
 from ..session import cut_lineage
@@ -51,8 +51,11 @@ def rank_by_unit_price(df: DataFrame) -> DataFrame:
     first position.  Unknown unit prices follow in position order.
 
     Units of equal size are compared place by place through a join on
-    (article, size, place); a unit's position is its number of wins.  The
-    number of units is bounded by the unit vocabulary, rows are not.
+    (article, size, place); units stand in the order of the rows that come
+    before them in these comparisons.  Missing reviews can close a circle of
+    units; those stand by first price and first position, so that ranks run
+    from 1 without gaps or repeats in any case.  The number of units is bounded
+    by the unit vocabulary, rows are not.
     """
     known = F.col("unit_value").isNotNull()
     # parsed once, numbered once: the rows are read several times below
@@ -91,11 +94,16 @@ def rank_by_unit_price(df: DataFrame) -> DataFrame:
         .when(ap != bp, bp < ap)
         .otherwise(F.col("_bf") < F.col("_af"))
     )
-    offsets = (
+    wins = (
         pairs.join(differs, ["article_id", "_a", "_b"], "left")
         .groupBy("article_id", F.col("_a").alias("_unit"))
-        .agg(F.sum(F.when(before, F.col("_bs"))).alias("_before"))
+        .agg(F.sum(F.when(before, F.col("_bs")).otherwise(0)).alias("_after"), F.min("_as").alias("_size"),
+             F.min("_ap").alias("_price"), F.min("_af").alias("_first"))
     )
+    earlier = Window.partitionBy("article_id").orderBy(
+        "_after", F.col("_price").asc_nulls_last(), "_first").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = wins.select(
+        "article_id", "_unit", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     unknown = (
         named.groupBy("article_id").agg(F.sum("_size").alias("_before"))
         .select("article_id", F.lit(None).cast("string").alias("_unit"), "_before")

@@ -145,22 +145,40 @@ def related_articles(spark: SparkSession, sf: str) -> DataFrame:
     return K.related_articles(tagged)
 
 
-@query("search_index", fx.with_ctes("products", "articles", "categories", more=SHELF) + """,
-listed AS (SELECT article_id, string_agg(name, ' ' ORDER BY orig_idx) AS names, string_agg(brand, ' ' ORDER BY orig_idx) AS brands FROM shelf GROUP BY 1),
+FOUND = """listed AS (SELECT article_id, string_agg(name, ' ' ORDER BY orig_idx) AS names, string_agg(brand, ' ' ORDER BY orig_idx) AS brands FROM shelf GROUP BY 1),
 heads AS (SELECT a.*, coalesce(c.name, a.category_id) AS category_name FROM articles a LEFT JOIN categories c USING (category_id)),
 found AS (SELECT 'article' AS kind, article_id, -1 AS orig_idx, concat_ws(' ', title, source, category_name, lang, names, brands) AS keywords FROM heads LEFT JOIN listed USING (article_id)
-  UNION ALL SELECT 'product', s.article_id, s.orig_idx, concat_ws(' ', s.name, s.brand, capacity, category_name, lang) FROM shelf s JOIN heads USING (article_id))
-SELECT * FROM found WHERE contains(lower(keywords), 'ed wid')""")
-def search_index(spark: SparkSession, sf: str) -> DataFrame:
+  UNION ALL SELECT 'product', s.article_id, s.orig_idx, concat_ws(' ', s.name, s.brand, capacity, category_name, lang, concat('for ', source)) FROM shelf s JOIN heads USING (article_id))"""
+
+
+def _searchable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     articles = fx.articles(spark, sf).withColumns({
         "description": F.col("source"), "tags": F.array("lang")})
-    products = shelf(spark, sf)
-    categories = fx.categories(spark, sf)
-    by_article = K.search_articles(articles, products, categories).select(
+    return articles, shelf(spark, sf), fx.categories(spark, sf)
+
+
+def _product_rows(spark: SparkSession, sf: str) -> DataFrame:
+    articles, products, categories = _searchable(spark, sf)
+    more = articles.select("article_id", F.col("tags").alias("features"),
+                           F.concat(F.lit("for "), "source").alias("recommended_for"))
+    featured = products.join(more, "article_id").withColumn("price_per_unit", F.lit(None).cast("string"))
+    return K.search_products(featured, articles, categories)
+
+
+@query("search_index", fx.with_ctes("products", "articles", "categories", more=SHELF) + f""",
+{FOUND}
+SELECT * FROM found WHERE contains(lower(keywords), 'ed wid')""")
+def search_index(spark: SparkSession, sf: str) -> DataFrame:
+    by_article = K.article_hits(K.search_articles(*_searchable(spark, sf)), " ED Wid ").select(
         F.lit("article").alias("kind"), "article_id", F.lit(-1).cast("bigint").alias("orig_idx"), "keywords")
-    featured = products.join(
-        articles.select("article_id", F.col("tags").alias("features")), "article_id").withColumn(
-            "price_per_unit", F.lit(None).cast("string"))
-    by_product = K.search_products(featured, articles, categories).select(
+    by_product = K.matching(_product_rows(spark, sf), " ED Wid ").select(
         F.lit("product").alias("kind"), "article_id", "orig_idx", "keywords")
-    return K.matching(by_article.unionByName(by_product), " ED Wid ")
+    return by_article.unionByName(by_product)
+
+
+@query("product_search", fx.with_ctes("products", "articles", "categories", more=SHELF) + f""",
+{FOUND}
+SELECT article_id, orig_idx, keywords FROM found WHERE kind = 'product' AND contains(lower(keywords), 'for src1')
+ORDER BY article_id, orig_idx LIMIT 30""")
+def product_search(spark: SparkSession, sf: str) -> DataFrame:
+    return K.product_hits(_product_rows(spark, sf), "For src1").select("article_id", "orig_idx", "keywords")

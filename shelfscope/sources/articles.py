@@ -31,16 +31,34 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 def _yaml_to_json(front: pd.Series) -> pd.Series:
     """YAML blocks to JSON text; NULL for a broken block."""
     import json
+    import re
 
     import yaml
 
     class Loader(yaml.SafeLoader):
-        """Dates stay text."""
+        """Scalars of the JSON schema only: null, true and false, integers, floats; all else stays text."""
 
-    Loader.yaml_implicit_resolvers = {
-        k: [(tag, rx) for tag, rx in v if tag != "tag:yaml.org,2002:timestamp"]
-        for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()
+    kinds = {
+        "null": r"null|Null|NULL|~|",
+        "bool": r"true|True|TRUE|false|False|FALSE",
+        "int": r"[-+]?(?:0b[01]+|0o[0-7]+|0x[0-9a-fA-F]+|[0-9]+)",
+        "float": r"[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN)",
     }
+    Loader.yaml_implicit_resolvers = {
+        None: [(f"tag:yaml.org,2002:{kind}", re.compile(f"(?:{rx})$")) for kind, rx in kinds.items()]}
+
+    def integer(loader: yaml.Loader, node: yaml.Node) -> int:
+        text = loader.construct_scalar(node).lower()
+        base = next((b for mark, b in (("0b", 2), ("0o", 8), ("0x", 16)) if mark in text[:3]), 10)
+        return int(text, base)
+
+    def real(loader: yaml.Loader, node: yaml.Node) -> float | None:
+        # JSON has no infinity and no NaN
+        text = loader.construct_scalar(node)
+        return None if text.lstrip("+-.").lower() in ("inf", "nan") else float(text)
+
+    Loader.add_constructor("tag:yaml.org,2002:int", integer)
+    Loader.add_constructor("tag:yaml.org,2002:float", real)
 
     def convert(text: str) -> str | None:
         try:
@@ -59,10 +77,12 @@ def parse_front_matter(files: DataFrame, schema: str = ARTICLE) -> tuple[DataFra
     split = files.select(
         "path", F.when(F.col("content").rlike(_FRONT), F.regexp_extract("content", _FRONT, 1)).alias("front"),
         F.regexp_extract("content", _FRONT, 2).alias("body"))
-    rows = split.select(
+    parsed = split.withColumn("json", _yaml_to_json("front"))
+    # the generator keeps the filters below from parsing each block again
+    rows = parsed.select("path", "body", "front", F.explode(F.array(F.struct("json"))).alias("one")).select(
         # the body starts with the rest of the closing line
         "path", "body", (F.size(F.split("front", "\n")) + 1).alias("first_line"),
-        F.from_json(_yaml_to_json("front"), schema).alias("data"))
+        F.from_json("one.json", schema).alias("data"))
     return rows.filter("data IS NOT NULL"), rows.filter("data IS NULL").select("path")
 
 
@@ -85,6 +105,7 @@ def explode_products(articles: DataFrame) -> DataFrame:
         F.nullif(p["brand"], F.lit("")).alias("brand"), p["price"].alias("price"),
         p["capacity"].alias("capacity"), p["pricePerUnit"].alias("price_per_unit"),
         p["rating"].alias("rating"), p["reviewCount"].alias("review_count"), p["features"].alias("features"),
+        p["pros"].alias("pros"), p["cons"].alias("cons"), p["recommendedFor"].alias("recommended_for"),
         p["rakutenUrl"].alias("base_url"), p["imageUrl"].alias("image_url"), p["offers"].alias("offers"))
 
 

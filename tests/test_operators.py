@@ -268,3 +268,56 @@ def test_partitioning_does_not_change_results(spark):
             seen.append(sorted(map(str, entry.queries()[name](spark, SF).collect())))
         spark.conf.set("spark.sql.shuffle.partitions", old)
         assert seen[0] == seen[1], name
+
+
+def test_rank_units_in_a_circle(spark):
+    """Missing reviews make three units beat each other in turn; ranks still run from 1 to 9."""
+    reviews = {"g": (None, 2, 1), "mL": (1, None, 2), "枚": (2, 1, None)}
+    rows = [("a", 3 * i + j, 10, r, float(j), u) for i, (u, rs) in enumerate(reviews.items()) for j, r in enumerate(rs)]
+    df = spark.createDataFrame(rows, "article_id string, orig_idx long, price long, review_count long, "
+                                     "unit_value double, unit string")
+    assert sorted(r.new_rank for r in R.rank_by_unit_price(df).collect()) == list(range(1, 10))
+
+
+def test_upsert_takes_the_first_offer_only(spark):
+    cur = [(1, "yahoo", "a", "u1", "matched", 10, None, None, None, True, "d0", None, 0),
+           (1, "yahoo", "b", "u2", "matched", 20, None, None, None, True, "d0", None, 1)]
+    new = [(1, "yahoo", "n", "u1", None, 11, None, None, None, True, "d1", None, 0),
+           (1, "yahoo", "m", "u1", None, 12, None, None, None, True, "d1", None, 1)]
+    incoming = spark.createDataFrame(new, STATE + ", pos long").drop("match_status").withColumns(
+        {f: F.lit(False) for f in ("verified", "strict", "force")})
+    got = O.upsert_offers(spark.createDataFrame(cur, STATE + ", pos long"), incoming, ["k"]).collect()
+    assert sorted((r.label, r.url, r.price, r.changed) for r in got) == [("a", "u1", 11, True), ("b", "u2", 20, False)]
+
+
+def test_search_finds_phrases_at_any_size(spark):
+    names = [f"n{i:04d}" for i in range(3000)]
+    products = spark.createDataFrame([("a", i, n, f"b{i}") for i, n in enumerate(names)],
+                                     "article_id string, orig_idx long, name string, brand string")
+    articles = spark.createDataFrame([("a", "T", "D", ["t"], "c")],
+                                     "article_id string, title string, description string, tags array<string>, category_id string")
+    categories = spark.createDataFrame([("c", "C")], "category_id string, name string")
+    rows = K.search_articles(articles, products, categories)
+    # over the end of a part, over many names, from the last name to the first brand
+    for phrase in (" ".join(names[995:1005]), " ".join(names[1985:2018]), "n2999 b0", "d c t n0000", "b999 b1000"):
+        assert K.article_hits(rows, phrase).count() == 1, phrase
+    assert K.article_hits(rows, "n0001 n0000").count() == 0
+    tiny = spark.createDataFrame([("a", i, "x", None) for i in range(3000)],
+                                 "article_id string, orig_idx long, name string, brand string")
+    assert K.article_hits(K.search_articles(articles, tiny, categories), " ".join("x" * 90)).count() == 1
+
+
+def test_yaml_scalars_of_the_json_schema(spark):
+    from shelfscope.sources import articles as A
+
+    front = "title: yes\ncategory: on\ntags: [no, off, '1']\npublishedAt: 2024-01-02\nproducts:\n" \
+            "  - {name: 12:30, rank: 010, brand: null, price: 0x10, rating: .inf, recommendedFor: ~, pros: [on]}"
+    files = spark.createDataFrame([("x/one.md", f"---\n{front}\n---\nbody"), ("x/two.md", "---\na: [\n---\n")],
+                                  "path string, content string")
+    good, bad = A.parse_front_matter(files)
+    d = good.first().data
+    assert (d.title, d.category, d.tags, d.publishedAt) == ("yes", "on", ["no", "off", "1"], "2024-01-02")
+    p = d.products[0]
+    assert (p.name, p.rank, p.brand, p.price, p.rating, p.recommendedFor, p.pros) == ("12:30", 10, None, 16, None, None, ["on"])
+    assert [r.path for r in bad.collect()] == ["x/two.md"]
+    assert good.select("data")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
