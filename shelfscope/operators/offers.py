@@ -104,10 +104,14 @@ def visible_offers(
         "provider_order", provider_order(F.col("provider")))
 
 
+def comparable_price(allow_unpriced: bool = False) -> Column:
+    known = known_price(F.col("price"))
+    return known if allow_unpriced else known & (F.col("provider") != UNPRICED_PROVIDER)
+
+
 def comparable(visible: DataFrame, allow_unpriced: bool = False) -> DataFrame:
     """Visible offers whose price may be compared."""
-    kept = visible.filter(known_price(F.col("price")))
-    return kept if allow_unpriced else kept.filter(F.col("provider") != UNPRICED_PROVIDER)
+    return visible.filter(comparable_price(allow_unpriced))
 
 
 def lowest_offer(priced: DataFrame, key: str) -> DataFrame:
@@ -157,21 +161,22 @@ def offer_rows(visible: DataFrame, products: DataFrame, key: str) -> DataFrame:
     The shown price is the first comparable price of the provider; the base
     provider falls back to the product's price.
     """
-    priced = comparable(visible)
-    per_provider = priced.groupBy(key, "provider").agg(
-        F.min_by("price", F.struct("seq", "pos")).alias("_row_price"),
-        F.min("price").alias("_low"))
-    lowest = per_provider.groupBy(key).agg(F.min("_low").alias("lowest_price"))
+    usable = comparable_price()
+    # every visible provider has a row, so that the lowest price comes along in the same join
+    shops = visible.groupBy(F.col(key).alias("_key"), F.col("provider").alias("_provider")).agg(
+        F.min_by("price", F.when(usable, F.struct("seq", "pos"))).alias("_row_price"),
+        F.min(F.when(usable, F.col("price"))).alias("_low"),
+    ).withColumn("lowest_price", F.min("_low").over(Window.partitionBy("_key")))
+    here = (F.col(key) == F.col("_key")) & F.col("provider").eqNullSafe(F.col("_provider"))
     base = products.select(key, F.col("price").alias("_base"))
     shown = F.coalesce(
         F.col("_row_price"),
         F.when((F.col("provider") == BASE_PROVIDER) & (F.col("_base") > 0), F.col("_base")))
     return (
-        visible.join(per_provider.drop("_low"), [key, "provider"], "left")
-        .join(lowest, key, "left").join(base, key, "left")
+        visible.join(shops, here, "left").join(base, key, "left")
         .withColumn("shown_price", shown)
         .withColumn("is_lowest", F.coalesce(F.col("shown_price") == F.col("lowest_price"), F.lit(False)))
-        .drop("_row_price", "_base")
+        .drop("_row_price", "_base", "_low", "_key", "_provider")
     )
 
 

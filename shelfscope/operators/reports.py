@@ -7,6 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 MAX_ROWS = 10_000
 
 
+def row_bound(row_limit: int) -> int:
+    """A report is asked for by at most ``MAX_ROWS`` rows; more is refused, not cut."""
+    if not 0 < row_limit <= MAX_ROWS:
+        raise ValueError(f"a report has 1 to {MAX_ROWS} rows")
+    return row_limit
+
+
 def traffic_metrics() -> dict[str, Column]:
     """Metric name to aggregate over ``event_type, user_id, day, value``."""
     kind = F.col("event_type")
@@ -53,7 +60,7 @@ def traffic_report(
     known = traffic_metrics()
     wanted = metrics or ["screenPageViews", "activeUsers", "sessions"]
     rows = in_days(events, start, end, as_of).groupBy(*dimensions).agg(*[known[m].alias(m) for m in wanted])
-    return rows.orderBy(F.col(wanted[0]).desc(), *dimensions).limit(min(row_limit, MAX_ROWS))
+    return rows.orderBy(F.col(wanted[0]).desc(), *dimensions).limit(row_bound(row_limit))
 
 
 def search_analytics(
@@ -70,4 +77,4 @@ def search_analytics(
         clicks.alias("clicks"), shown.alias("impressions"),
         (F.floor(clicks / shown * 10000 + 0.5) / 100).alias("ctr"),
         (F.floor(cents / 100 / shown * 10 + 0.5) / 10).alias("position"))
-    return out.orderBy(F.col("clicks").desc(), *dimensions).limit(min(row_limit, MAX_ROWS))
+    return out.orderBy(F.col("clicks").desc(), *dimensions).limit(row_bound(row_limit))

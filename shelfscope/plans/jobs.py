@@ -20,7 +20,7 @@ from ..sources import jsonl as J
 from ..sources import tables as W
 from . import fixtures as fx
 from .catalogue import SHELF, shelf
-from .matching import HITS, hits
+from .matching import FOUND_HITS, found_hits
 from .offers import VISIBLE_SQL, visible
 from .prices import NUMBERS, fixed_text_sql
 from .registry import query
@@ -377,7 +377,7 @@ def rag_products(spark: SparkSession, sf: str) -> DataFrame:
 
 def patterns(spark: SparkSession, sf: str) -> DataFrame:
     from_articles = X.capacity_patterns(records(spark, sf), "article")
-    reported = fx.products(spark, sf).filter("orig_idx % 10 = 2").select(
+    reported = fx.products(spark, sf).select(
         F.concat(F.lit("report/"), "article_id").alias("article_file"), "name",
         F.concat(F.col("amount").cast("string"), F.lit("袋入り")).alias("capacity"), "price",
         F.lit(None).cast("string").alias("price_per_unit"))
@@ -387,7 +387,7 @@ def patterns(spark: SparkSession, sf: str) -> DataFrame:
 @query("capacity_patterns", fx.with_ctes("products", "articles", more=REC) + """
 SELECT 'article' AS source, count(*) AS n, count(*) FILTER (WHERE orig_idx % 8 IN (1, 3) OR orig_idx % 9 = 0) AS review,
   count(*) FILTER (WHERE orig_idx % 8 IN (1, 3)) AS unreadable FROM recs
-UNION ALL SELECT 'report', count(*), 0, 0 FROM products WHERE orig_idx % 10 = 2""")
+UNION ALL SELECT 'report', count(*), 0, 0 FROM products""")
 def capacity_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return patterns(spark, sf).groupBy("source").agg(
         F.count("*").alias("n"), F.count_if("needs_review").alias("review"),
@@ -475,7 +475,9 @@ def faq_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.get_json_object("document", "$.mainEntity[0].acceptedAnswer.text").alias("first_answer"))
 
 
-@query("latest_reports")
+@query("latest_reports", """
+SELECT DISTINCT concat('reports/addition-candidates-', strftime(o_orderdate, '%Y-%m'), '-01.md') AS file, 'addition-candidates' AS kind,
+  concat(strftime(o_orderdate, '%Y-%m'), '-01') AS date, true AS written FROM orders ORDER BY file DESC LIMIT 5""")
 def latest_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Newest report files of a folder of exports written by day."""
     path = scratch_path(spark, "reports")
@@ -486,7 +488,8 @@ def latest_reports(spark: SparkSession, sf: str) -> DataFrame:
     month = F.regexp_extract("path", r"month=(\d{4}-\d{2})", 1)
     named = files.filter(F.col("path").endswith(".json")).select(
         F.concat(F.lit("reports/addition-candidates-"), month, F.lit("-01.md")).alias("path"), "length")
-    return W.latest_reports(named, "addition-candidates", 5)
+    newest = W.latest_reports(named, "addition-candidates", 5)
+    return newest.select("file", "kind", "date", (F.col("size") > 0).alias("written"))
 
 
 @query("ga_format_rows", """
@@ -611,14 +614,14 @@ def price_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return out["products"].select("article_id", "orig_idx", "rank", "price", "price_per_unit")
 
 
-@query("run_stats", fx.with_ctes("products", more=HITS) + """,
+@query("run_stats", fx.with_ctes("products", more=FOUND_HITS) + """,
 f AS (SELECT orig_idx, min(CASE WHEN NOT donated THEN pos END) AS pos, arg_min(hit_price, pos) FILTER (WHERE NOT donated) AS hp FROM hits GROUP BY 1)
 SELECT count(*) AS products, count(*) FILTER (WHERE pos IS NOT NULL AND hp <> price) AS changed, count(*) FILTER (WHERE pos IS NOT NULL AND hp = price) AS unchanged,
   count(*) FILTER (WHERE pos IS NULL) AS failed, 0 AS deleted, count(*) FILTER (WHERE p.orig_idx % 10 = 0) AS capacity_changed FROM products p LEFT JOIN f ON f.orig_idx = p.orig_idx""")
 def run_stats(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.matching import first_hits
 
-    found = first_hits(fx.products(spark, sf), hits(spark, sf), "orig_idx")
+    found = first_hits(fx.products(spark, sf), found_hits(spark, sf), "orig_idx")
     changes = found.select(
         F.when(F.col("hit").isNull(), "failed").when(F.col("hit.price") != F.col("price"), "changed")
         .otherwise("unchanged").alias("outcome"), (F.col("orig_idx") % 10 == 0).alias("capacity_changed"))

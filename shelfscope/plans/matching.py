@@ -53,29 +53,36 @@ SELECT orig_idx, orig_idx % 4 AS stage, pos, CASE pos WHEN 0 THEN IF(orig_idx %
   CASE WHEN pos = 2 AND orig_idx % 3 <> 1 THEN base_url ELSE concat('https://item.rakuten.co.jp/other/i', CAST(orig_idx * 3 + pos AS STRING), '/') END AS item_url,
   CAST(NULL AS STRING) AS affiliate_url, concat('shop ', CAST(pos AS STRING)) AS shop_name,
   IF(pos = 1 AND orig_idx % 6 = 0, 'https://www.example.jp/f12345-town', 'https://www.example.jp/x') AS shop_url
-FROM (SELECT *, explode(sequence(0, 2)) AS pos FROM {p} WHERE orig_idx % 11 <> 0)
+FROM (SELECT *, explode(sequence(0, 2)) AS pos FROM {p})
 """
 HITS = """hits AS (SELECT p.*, pos, CASE pos WHEN 0 THEN (CASE WHEN orig_idx % 3 = 0 THEN concat('ふるさと納税 ', name) ELSE name END) ELSE concat(name, ' ', CAST(pos AS VARCHAR)) END AS hit_name,
   price + pos * 10 AS hit_price, review_count * (pos + 1) AS hit_reviews, (pos = 2 AND orig_idx % 3 <> 1) AS own,
   (pos = 0 AND orig_idx % 3 = 0) OR (pos = 1 AND orig_idx % 6 = 0) AS donated
-  FROM products p, (VALUES (0), (1), (2)) AS t(pos) WHERE orig_idx % 11 <> 0)"""
+  FROM products p, (VALUES (0), (1), (2)) AS t(pos))"""
+# searches of every eleventh product found nothing
+FOUND_HITS = HITS.replace("AS t(pos))", "AS t(pos) WHERE orig_idx % 11 <> 0)")
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(_HITS, p=fx.products(spark, sf))
 
 
+def found_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits where the search of every eleventh product found nothing."""
+    return hits(spark, sf).filter("orig_idx % 11 <> 0")
+
+
 @query("exclude_listings", fx.with_ctes("products", more=HITS) + """
 SELECT orig_idx, pos, hit_name AS name FROM hits WHERE NOT donated""")
 def exclude_listings(spark: SparkSession, sf: str) -> DataFrame:
     return M.regular_listings(hits(spark, sf)).select("orig_idx", "pos", "name")
 
 
-@query("first_hit", fx.with_ctes("products", more=HITS) + """
+@query("first_hit", fx.with_ctes("products", more=FOUND_HITS) + """
 SELECT p.orig_idx, min(pos) AS pos, arg_min(hit_name, pos) AS hit_name, CASE WHEN min(pos) IS NULL THEN 'none found' ELSE 'found' END AS status
 FROM products p LEFT JOIN (SELECT * FROM hits WHERE NOT donated) h ON h.orig_idx = p.orig_idx GROUP BY p.orig_idx""")
 def first_hit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = M.first_hits(fx.products(spark, sf), hits(spark, sf), "orig_idx")
+    rows = M.first_hits(fx.products(spark, sf), found_hits(spark, sf), "orig_idx")
     return rows.select("orig_idx", "hit.pos", F.col("hit.name").alias("hit_name"), "status")
 
 
@@ -86,12 +93,12 @@ def staged_lookup(spark: SparkSession, sf: str) -> DataFrame:
         "orig_idx", "stage", "name", "price")
 
 
-@query("reconcile_urls", fx.with_ctes("products", more=HITS) + """,
+@query("reconcile_urls", fx.with_ctes("products", more=FOUND_HITS) + """,
 best AS (SELECT orig_idx, arg_min(hit_name, (NOT own, pos)) AS hit_name, arg_min(hit_price, (NOT own, pos)) AS hit_price, bool_or(own) AS own FROM hits GROUP BY 1)
 SELECT p.orig_idx, coalesce(hit_name, 'ERROR: 0件') AS hit_name, hit_price, CASE WHEN own THEN '○' WHEN own IS NULL THEN '' ELSE '△(別商品)' END AS match
 FROM products p LEFT JOIN best b ON b.orig_idx = p.orig_idx""")
 def reconcile_urls(spark: SparkSession, sf: str) -> DataFrame:
-    return M.reconcile(fx.products(spark, sf), hits(spark, sf), "orig_idx").select(
+    return M.reconcile(fx.products(spark, sf), found_hits(spark, sf), "orig_idx").select(
         "orig_idx", "hit_name", "hit_price", "match")
 
 
@@ -272,7 +279,7 @@ def rule_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def addition_products(spark: SparkSession, sf: str) -> DataFrame:
-    """Every eighth product is listed; the others are candidates."""
+    """Every eighth product is listed already; all of them are candidates."""
     return fx.products(spark, sf).filter("orig_idx % 8 = 0").withColumn(
         "article_id", F.concat_ws("/", "brand", "category_id"))
 
@@ -281,7 +288,7 @@ def addition_candidates(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("orig_idx")
     listed = F.concat(F.lit("https://item.rakuten.co.jp/shop"), (i % 7).cast("string"), F.lit("/item"),
                       i.cast("string"), F.lit("/"))
-    return fx.products(spark, sf).filter("orig_idx % 8 <> 0 OR orig_idx % 16 = 0").select(
+    return fx.products(spark, sf).select(
         F.concat_ws("/", "brand", "category_id").alias("article_id"), i.alias("row_id"),
         (i % 3).alias("query_idx"), i.alias("pos"),
         F.when(i % 10 == 3, F.concat("name", F.lit(" ホルダー")))
@@ -305,7 +312,7 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
 JUDGED_SQL = RULES_SQL + """,
 c AS (SELECT concat(brand, '/', category_id) AS article_id, orig_idx AS row_id, orig_idx % 3 AS query_idx, orig_idx AS pos, name, unit, amount, packs, orig_idx AS i,
   CASE WHEN orig_idx % 13 <> 0 THEN price END AS price, review_count, rating, category_id, orig_idx % 10 = 3 AS holder, orig_idx % 10 = 3 OR orig_idx % 9 = 4 AS sizeless
-  FROM products WHERE orig_idx % 8 <> 0 OR orig_idx % 16 = 0),
+  FROM products),
 d AS (SELECT * FROM (SELECT c.*, priority, keyword,
   row_number() OVER (PARTITION BY c.article_id, CASE WHEN i % 17 <> 0 THEN CAST(i AS VARCHAR) ELSE
     concat(name, CASE WHEN holder THEN ' ホルダー' WHEN i % 9 = 4 THEN '' ELSE CAST(i AS VARCHAR) END) END ORDER BY query_idx, pos) AS rn
