@@ -42,16 +42,26 @@ def separable(model: str) -> bool:
     return not inside and sp.decode(sp.encode(probe)) == probe
 
 
+def _words(text: str) -> list[str]:
+    """Marked words of a text without their first marker; empty text has none."""
+    if not text:
+        return []
+    text = text.replace(_MARK, " ")
+    if "  " in text or text[0] == " ":
+        return [c[1:] for c in _CHUNK.findall(" " + text)]
+    return text.split(" ")
+
+
 def chunks(text: str) -> list[str]:
     """Marked words of a text, each with its markers as spaces; empty text has none."""
-    return _CHUNK.findall(" " + text.replace(_MARK, " ")) if text else []
+    return [" " + w for w in _words(text)]
 
 
 def segment(model: str, words: list[str]) -> list[list[int]]:
-    """Ids of marked words: the library adds one marker in front, so one is taken off."""
+    """Ids of marked words given without their first marker, which the library adds itself."""
     sp = _processor(model)
     lone = [sp.piece_to_id(_MARK)]
-    return [lone if w == " " else ids for w, ids in zip(words, sp.encode([w[1:] for w in words], num_threads=1))]
+    return [ids if w else lone for w, ids in zip(words, sp.encode(words, num_threads=1))]
 
 
 def chunk_table(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -62,12 +72,12 @@ def chunk_table(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             seen: Counter[str] = Counter()
             for t in batch.column(0).to_pylist():
                 if t:
-                    seen.update(chunks(t))
-            yield pa.RecordBatch.from_pydict({"chunk": list(seen), "n": pa.array(seen.values(), pa.int64())})
+                    seen.update(_words(t))
+            yield pa.RecordBatch.from_pydict({"chunk": [" " + w for w in seen], "n": pa.array(seen.values(), pa.int64())})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(0).to_pylist()
+            words = [c[1:] for c in batch.column(0).to_pylist()]
             ids = pa.array(segment(model, words), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["chunk", "n", "ids"])
 
@@ -75,31 +85,34 @@ def chunk_table(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     return counted.mapInArrow(encode, "chunk string, n long, ids array<int>")
 
 
-class _Texts:
-    """Per marked word its number of ids, the ids as text and the decoded word."""
+Row = tuple[int, str, str]  # number of ids, the ids as text, the decoded text
+
 
-    def __init__(self, model: str, head: list[tuple[str, list[int]]]):
-        self.sp = _processor(model)
-        self.model = model
-        self.table = self._rows([w for w, _ in head], [ids for _, ids in head])
+def _rows(model: str, words: list[str], ids: list[list[int]]) -> dict[str, Row]:
+    """Per word, without its first marker, its ids and the text decoded from them, marker included."""
+    decoded = _processor(model).decode(ids, num_threads=1) if ids else []
+    return {w: (len(i), " ".join(map(str, i)), " " + d) for w, i, d in zip(words, ids, decoded)}
+
+
+class _Texts:
+    """Encoder of whole texts; ``head`` holds the rows of words that need no segmenting, by word."""
 
-    def _rows(self, words: list[str], ids: list[list[int]]) -> dict[str, tuple[int, str, str]]:
-        decoded = self.sp.decode(ids) if ids else []
-        return {w: (len(i), " ".join(map(str, i)), " " + d) for w, i, d in zip(words, ids, decoded)}
+    def __init__(self, model: str, head: dict[str, Row]):
+        self.model, self.table = model, dict(head)
 
-    def whole(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        ids = [self.sp.encode(t, num_threads=1) for t in texts]
-        return [(len(i), " ".join(map(str, i)), self.sp.decode(i)) for i in ids]
+    def whole(self, texts: list[str]) -> list[Row]:
+        sp = _processor(self.model)
+        ids = [sp.encode(t, num_threads=1) for t in texts]
+        return [(len(i), " ".join(map(str, i)), sp.decode(i)) for i in ids]
 
-    def joined(self, texts: list[str]) -> list[tuple[int, str, str]]:
+    def joined(self, texts: list[str]) -> list[Row]:
         """Each text's words looked up and put together; words outside the table are segmented once for all texts."""
-        split = [chunks(t) for t in texts]
+        split = [_words(t) for t in texts]
         rare = list(set().union(*split).difference(self.table))
-        rest = self._rows(rare, segment(self.model, rare) if rare else [])
-        out = []
+        rest = _rows(self.model, rare, segment(self.model, rare)) if rare else {}
+        find, out = self.table.get, []
         for words in split:
-            rows = [self.table.get(w) or rest[w] for w in words]
-            n, ids, decoded = zip(*rows) if rows else ((), (), ())
+            n, ids, decoded = zip(*[find(w) or rest[w] for w in words]) if words else ((), (), ())
             out.append((sum(n), " ".join(ids), "".join(decoded)[1:]))
         return out
 
@@ -119,10 +132,10 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
     are taken whole; repeated rows and null ids keep their rows; other columns are dropped.
     """
     split = separable(model)
-    head: list[tuple[str, list[int]]] = []
+    head: dict[str, Row] = {}
     if split:
-        words = cut_lineage(chunk_table(docs, model, text))
-        head = [(r.chunk, r.ids) for r in most_frequent(words, head_words)]
+        top = most_frequent(cut_lineage(chunk_table(docs, model, text)), head_words)
+        head = _rows(model, [r.chunk[1:] for r in top], [r.ids for r in top])
     shared = docs.sparkSession.sparkContext.broadcast(head)
     eos = _processor(model).eos_id()
     schema = f"{doc_id} long, n_tokens long, ids_sha256 string, decoded_sha256 string"
