@@ -17,21 +17,27 @@ CELL_PART = 4096
 _SEED = 42
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """SimHash of the word shingles: a bit is 1 if set in over half of their hashes; no words give 0."""
-    import xxhash
-
+def shingles(text: str, shingle: int) -> list[bytes]:
+    """The word shingles of a text; one of fewer words is a single shingle, no words are none."""
     words = text.encode().lower().split()
     n = len(words)
     if not n:
-        return 0
+        return []
     line = b" ".join(words)
     if n <= shingle:
-        parts = [line]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        parts = [line[a:b] for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1:].tolist())]
+        return [line]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return [line[a:b] for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1:].tolist())]
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """SimHash of the word shingles: a bit is 1 if set in over half of their hashes; no words give 0."""
+    import xxhash
+
+    parts = shingles(text, shingle)
+    if not parts:
+        return 0
     digest = xxhash.xxh64_digest
     buf = b"".join([digest(p, _SEED) for p in parts])
     bits = np.unpackbits(np.frombuffer(buf, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
