@@ -28,12 +28,15 @@ LOOKALIKES = {
 }
 _SIGNS = re.escape("".join(LOOKALIKES))
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_FRONT, _BACK = re.compile(r"^[\W_]+"), re.compile(r"[\W_]+$")
+_EDGE_SIGN = re.compile(rf"^[{_SIGNS}]+[^\W\d_]|[^\W\d_][{_SIGNS}]+$")
 _DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}*.\-_]+[^\W\d_]|[{_SIGNS}]+[^\W\d_]|[^\W\d_][0-9@$]+|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){2,}(?!\S)")
 _N = 28  # classes: 0 edge, 1 to 26 a to z, 27 any other letter
 _CODES = bytes([0 if not (chr(b).isalpha() or b > 127) else 27 if b > 127 else ord(chr(b).lower()) - 96 for b in range(256)])
-# Channel costs, natural logs: look-alike, dropped repeat, dropped sign; prior of a marked word.
-_LOOK, _REPEAT, _DROP, _KNOWN = -1.0, -0.5, -6.0, 6.0
+# Channel costs, natural logs: look-alike, dropped repeat, dropped sign, a sign at an end as punctuation (some
+# letter's worth, as a dropped sign also saves one); prior of a marked word.
+_LOOK, _REPEAT, _DROP, _END, _KNOWN = -1.0, -0.5, -6.0, -2.0, 6.0
 
 
 def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -74,33 +77,76 @@ def log_model(counts: np.ndarray, lexicon: list[str]) -> np.ndarray:
     return np.log((table + 5 * back[None]) / (total + 5))
 
 
-def restore(token: str, model: list, known=(), beam: int = 48, readings_kept: int = 3) -> str:
+def prefixes(known) -> frozenset[str]:
+    """All beginnings of the marked words."""
+    return frozenset(w[:i] for w in known for i in range(1, len(w) + 1))
+
+
+def restore(token: str, model: list, known=(), beam: int = 48, readings_kept: int = 3, begun=frozenset()) -> str:
     """The likeliest reading of a disguised token: Viterbi over its lattice, a state being the last two classes.
 
     A reading among the ``known`` marked words has a prior of its own: such words are what is disguised.
+    Beginnings of such words (``begun``) are never pruned.  Signs at either end of the token may also be
+    punctuation.
     """
-    # state: (class before last, last class) -> the best readings that end there, (log probability, reading)
-    states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
+    lead, tail = _ends(token)
+    ends = [i < lead or i >= tail for i in range(len(token))]
+    return _decode(token, ends, [None] * len(token), model, known, beam, readings_kept, begun)[-1]
+
+
+def _ends(token: str) -> tuple[int, int]:
+    """Where the signs in front of a token end and where those behind it begin."""
+    return len(token) - len(_FRONT.sub("", token)), len(_BACK.sub("", token))
+
+
+def _decode(chars, ends: list[bool], breaks: list[float | None], model: list, known, beam: int, readings_kept: int,
+            begun) -> list[str]:
+    """Words of the best path.  ``ends`` are the signs that may be punctuation; ``breaks`` is what it costs to
+    begin a new word before a character, None where none can begin."""
+    # state: (class before last, last class) -> the best readings that end there: (log probability, word) -> words before
+    states: dict[tuple[int, int], dict[tuple[float, str], tuple | None]] = {(0, 0): {(0.0, ""): None}}
     before = ""
-    for c in token:
+    for c, at_end, gap in zip(chars, ends, breaks):
+        if gap is not None:
+            ended = {}
+            for (a, b), readings in states.items():
+                for (p, word), done in readings.items():
+                    if word:
+                        ended[p + gap + model[a][b][0] + (_KNOWN if word in known else 0.0), ""] = (done, word)
+            best = sorted([*states.pop((0, 0), {}).items(), *ended.items()], key=lambda r: r[0], reverse=True)
+            states[0, 0] = dict(best[:readings_kept])
         letter = c.isalpha()
         options = [(c, 0.0)] if letter else []
         options += [(x, _LOOK) for x in LOOKALIKES.get(c, "")]
-        drop = _REPEAT if c == before and letter else None if letter else _DROP if c in LOOKALIKES else _REPEAT
-        then: dict[tuple[int, int], list[tuple[float, str]]] = {}
+        drop = _REPEAT if c == before and letter else None if letter else _END if at_end else (
+            _DROP if c in LOOKALIKES else _REPEAT)
+        then: dict[tuple[int, int], dict[tuple[float, str], tuple | None]] = {}
         for (a, b), readings in states.items():
             row = model[a][b]
-            for p, text in readings:
+            for (p, word), done in readings.items():
                 for x, cost in options:
                     k = ord(x) - 96 if "a" <= x <= "z" else 27
-                    then.setdefault((b, k), []).append((p + cost + row[k], text + x))
+                    then.setdefault((b, k), {}).setdefault((p + cost + row[k], word + x), done)
                 if drop is not None:
-                    then.setdefault((a, b), []).append((p + drop, text))
-        best = sorted(((max(r), s) for s, r in then.items()), reverse=True)[:beam]
-        states, before = {s: sorted(set(then[s]), reverse=True)[:readings_kept] for _, s in best}, c
-    ends = ((p + model[a][b][0] + (_KNOWN if text in known else 0.0), text)
-            for (a, b), readings in states.items() for p, text in readings)
-    return max(ends)[1]
+                    then.setdefault((a, b), {}).setdefault((p + drop, word), done)
+        top = sorted(((max(r), s) for s, r in then.items()), reverse=True)
+        states, before = {}, c
+        for i, (_, s) in enumerate(top):
+            kept, begins = {}, set()
+            for n, r in enumerate(sorted(then[s], reverse=True)):
+                if i < beam and n < readings_kept or r[1] in begun and r[1] not in begins:
+                    kept[r] = then[s][r]
+                    begins.add(r[1])
+            if kept:
+                states[s] = kept
+    whole = ((p + model[a][b][0] + (_KNOWN if word in known else 0.0), word, done)
+             for (a, b), readings in states.items() for (p, word), done in readings.items())
+    _, word, done = max(whole, key=lambda r: r[:2])
+    out = [word]
+    while done is not None:
+        done, word = done
+        out.append(word)
+    return out[::-1]
 
 
 def plain(token: str) -> str:
@@ -112,14 +158,19 @@ class Reader:
 
     def __init__(self, scorer: Scorer):
         self.model, self.known = scorer.model.tolist(), scorer.weights
+        self.begun = prefixes(self.known)
         self.memo = Bounded(self._read)
 
     def _read(self, token: str) -> str:
         word = plain(token)
-        if word.isalpha() and not _DISGUISED.search(word):
+        lead, tail = _ends(token)
+        # signs at the ends that resemble no letter are punctuation
+        signs = [c if i >= lead and i < tail or c in LOOKALIKES else "" for i, c in enumerate(token)]
+        bare = "".join(signs)
+        if word.isalpha() and bare == word and not _DISGUISED.search(word):
             return word
-        if _DISGUISED.search(token):
-            return restore(token.strip("\"'()[]{}.,;:?!|*"), self.model, self.known)
+        if _DISGUISED.search(bare) or _EDGE_SIGN.search(bare):
+            return restore(bare, self.model, self.known, begun=self.begun)
         return word
 
     def spaced(self, low: str) -> list[str]:

@@ -114,3 +114,23 @@ def test_viterbi_is_the_best_path(scorer):
             if best is None or p > best[0]:
                 best = (p, "".join(reading))
         assert de.restore(token, model.tolist()) == best[1]
+
+
+def test_signs_at_the_ends(spark, scorer):
+    """A sign in front or behind may be a letter or punctuation."""
+    reader = de.Reader(scorer)
+    marks = {"$tupid": "stupid", "!diot": "idiot", "(lown": "clown", "worthle$$": "worthless", "$cum": "scum", "+rash!": "trash",
+             '"!diot",': "idiot", "($tupid)": "stupid", "idiot!": "idiot", "(stupid": "stupid", "(moron)!!": "moron"}
+    marks = {k: v for k, v in marks.items() if v in scorer.weights}
+    assert len(marks) >= 9 and {k: reader.memo[k] for k in marks} == marks
+    assert [reader.memo[w] for w in ("(the", "that!", "from|", "+with", "more", "!!!", "(12)")] == [
+        "the", "that", "from", "with", "more", "", "12"]
+
+
+def test_every_disguise(spark, scorer):
+    clean = "the and of that with this from they have into more some"
+    marks = ["1d10t", "stupid", "m0r0n", "i d i o t", "l.o.s.e.r", "trrraaash", "p@thetic", "cl0wn", "w0rthl3ss", "$cum",
+             "!diot", "worthle$$"]
+    docs = spark.createDataFrame([(i, f"{clean} {m} {clean} {m}") for i, m in enumerate(marks)], "doc_id long, text string")
+    got = {marks[r.doc_id]: r.predicted for r in de.score(docs, scorer).collect()}
+    assert got == dict.fromkeys(marks, 1)
