@@ -31,12 +31,16 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _FRONT, _BACK = re.compile(r"^[\W_]+"), re.compile(r"[\W_]+$")
 _EDGE_SIGN = re.compile(rf"^[{_SIGNS}]+[^\W\d_]|[^\W\d_][{_SIGNS}]+$")
 _DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}*.\-_]+[^\W\d_]|[{_SIGNS}]+[^\W\d_]|[^\W\d_][0-9@$]+|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){2,}(?!\S)")
+# Single letters, digits or signs that resemble letters, apart from each other, between punctuation or space.
+_GAP = r"[\s.\-_*]{1,3}"
+_SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:{_GAP}(?:[^\W_]|[{_SIGNS}])){{2,}}(?![^\W_])")
+_MEMBER = re.compile(rf"({_GAP})?([^\W_]|[{_SIGNS}])")
 _N = 28  # classes: 0 edge, 1 to 26 a to z, 27 any other letter
 _CODES = bytes([0 if not (chr(b).isalpha() or b > 127) else 27 if b > 127 else ord(chr(b).lower()) - 96 for b in range(256)])
 # Channel costs, natural logs: look-alike, dropped repeat, dropped sign, a sign at an end as punctuation (some
-# letter's worth, as a dropped sign also saves one); prior of a marked word.
-_LOOK, _REPEAT, _DROP, _END, _KNOWN = -1.0, -0.5, -6.0, -2.0, 6.0
+# letter's worth, as a dropped sign also saves one), a new word within a spaced run; prior of a marked word,
+# and by letter of one within a spaced run.
+_LOOK, _REPEAT, _DROP, _END, _BREAK, _KNOWN, _EACH = -1.0, -0.5, -6.0, -2.0, -1.0, 6.0, 2.0
 
 
 def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -100,9 +104,9 @@ def _ends(token: str) -> tuple[int, int]:
 
 
 def _decode(chars, ends: list[bool], breaks: list[float | None], model: list, known, beam: int, readings_kept: int,
-            begun) -> list[str]:
+            begun, each: float = 0.0) -> list[str]:
     """Words of the best path.  ``ends`` are the signs that may be punctuation; ``breaks`` is what it costs to
-    begin a new word before a character, None where none can begin."""
+    begin a new word before a character, None where none can begin; ``each`` adds to the prior by letter."""
     # state: (class before last, last class) -> the best readings that end there: (log probability, word) -> words before
     states: dict[tuple[int, int], dict[tuple[float, str], tuple | None]] = {(0, 0): {(0.0, ""): None}}
     before = ""
@@ -112,7 +116,7 @@ def _decode(chars, ends: list[bool], breaks: list[float | None], model: list, kn
             for (a, b), readings in states.items():
                 for (p, word), done in readings.items():
                     if word:
-                        ended[p + gap + model[a][b][0] + (_KNOWN if word in known else 0.0), ""] = (done, word)
+                        ended[p + gap + model[a][b][0] + (_KNOWN + each * len(word) if word in known else 0.0), ""] = (done, word)
             best = sorted([*states.pop((0, 0), {}).items(), *ended.items()], key=lambda r: r[0], reverse=True)
             states[0, 0] = dict(best[:readings_kept])
         letter = c.isalpha()
@@ -139,7 +143,7 @@ def _decode(chars, ends: list[bool], breaks: list[float | None], model: list, kn
                     begins.add(r[1])
             if kept:
                 states[s] = kept
-    whole = ((p + model[a][b][0] + (_KNOWN if word in known else 0.0), word, done)
+    whole = ((p + model[a][b][0] + (_KNOWN + each * len(word) if word in known else 0.0), word, done)
              for (a, b), readings in states.items() for (p, word), done in readings.items())
     _, word, done = max(whole, key=lambda r: r[:2])
     out = [word]
@@ -174,7 +178,18 @@ class Reader:
         return word
 
     def spaced(self, low: str) -> list[str]:
-        return [restore(re.sub(r"[ .\-_*]", "", m[0]), self.model, self.known) for m in _SPACED.finditer(low)]
+        """Words of runs of single characters, in which any gap may part two words."""
+        out: list[str] = []
+        for m in _SPACED.finditer(low):
+            members = _MEMBER.findall(m[0])
+            chars = [c for _, c in members]
+            if any(c.isalpha() for c in chars):
+                usual = min(len(gap) for gap, _ in members[1:])
+                breaks = [None] + [_BREAK if len(gap) == usual else 0.0 for gap, _ in members[1:]]
+                lead, tail = _ends("".join(chars))
+                ends = [i < lead or i >= tail for i in range(len(chars))]
+                out += _decode(chars, ends, breaks, self.model, self.known, 48, 3, self.begun, _EACH)
+        return out
 
     def words(self, text: str) -> list[str]:
         low = text.lower()

@@ -134,3 +134,13 @@ def test_every_disguise(spark, scorer):
     docs = spark.createDataFrame([(i, f"{clean} {m} {clean} {m}") for i, m in enumerate(marks)], "doc_id long, text string")
     got = {marks[r.doc_id]: r.predicted for r in de.score(docs, scorer).collect()}
     assert got == dict.fromkeys(marks, 1)
+
+
+def test_spaced_words(scorer):
+    """A spaced word is found beside punctuation, other single characters and other spaced words."""
+    reader = de.Reader(scorer)
+    runs = {"an i d i o t.": ["idiot"], '"i d i o t"': ["idiot"], "s t u p i d, yes": ["stupid"], "a i d i o t now": ["idiot"],
+            "$ c u m": ["scum"], "i d i o t l o s e r": ["idiot", "loser"], "x q i d i o t z z k": ["idiot"],
+            "s t u p i d  m 0 r 0 n": ["stupid", "moron"], "(l-o-s-e-r)": ["loser"], "the w_o_r_t_h_l_e_$_$!": ["worthless"],
+            "see ! d i o t": ["idiot"], "| a | b | c |": [], "a b c d e f": [], "1 2 3 4 5": [], "u.s.a.": []}
+    assert {k: [w for w in reader.spaced(k) if w in scorer.weights] for k in runs} == runs
