@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfscope.session import cut_lineage, scratch_path
 
-__all__ = ["Bounded", "components", "crc_fold", "cut_lineage", "hash_sample", "most_frequent", "present", "scratch_path",
+__all__ = ["Bounded", "components", "crc_fold", "cut_lineage", "hash_sample", "most_frequent", "one_per", "present", "scratch_path",
            "table"]
 
 
@@ -69,6 +69,11 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share).orderBy(F.xxhash64(key), key).limit(rows)
 
 
+def one_per(df: DataFrame, key: str) -> DataFrame:
+    """One row of each ``key``, the smallest by all columns in order."""
+    return df.groupBy(key).agg(F.min(F.struct(*df.columns)).alias("_one")).select("_one.*")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large and small stars.
 

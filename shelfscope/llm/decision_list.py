@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import crc_fold, hash_sample, present
+from .common import crc_fold, hash_sample, one_per, present
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -164,14 +164,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learn the list from at most ``sample_rows`` labelled rows, those of the smallest hash of the id.
 
-    ``labels``: ``doc_id``, ``quality`` (0 bad, 1 good; null is no label).
+    ``labels``: ``doc_id``, ``quality`` (0 bad, 1 good; null is no label).  Of the rows of a repeated id the
+    one of the smallest features is taken, so that no more rows than ids are collected.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_good"))
     chosen = hash_sample(known, "doc_id", sample_rows)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     part = crc_fold("doc_id", 3).alias("part")
     data = with_counts(rows, carry=["_good"]).select(
-        "doc_id", "_good", part, *[F.expr(e).alias(f) for f, e in FEATURES.items()]).toPandas()
+        "doc_id", "_good", part, *[F.expr(e).alias(f) for f, e in FEATURES.items()])
+    data = one_per(data, "doc_id").toPandas()
     data = data.sort_values(["doc_id", *FEATURES])
     return learn({f: data[f].to_numpy() for f in FEATURES}, data["_good"].to_numpy() == 0, data["part"].to_numpy())
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Bounded, hash_sample, present
+from .common import Bounded, hash_sample, one_per, present
 
 # Labelled rows that word weights and the score are learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -250,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Character model from all texts of ``corpus`` (``docs`` by default), words and score from labelled rows.
 
     ``labels``: ``doc_id``, ``toxic`` (0/1; null is no label).  At most ``sample_rows`` labelled rows are
-    used, those of the smallest hash of the id.  Without any toxic row all scores are the base rate's.
+    used, those of the smallest hash of the id; the score takes one row of a repeated id.  Without any toxic row all scores are the base rate's.
     """
     counts = trigram_counts(docs if corpus is None else corpus, text)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -258,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     weights = _word_weights(rows, Scorer({}, log_model(counts, []), [0.0] * 4), 3)
     scorer = Scorer(weights, log_model(counts, sorted(w for w in weights if w.isalpha())), [0.0, 0.0, 0.0, 0.0])
-    data = _features(rows, scorer, ["toxic"]).toPandas().sort_values(["strongest", "total", "hits", "toxic"])
+    data = one_per(_features(rows, scorer, ["doc_id", "toxic"]), "doc_id").toPandas().sort_values(["strongest", "total", "hits", "toxic"])
     if len(data):
         scorer.coefficients = _logistic(data[["strongest", "total", "hits"]].to_numpy(), data["toxic"].to_numpy(float))
     return scorer

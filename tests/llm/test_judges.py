@@ -144,3 +144,21 @@ def test_spaced_words(scorer):
             "s t u p i d  m 0 r 0 n": ["stupid", "moron"], "(l-o-s-e-r)": ["loser"], "the w_o_r_t_h_l_e_$_$!": ["worthless"],
             "see ! d i o t": ["idiot"], "| a | b | c |": [], "a b c d e f": [], "1 2 3 4 5": [], "u.s.a.": []}
     assert {k: [w for w in reader.spaced(k) if w in scorer.weights] for k in runs} == runs
+
+
+def test_a_repeated_id_is_not_collected(spark, monkeypatch):
+    """The sample bounds the rows that reach the driver, not only the ids."""
+    rows = [(i % 40 if i < 80 else 7, f"some text {i} " + "idiot " * (i % 3) + "word " * (i % 50)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen, plain = [], type(docs).toPandas
+
+    def counted(self):
+        out = plain(self)
+        seen.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(docs), "toPandas", counted)
+    dl.fit(docs, labels)
+    de.fit(docs, labels)
+    assert seen == [40, 40]
