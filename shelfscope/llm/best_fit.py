@@ -34,7 +34,6 @@ def _units(path: str) -> Bounded:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     fast = _ranks(path)
 
     def ids(unit: str) -> bytes:
@@ -61,9 +60,30 @@ def _ranks(path: str):
                              special_tokens={}).encode_ordinary
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """The tokenizer's added tokens, which it finds in a text before all else, and their ids as bytes."""
+    from tokenizers import Tokenizer
+
+    added = Tokenizer.from_file(path).get_added_tokens_decoder()
+    odd = [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word]
+    if odd:
+        raise ValueError(f"added tokens that take in what is around them: {odd}")
+    ids = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+    longest = sorted(ids, key=lambda c: (-len(c), c))
+    return (re.compile("|".join(map(re.escape, longest))) if ids else None), ids
+
+
 def token_bytes(path: str, text: str) -> bytes:
     """Ids of a text, four bytes each.  The tokenizer's own split never crosses the units used here."""
-    return b"".join(map(_units(path).__getitem__, _UNIT.findall(text)))
+    added, ids = _added(path)
+    units, out, at = _units(path), [], 0
+    for m in added.finditer(text) if added else ():
+        out += map(units.__getitem__, _UNIT.findall(text[at: m.start()]))
+        out.append(ids[m[0]])
+        at = m.end()
+    out += map(units.__getitem__, _UNIT.findall(text[at:] if at else text))
+    return b"".join(out)
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

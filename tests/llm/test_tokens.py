@@ -116,3 +116,11 @@ def test_many_pieces_of_one_length(spark):
         used[r.sequence_id] += r.length
     # longest first: 834 pairs of 40, and three of 30 in each further sequence
     assert len(out) == 5000 and max(used.values()) <= 100 and len(used) <= 834 + 1111
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(TEXT, st.sampled_from(["<|endoftext|>", " <|endoftext|> ", "<|endoftext", "  "])), max_size=6))
+def test_added_tokens_give_the_unmodified_tokenizers_ids(parts):
+    text = "".join(["a <|endoftext|> b", *parts])
+    plain = Tokenizer.from_file(BPE)
+    assert np.frombuffer(bf.token_bytes(BPE, text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
