@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfscope.llm import hmm_lm as hl, popcount_dedup as pd
@@ -195,3 +196,43 @@ def test_sums_to_one_over_words(spark):
     assert v.tokens == 200 and v.types == 61
     within = sum(10 ** hl.inner_term(n, c, v) for c, n in v.head.values() if c < hl.CLASS_WORDS)
     assert within == len(v.head)
+
+
+def test_words_of_one_hash_class_differ_by_state(spark):
+    """Rare words are emissions of their own: one of the text's topic fits better than one of the other topic."""
+    rng = np.random.default_rng(4)
+    topics = [[f"{k}{i}" for i in range(3000)] for k in "ab"]
+    texts = [" ".join(rng.choice(topics[i % 2], 300)) for i in range(300)]
+    n = Counter(w for t in texts for w in t.split())
+    last = sorted(n.values(), reverse=True)[2 * hl.CLASS_WORDS // 2 + 200]
+    same = [{}, {}]
+    for k in range(2):
+        for w in topics[k]:
+            if 0 < n[w] < last:
+                same[k].setdefault((hl.tail_class(w), n[w]), w)
+    pairs = [(same[0][key], same[1][key]) for key in sorted(same[0].keys() & same[1].keys())]
+    assert len(pairs) > 20
+    around = " ".join(rng.choice(topics[0], 40))
+    asked = [f"{around} {w} {around}" for pair in pairs for w in pair]
+    rows = [(i, t, i < 300) for i, t in enumerate(texts + asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r.doc_id: r.score for r in hl.score(docs, F.col("train")).collect()}
+    gain = [got[300 + 2 * i] - got[301 + 2 * i] for i in range(len(pairs))]
+    assert sum(g > 0.01 for g in gain) > 0.9 * len(pairs)
+
+
+def test_words_of_a_class_add_up_in_each_state(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(100).withColumn("_row", F.col("doc_id"))
+    v = hl.vocabulary(hl.word_counts(docs))
+    shared = spark.sparkContext.broadcast(v)
+    coded = hl.encode(docs, shared, "doc_id", "text", ["_row"])
+    model = hl.train(coded, v.class_tokens, rounds=1)
+    table, unseen, head = hl.word_ratios(hl.word_states(coded, model, shared), v, hl.STATES)
+    total = np.zeros((hl.TAIL_CLASSES, hl.STATES))
+    rows = table.collect()
+    for r in rows:
+        c = hl.tail_class(r.word)
+        total[c - hl.CLASS_WORDS] += np.array(r.ratio) * 10 ** hl.inner_term(r.n, c, v)
+    for c in range(hl.TAIL_CLASSES):
+        total[c] += unseen[c] * 10 ** hl.inner_term(0, c + hl.CLASS_WORDS, v)
+    assert np.allclose(total, 1) and len(rows) == v.types - hl.CLASS_WORDS
