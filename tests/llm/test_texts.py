@@ -236,3 +236,17 @@ def test_words_of_a_class_add_up_in_each_state(spark):
     for c in range(hl.TAIL_CLASSES):
         total[c] += unseen[c] * 10 ** hl.inner_term(0, c + hl.CLASS_WORDS, v)
     assert np.allclose(total, 1) and len(rows) == v.types - hl.CLASS_WORDS
+
+
+@pytest.mark.parametrize("n", [3])
+def test_few_segments_keep_the_states_apart(spark, n):
+    """Starting rounds without any segment do not make the states alike, whatever the rows' numbers."""
+    codes = [np.full(20, i, np.uint16).tobytes() for i in range(40)]
+    df = spark.createDataFrame([(i, 0, c) for i, c in enumerate(codes)], "_row long, part int, classes binary")
+    chosen = F.pmod(F.xxhash64("classes"), F.lit(hl.START_PART)) == 0
+    few = [r.classes for r in df.where(~chosen).limit(n).collect()]
+    got = []
+    for first in (0, 1000):
+        df = spark.createDataFrame([(first + i, 0, c) for i, c in enumerate(few)], "_row long, part int, classes binary")
+        got.append(hl.train(df, np.ones(40), rounds=1).emit)
+    assert np.allclose(*got) and np.ptp(got[0], axis=0).max() > 0.01
