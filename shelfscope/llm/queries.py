@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (best_fit, chat_format, deobfuscate, decision_list, hmm_lm, piece_chunks, popcount_dedup, url_reputation,
-               vp_tree, warc_bundles)
+from . import (best_fit, chat_format, deobfuscate, decision_list, hmm_lm, lanczos_whiten, odd_sketch, periodic_runs, piece_chunks,
+               popcount_dedup, url_reputation, vp_tree, warc_bundles)
 from .common import crc_fold, table
 
 QUERIES: dict = {}
@@ -170,6 +170,78 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return popcount_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+_SPLIT = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+@query("op11_odd_sketches", f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_SPLIT.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+  FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT way.b, seen FROM reach JOIN way ON way.a = reach.doc_id),
+c AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_lanczos_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lanczos_whiten.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+# crc32 of a short decimal text, bit by bit
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+  lambda r, c: list_reduce(list_concat([xor(r, c)], range(8)), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
+
+
+@query("op13_periodic_runs", f"""
+WITH d AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS w, xor({_CRC}, 4294967295) AS h FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+  list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM p),
+o AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM t),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+i AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+s AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM i GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+runs AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM o ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(runs.text, '')) AS runs_sha256, sha256(coalesce(left_over.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN runs USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN left_over USING (doc_id)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text in ten becomes periodic from some word on, by the hash of its id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w").cast("long"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.array_join(F.concat(
+        F.slice("w", F.lit(1), F.col("a").cast("int")),
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - F.col("a") - 1),
+                    lambda i: F.element_at("w", (F.col("a") + i % F.col("p") + 1).cast("int")))), " ")
+    docs = docs.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.find_runs(docs, carry=["doc_id"])
+    more = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.when(F.size("runs") > 0, F.reduce("runs", F.element_at("runs", 1), lambda x, y: F.when(more(y, x), y).otherwise(x)))
+    lines = F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
