@@ -23,6 +23,8 @@ SKETCH_BITS = 512
 LOSS = 1e-9
 # Sets in a cell whose pairs are listed after the stars; larger cells are cut into parts of PART sets.
 LISTED, PART = 48, 512
+# Size of the bitmap that keeps texts in place which no candidate pair asks for.
+FILTER_BITS = 1 << 24
 _SEED = 42
 _RNG = np.random.default_rng(11)
 _FLIP, _ODD, _FOLD, _MIX = _RNG.integers(0, 1 << 64, (4, SAMPLES), np.uint64, endpoint=False)
@@ -118,14 +120,38 @@ def _prints(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, f"_id {kind}, _text string, _row long, set binary, n long, cells array<long>, sketch array<long>")
 
 
-def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """``node`` and its hashes for rows of ``node`` and text."""
+def _filter(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size, ``FILTER_BITS``, in which the bit of each node's hash is set."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    chunks = nodes.groupBy(F.shiftright(bit, 15).alias("chunk")).agg(F.bitmap_construct_agg(bit.bitwiseAND(32767)).alias("bits"))
+    out = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
+    for r in chunks.collect():
+        out[r.chunk] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _sets(nodes: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
+    """``node`` and its hashes, written, for the texts of ``prints`` (``_row``, ``_text``) that ``nodes`` asks for.
+
+    Texts that a bitmap of the nodes rules out do not move; of the others only the hashes do.
+    """
+    nodes = cut_lineage(nodes)
+    shared = prints.sparkSession.sparkContext.broadcast(_filter(nodes))
+    bit = F.pmod(F.xxhash64("_row"), F.lit(FILTER_BITS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, shingle).view(np.int64) for t in present(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
+            bits = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(shared.value[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).cast(pa.bool_()))
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                found = [shingle_set(t, shingle).view(np.int64) for t in present(piece.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
 
-    return rows.mapInArrow(run, "node long, hashes array<long>")
+    found = prints.where("n > 0").select("_row", "_text", bit.alias("bit")).mapInArrow(run, "node long, hashes array<long>")
+    found = cut_lineage(found.join(nodes, "node", "left_semi"))
+    shared.unpersist()
+    return found
 
 
 def _may_link(x: Column, y: Column, percent: int) -> Column:
@@ -134,10 +160,10 @@ def _may_link(x: Column, y: Column, percent: int) -> Column:
     return sizes & (differing(x["sketch"], y["sketch"]) <= cutoff(percent))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Of the pairs ``a``, ``b`` those whose full sets reach the threshold; ``nodes`` has ``node`` and text."""
+def _confirmed(pairs: DataFrame, prints: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Of the pairs ``a``, ``b`` those whose full sets reach the threshold."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = cut_lineage(_sets(nodes.join(wanted, "node", "left_semi").select("node", "_text"), shingle))
+    sets = _sets(wanted, prints, shingle)
     full = pairs.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b")
     both = F.size(F.array_intersect("p", "q"))
     return full.where((100 + percent) * both >= percent * (F.size("p") + F.size("q"))).select("a", "b")
@@ -214,14 +240,16 @@ def _rooted(spots: DataFrame, roots: DataFrame) -> DataFrame:
     return spots.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def links(nodes: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, listed: int = LISTED, part: int = PART) -> DataFrame:
+def links(nodes: DataFrame, prints: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, listed: int = LISTED,
+          part: int = PART) -> DataFrame:
     """Links ``a``, ``b`` that connect all sets at ``percent`` or more which share a band.
 
-    ``nodes``: ``node, _text, n, cells, sketch``, one row for each distinct set that is not empty.  First each
-    cell's sets are compared with its smallest node alone; the links found are contracted, and cells of one
-    component drop out, so groups of near copies cost rows, not pairs.  Of the other cells the pairs between
-    components are listed where there are at most ``listed`` sets, larger cells go by parts.  Sketches decide
-    which full sets are read, the full sets decide on links.
+    ``nodes``: ``node, n, cells, sketch``, one row for each distinct set that is not empty; ``prints`` has the
+    texts, ``_row`` being the node, and ``n``.  First each cell's sets are compared with its smallest node
+    alone; the links found are contracted, and cells of one component drop out, so groups of near copies
+    cost rows, not pairs.  Of the other cells the pairs between components are listed where there are at most
+    ``listed`` sets, larger cells go by parts.  Sketches decide which full sets are read, the full sets decide
+    on links.
     """
     about = nodes.select("node", "n", "sketch")
     spots = nodes.select(F.explode("cells").alias("cell"), "node")
@@ -231,7 +259,7 @@ def links(nodes: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, list
     stars = stars.join(about.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x")), "a")
     stars = stars.join(about.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y")), "b")
     stars = cut_lineage(stars.where(_may_link(F.col("x"), F.col("y"), percent)).select("a", "b"))
-    stars = cut_lineage(_confirmed(stars, nodes, percent, shingle))
+    stars = cut_lineage(_confirmed(stars, prints, percent, shingle))
 
     rest = _rooted(spots.select("cell", "node", "count"), components(stars))
     open_cells = rest.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
@@ -243,13 +271,13 @@ def links(nodes: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, list
     pairs = pairs.where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
     pairs = pairs.where(_may_link(F.col("x"), F.col("y"), percent))
     pairs = cut_lineage(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    found = stars.unionByName(_confirmed(pairs, nodes, percent, shingle))
+    found = stars.unionByName(_confirmed(pairs, prints, percent, shingle))
 
     many = rest.where(f"count > {listed}")
     if many.isEmpty():
         return found
-    sets = _sets(nodes.join(many.select("node").distinct(), "node", "left_semi").select("node", "_text"), shingle)
-    return found.unionByName(_in_parts(many, cut_lineage(sets), percent, part))
+    sets = _sets(many.select("node").distinct(), prints, shingle)
+    return found.unionByName(_in_parts(many, sets, percent, part))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
@@ -265,10 +293,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
     prints = cut_lineage(_prints(rows, shingle))
-    one = prints.where("n > 0").groupBy("set").agg(F.min("_row").alias("_row"), F.min("_id").alias("least"))
-    one = cut_lineage(one.withColumnRenamed("_row", "node"))
-    nodes = prints.drop("set").join(one.select(F.col("node").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "node")
-    placed = cut_lineage(_rooted(one, components(links(nodes, percent, shingle, listed, part))))
+    one = prints.where("n > 0").groupBy("set").agg(
+        F.min("_row").alias("node"), F.min("_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "cells", "sketch")])
+    one = cut_lineage(one)
+    roots = components(links(one.drop("set", "least"), prints, percent, shingle, listed, part))
+    placed = cut_lineage(_rooted(one.select("set", "node", "least"), roots))
     heads = placed.groupBy("root").agg(F.min("least").alias("component"))
     found = placed.join(heads, "root").select("set", "component")
     out = prints.select("_id", "set", "n").join(found, "set", "left")
