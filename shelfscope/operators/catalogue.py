@@ -9,13 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import checked_broadcast
 from .numbering import first_per, row_numbers, top_per
+from .phrases import first_hits, place_entries
 
 # Articles with more tags than this go the direct way in ``related_articles``.
 MAX_SUBSET_TAGS = 8
-# Names and brands per search row, and the longest query in characters.  A row also holds as many of the
-# next ones as a query can span, so that no phrase is cut.
-SEARCH_PART = 1000
-LONGEST_QUERY = 200
 
 
 def published(articles: DataFrame) -> DataFrame:
@@ -227,37 +224,35 @@ def related_articles(articles: DataFrame, n: int = 3) -> DataFrame:
         F.col("of").alias("article_id"), "place", F.col("article_id").alias("related_id"))
 
 
-def search_articles(articles: DataFrame, products: DataFrame, categories: DataFrame) -> DataFrame:
-    """Search rows of articles: title, description, category, tags, all product names, then all brands.
+def search_entries(articles: DataFrame, products: DataFrame, categories: DataFrame) -> DataFrame:
+    """The search text of each article, entry by entry: ``article_id, field, place, text``.
 
-    The text of an article with very many products is spread over several rows (``part``), none of which
-    grows without bound.  A row repeats the first names of the next part, one for each character of the
-    longest query, so any phrase that the whole text holds lies in one of them.  ``article_hits`` gives
-    one row per article.
+    In order: title, description, category, tags, all product names, all brands.  An article's entries stay
+    rows, however many products it has.
     """
-    entries = products.select("article_id", F.inline(F.array(
-        F.struct(F.lit(1).alias("_kind"), "orig_idx", F.col("name").alias("_text")),
-        F.struct(F.lit(2).alias("_kind"), "orig_idx", F.col("brand").alias("_text")))))
-    placed = row_numbers(entries, ["article_id"], [F.col("_kind"), F.col("orig_idx"), F.col("_text")], "_n")
-    at = F.col("_n") - 1
-    part = F.floor(at / SEARCH_PART)
-    parts = F.when(
-        (part > 0) & (at % SEARCH_PART <= LONGEST_QUERY), F.array(part, part - 1)).otherwise(F.array(part))
-    listed = placed.withColumn("part", F.explode(parts)).groupBy("article_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("_n", "_text"))).alias("_p"))
-    head = F.concat_ws(" ", "title", "description", "category_name", "tags")
-    return (
-        article_category(articles, categories).join(listed, "article_id", "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("keywords", F.concat_ws(
-            " ", F.when(F.col("part") == 0, head), F.transform("_p", lambda p: p["_text"])))
-        .drop("_p")
-    )
+    named = article_category(articles, categories)
+    heads = F.concat(
+        F.array(*[F.struct(F.lit(name).alias("field"), F.col(c).alias("text")) for name, c in (
+            ("1 title", "title"), ("2 description", "description"), ("3 category", "category_name"))]),
+        F.transform(F.coalesce("tags", F.array().cast("array<string>")),
+                    lambda t: F.struct(F.lit("4 tag").alias("field"), t.alias("text"))))
+    head_rows = named.select("article_id", F.posexplode(heads).alias("place", "e")).select(
+        "article_id", "e.field", F.col("place").cast("long").alias("place"), "e.text")
+    product_rows = products.select("article_id", F.col("orig_idx").cast("long").alias("place"), F.inline(F.array(
+        F.struct(F.lit("5 name").alias("field"), F.col("name").alias("text")),
+        F.struct(F.lit("6 brand").alias("field"), F.col("brand").alias("text")))))
+    known = product_rows.join(articles.select("article_id").distinct(), "article_id", "left_semi")
+    return head_rows.unionByName(known)
+
+
+def placed_entries(entries: DataFrame) -> DataFrame:
+    """Entries with their place in the article's text; null and empty ones are left out."""
+    return place_entries(entries, "article_id", [F.col("field"), F.col("place"), F.col("text")])
 
 
-def article_hits(rows: DataFrame, query: str) -> DataFrame:
-    """One row per article whose text holds the query: its first part that does."""
-    return first_per(matching(rows, query), ["article_id"], [F.col("part")])
+def article_hits(placed: DataFrame, index: DataFrame, query: str) -> DataFrame:
+    """One row per article whose text holds the query: how often, where first, and the entry it begins in."""
+    return first_hits(placed, index, "article_id", query)
 
 
 def search_products(products: DataFrame, articles: DataFrame, categories: DataFrame) -> DataFrame:
@@ -282,8 +277,6 @@ def product_hits(rows: DataFrame, query: str, n: int = 30) -> DataFrame:
 def matching(rows: DataFrame, query: str) -> DataFrame:
     """Rows whose keyword text holds the query; an empty query finds nothing."""
     wanted = query.strip().lower()
-    if len(wanted) > LONGEST_QUERY:
-        raise ValueError(f"a query has at most {LONGEST_QUERY} characters")
     if not wanted:
         return rows.limit(0)
     return rows.filter(F.contains(F.lower("keywords"), F.lit(wanted)))

@@ -67,3 +67,25 @@ def row_numbers(
     numbered = rows.join(starts, same)
     return numbered.select(
         *df.columns, (F.col("_before") + F.col("_seq") - F.col("_first") + 1).cast("int").alias(out))
+
+
+def prefix_sums(df: DataFrame, key: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the same key, in a total order, as a long.
+
+    Two levels, whatever the sizes: the rows are range-partitioned by key and order and written once with the
+    number of their piece; sums run within a piece, and a piece starts at the sums of those before it.  A key
+    spreads over as many pieces as it fills.
+    """
+    bounds = [*map(F.col, key), *order]
+    rows = cut_lineage(df.withColumn("_value", value.cast("long")).repartitionByRange(*bounds).withColumn(
+        "_piece", F.spark_partition_id()))
+    names = [f"_k{i}" for i in range(len(key))]
+    own = Window.partitionBy(*key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("_piece").alias("_at")).agg(
+        F.sum("_value").alias("_sum"))
+    starts = pieces.select(*names, "_at", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(starts[n]) for k, n in zip(key, names)],
+                  rows["_piece"] == starts["_at"])
+    summed = rows.withColumn("_within", F.coalesce(F.sum("_value").over(own), F.lit(0)))
+    return summed.join(starts, same).select(*df.columns, (F.col("_before") + F.col("_within")).alias(out))

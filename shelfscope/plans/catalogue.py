@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import catalogue as K
 from ..operators.numbering import first_per
+from ..operators.phrases import gram_index, write_index
+from ..session import cut_lineage, scratch_path
 from . import fixtures as fx
 from .registry import query
 
@@ -145,10 +149,23 @@ def related_articles(spark: SparkSession, sf: str) -> DataFrame:
     return K.related_articles(tagged)
 
 
-FOUND = """listed AS (SELECT article_id, string_agg(name, ' ' ORDER BY orig_idx) AS names, string_agg(brand, ' ' ORDER BY orig_idx) AS brands FROM shelf GROUP BY 1),
-heads AS (SELECT a.*, coalesce(c.name, a.category_id) AS category_name FROM articles a LEFT JOIN categories c USING (category_id)),
-found AS (SELECT 'article' AS kind, article_id, -1 AS orig_idx, concat_ws(' ', title, source, category_name, lang, names, brands) AS keywords FROM heads LEFT JOIN listed USING (article_id)
-  UNION ALL SELECT 'product', s.article_id, s.orig_idx, concat_ws(' ', s.name, s.brand, capacity, category_name, lang, concat('for ', source)) FROM shelf s JOIN heads USING (article_id))"""
+# beside the shelf, one article lists every order as a product; brands are often missing or empty
+WIDE = SHELF + """, wide AS (SELECT article_id, orig_idx, name, brand FROM shelf
+  UNION ALL SELECT 'doc-1', 1000000000 + o_orderkey, concat(o_orderpriority, ' ', o_orderstatus),
+    CASE o_orderstatus WHEN 'P' THEN concat('By ', CAST(o_custkey AS VARCHAR)) WHEN 'F' THEN '' END FROM orders)"""
+
+HEADS = """heads AS (SELECT a.*, coalesce(c.name, a.category_id) AS category_name FROM articles a LEFT JOIN categories c USING (category_id))"""
+
+FOUND = f"""{HEADS},
+found AS (SELECT s.article_id, s.orig_idx, concat_ws(' ', s.name, s.brand, capacity, category_name, lang, concat('for ', source)) AS keywords FROM shelf s JOIN heads USING (article_id))"""
+
+ENTRIES = f"""{HEADS},
+entries AS (SELECT article_id, '1 title' AS field, 0 AS place, title AS text FROM heads UNION ALL SELECT article_id, '2 description', 1, source FROM heads
+  UNION ALL SELECT article_id, '3 category', 2, category_name FROM heads UNION ALL SELECT article_id, '4 tag', 3, lang FROM heads
+  UNION ALL SELECT article_id, '5 name', orig_idx, name FROM wide UNION ALL SELECT article_id, '6 brand', orig_idx, brand FROM wide),
+held AS (SELECT * FROM entries SEMI JOIN articles USING (article_id) WHERE text <> ''),
+placed AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY article_id ORDER BY field, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM held),
+whole AS (SELECT article_id, lower(string_agg(text, ' ' ORDER BY field, place)) AS keywords FROM held GROUP BY 1)"""
 
 
 def _searchable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -157,6 +174,18 @@ def _searchable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     return articles, shelf(spark, sf), fx.categories(spark, sf)
 
 
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Placed search entries; one article holds a product for every order."""
+    articles, products, categories = _searchable(spark, sf)
+    status = F.col("o_orderstatus")
+    ordered = fx.table(spark, sf, "orders").select(
+        F.lit("doc-1").alias("article_id"), (F.lit(1_000_000_000) + F.col("o_orderkey")).alias("orig_idx"),
+        F.concat("o_orderpriority", F.lit(" "), status).alias("name"),
+        F.when(status == "P", F.concat(F.lit("By "), F.col("o_custkey").cast("string"))).when(status == "F", "").alias("brand"))
+    wide = products.select("article_id", "orig_idx", "name", "brand").unionByName(ordered)
+    return cut_lineage(K.placed_entries(K.search_entries(articles, wide, categories)))
+
+
 def _product_rows(spark: SparkSession, sf: str) -> DataFrame:
     articles, products, categories = _searchable(spark, sf)
     more = articles.select("article_id", F.col("tags").alias("features"),
@@ -165,20 +194,44 @@ def _product_rows(spark: SparkSession, sf: str) -> DataFrame:
     return K.search_products(featured, articles, categories)
 
 
-@query("search_index", fx.with_ctes("products", "articles", "categories", more=SHELF) + f""",
+@query("search_index", fx.with_ctes("articles", "categories", "products", more=WIDE) + f""",
+{ENTRIES}
+SELECT article_id, field, place, text, start AS "at" FROM placed""")
+def search_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The search table: each article's text entry by entry, with the place of each in the whole."""
+    placed = _entries(spark, sf)
+    lead = F.length("piece") - F.length(F.lower("text"))
+    return placed.select("article_id", "field", "place", "text", (F.col("at") + lead).alias("at"))
+
+
+# over the border of two entries, short, long, and in no text; none can overlap itself
+PHRASES = ["LOW o 2-high F", " ED Wid ", "ur", "x", "2-HIGH F 2-HIGH F 2-HIGH O 3-MEDIUM", "not there"]
+
+
+@query("phrase_search", fx.with_ctes("articles", "categories", "products", more=WIDE) + f""",
+{ENTRIES},
+phrases AS (SELECT lower(trim(unnest({PHRASES}))) AS phrase),
+hit AS (SELECT phrase, article_id, strpos(keywords, phrase) - 1 AS hit_at,
+  (length(keywords) - length(replace(keywords, phrase, ''))) // length(phrase) AS hits FROM whole, phrases WHERE contains(keywords, phrase))
+SELECT phrase, article_id, hits, hit_at, field, place, text FROM hit JOIN placed USING (article_id)
+WHERE hit_at >= greatest(start - 1, 0) AND hit_at < start + length(text)""")
+def phrase_search(spark: SparkSession, sf: str) -> DataFrame:
+    placed = _entries(spark, sf)
+    index = write_index(gram_index(placed, "article_id"), scratch_path(spark, "grams"))
+    found = [K.article_hits(placed, index, p).withColumn("phrase", F.lit(p.strip().lower())) for p in PHRASES]
+    return reduce(DataFrame.unionByName, found).select("phrase", "article_id", "hits", "hit_at", "field", "place", "text")
+
+
+@query("product_hits", fx.with_ctes("products", "articles", "categories", more=SHELF) + f""",
 {FOUND}
 SELECT * FROM found WHERE contains(lower(keywords), 'ed wid')""")
-def search_index(spark: SparkSession, sf: str) -> DataFrame:
-    by_article = K.article_hits(K.search_articles(*_searchable(spark, sf)), " ED Wid ").select(
-        F.lit("article").alias("kind"), "article_id", F.lit(-1).cast("bigint").alias("orig_idx"), "keywords")
-    by_product = K.matching(_product_rows(spark, sf), " ED Wid ").select(
-        F.lit("product").alias("kind"), "article_id", "orig_idx", "keywords")
-    return by_article.unionByName(by_product)
+def product_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return K.matching(_product_rows(spark, sf), " ED Wid ").select("article_id", "orig_idx", "keywords")
 
 
 @query("product_search", fx.with_ctes("products", "articles", "categories", more=SHELF) + f""",
 {FOUND}
-SELECT article_id, orig_idx, keywords FROM found WHERE kind = 'product' AND contains(lower(keywords), 'for src1')
+SELECT article_id, orig_idx, keywords FROM found WHERE contains(lower(keywords), 'for src1')
 ORDER BY article_id, orig_idx LIMIT 30""")
 def product_search(spark: SparkSession, sf: str) -> DataFrame:
     return K.product_hits(_product_rows(spark, sf), "For src1").select("article_id", "orig_idx", "keywords")

@@ -1,5 +1,8 @@
 """Behaviour that must hold whatever the partitioning or the skew."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from shelfscope.operators import catalogue as K
@@ -7,10 +10,12 @@ from shelfscope.operators import decisions as D
 from shelfscope.operators import matching as M
 from shelfscope.operators import numbering as B
 from shelfscope.operators import offers as O
+from shelfscope.operators import phrases as P
 from shelfscope.operators import quality as Q
 from shelfscope.operators import ranking as R
 from shelfscope.sources import jsonl as J
 from shelfscope.sources import tables as W
+from shelfscope.session import cut_lineage
 
 
 def test_hot_key_numbers_equal_the_window(spark):
@@ -290,21 +295,62 @@ def test_upsert_takes_the_first_offer_only(spark):
     assert sorted((r.label, r.url, r.price, r.changed) for r in got) == [("a", "u1", 11, True), ("b", "u2", 20, False)]
 
 
-def test_search_finds_phrases_at_any_size(spark):
-    names = [f"n{i:04d}" for i in range(3000)]
-    products = spark.createDataFrame([("a", i, n, f"b{i}") for i, n in enumerate(names)],
-                                     "article_id string, orig_idx long, name string, brand string")
+@pytest.fixture(scope="module")
+def one_article(spark):
     articles = spark.createDataFrame([("a", "T", "D", ["t"], "c")],
                                      "article_id string, title string, description string, tags array<string>, category_id string")
     categories = spark.createDataFrame([("c", "C")], "category_id string, name string")
-    rows = K.search_articles(articles, products, categories)
-    # over the end of a part, over many names, from the last name to the first brand
-    for phrase in (" ".join(names[995:1005]), " ".join(names[1985:2018]), "n2999 b0", "d c t n0000", "b999 b1000"):
-        assert K.article_hits(rows, phrase).count() == 1, phrase
-    assert K.article_hits(rows, "n0001 n0000").count() == 0
-    tiny = spark.createDataFrame([("a", i, "x", None) for i in range(3000)],
-                                 "article_id string, orig_idx long, name string, brand string")
-    assert K.article_hits(K.search_articles(articles, tiny, categories), " ".join("x" * 90)).count() == 1
+
+    def place(rows):
+        products = spark.createDataFrame(rows, "article_id string, orig_idx long, name string, brand string")
+        placed = cut_lineage(K.placed_entries(K.search_entries(articles, products, categories)))
+        return placed, cut_lineage(P.gram_index(placed, "article_id"))
+
+    return place
+
+
+def test_search_finds_phrases_at_any_size(spark, one_article):
+    names = [f"n{i:04d}" for i in range(3000)]
+    placed, index = one_article([("a", i, n, f"b{i}") for i, n in enumerate(names)])
+    # over the end of an entry, over many names, from the last name to the first brand, of any length
+    for phrase in (" ".join(names[995:1005]), " ".join(names[1985:2018]), "n2999 b0", "D C t N0000", "b999 b1000", " ".join(names)):
+        assert [r.hits for r in K.article_hits(placed, index, phrase).collect()] == [1], phrase
+    assert K.article_hits(placed, index, "n0001 n0000").count() == 0
+    assert K.article_hits(placed, index, "  ").count() == 0
+    tiny, tiny_index = one_article([("a", i, "x", None) for i in range(3000)])
+    assert [r.hits for r in K.article_hits(tiny, tiny_index, " ".join("x" * 90)).collect()] == [2911]
+
+
+@pytest.mark.parametrize("n", [3, 400, 700, 3000])
+def test_search_with_missing_brands_at_any_size(one_article, n):
+    """Brands far apart, null or empty in between, stand side by side; the hit is the same at each size."""
+    brands = {0: "Alpha", n - 1: "Beta"}
+    placed, index = one_article([("a", i, "n", brands.get(i, "" if i % 2 else None)) for i in range(n)])
+    hit = K.article_hits(placed, index, "ALPHA beta").collect()
+    assert [(r.hits, r.field, r.place, r.text) for r in hit] == [(1, "6 brand", 0, "Alpha")]
+
+
+def test_search_equals_plain_text(spark, one_article):
+    rnd = random.Random(3)
+    rows = [("a", i, "".join(rnd.choice("ab 語İ😀") for _ in range(rnd.randint(0, 4))), rnd.choice(["a", "b a", None, "😀"])) for i in range(80)]
+    placed, index = one_article(rows)
+    text = "".join(r.piece for r in placed.orderBy("at").collect())
+    for _ in range(25):
+        i = rnd.randrange(len(text))
+        phrase = text[i: i + rnd.randint(1, 12)].strip()
+        want = [i for i in range(len(text)) if text.startswith(phrase, i)] if phrase else []
+        assert sorted(r.at for r in P.phrase_starts(index, "article_id", phrase).collect()) == want
+
+
+def test_prefix_sums_of_a_hot_key(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 4 > 0, "hot").when(F.col("id") % 8 > 0, "k").alias("k"),
+                                  (F.col("id") * 7919 % 4001).alias("v"), "id")
+    got = B.prefix_sums(df.repartition(7), ["k"], [F.col("v").desc()], F.col("id"), "before").collect()
+    want, sums = {}, {}
+    for r in sorted(got, key=lambda r: -r.v):
+        want[r.id] = sums.get(r.k, 0)
+        sums[r.k] = want[r.id] + r.id
+    assert {r.id: r.before for r in got} == want and len(got) == 4000
 
 
 def test_yaml_scalars_of_the_json_schema(spark):
