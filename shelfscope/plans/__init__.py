@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["prices", "offers", "catalogue", "text", "matching", "jobs"]
+FAMILIES = ["prices", "offers", "catalogue", "text", "matching", "jobs", "ledger"]
 
 
 def load_all() -> None:
