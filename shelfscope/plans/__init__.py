@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["prices", "offers", "catalogue", "text", "matching", "jobs", "ledger"]
+FAMILIES = ["prices", "offers", "catalogue", "text", "matching", "jobs", "ledger", "refresh"]
 
 
 def load_all() -> None:
