@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import cut_lineage
+
 SHARD_ROWS = 8192
 QUERY_ROWS = 4096
 LEAF_ROWS = 512
@@ -69,7 +71,7 @@ def exact_scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 def search_shard(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
                  norm: float, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best of a shard for each query: query id, vector id, score.
+    """The ``k`` best of a shard for each query: number of the query's row, vector id, score.
 
     Largest inner product becomes smallest distance with one more coordinate that lifts all points to
     the length ``norm``.  Ties are settled by the exact score and then by id.
@@ -113,7 +115,7 @@ def search_shard(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, que
 
     Tree(raised).search(asked, visit, reach, factor)
     q, r = np.nonzero(best >= 0)
-    return query_ids[q], ids[best[q, r]], tops[q, r]
+    return q, ids[best[q, r]], tops[q, r]
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -143,21 +145,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     norm = float(size[1] or 1.0) * (1 + 1e-9)
     shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks))
     points = points.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # one number per query row: rows of one id are ranked apart
+    asked = cut_lineage(asked.withColumn("_row", F.monotonically_increasing_id()))
     asked = asked.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-                {"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"_row": [], "query_id": [], "vec_id": [], "score": []}).astype(
+                {"_row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
         left = left.sort_values("vec_id", kind="stable")
-        q, v, s = search_shard(left["vec_id"].to_numpy(), np.stack(left["v"]), right["vec_id"].to_numpy(),
-                               np.stack(right["v"]), k, norm, factor)
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+        ids = right["vec_id"].to_numpy()
+        q, v, s = search_shard(left["vec_id"].to_numpy(), np.stack(left["v"]), ids, np.stack(right["v"]), k, norm, factor)
+        return pd.DataFrame({"_row": right["_row"].to_numpy()[q], "query_id": ids[q], "vec_id": v, "score": s})
 
     keys = ["dim", F.col("shard").cast("long").alias("shard"), F.col("block").cast("long").alias("block"), "vec_id", "v"]
     found = points.select(*keys).groupBy("dim", "shard", "block").cogroup(
-        asked.select(*keys).groupBy("dim", "shard", "block")).applyInPandas(
-        run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        asked.select(*keys, "_row").groupBy("dim", "shard", "block")).applyInPandas(
+        run, "_row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

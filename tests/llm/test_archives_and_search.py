@@ -62,6 +62,7 @@ def test_exact_and_relaxed(leaf, monkeypatch):
     def rows(factor):
         monkeypatch.setattr(vt.Tree.__init__, "__defaults__", (leaf,))
         q, v, s = vt.search_shard(ids, x, ask, x[ask], 10, norm, factor)
+        q = ask[q]
         order = np.lexsort((v, -s, q))
         return list(zip(q[order].tolist(), v[order].tolist(), s[order].tolist()))
 
@@ -84,3 +85,13 @@ def test_shards_blocks_and_odd_vectors(spark):
     assert got == want
     assert vt.nearest(df.limit(0), asked, k=5).count() == 0
     assert vt.nearest(df, asked.limit(0), k=5).count() == 0
+
+
+def test_queries_of_one_id_are_ranked_apart(spark):
+    points = spark.createDataFrame([(i, [float(i), float(i % 7)]) for i in range(1, 60)], "vec_id long, embedding array<double>")
+    asked = [(20, [1.0, 20.0]), (20, [1.0, -3.0]), (20, [1.0, -3.0]), (40, [-1.0, 0.5])]
+    queries = spark.createDataFrame(asked, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vt.nearest(points, queries, k=4, shard_rows=11, query_rows=2).collect()))
+    ids, x = np.arange(1, 60), np.array([[i, i % 7] for i in range(1, 60)], float)
+    want = sorted(row for q, v in asked for row in brute(ids, x, np.array([q]), np.array([v]), 4))
+    assert got == want
