@@ -7,13 +7,10 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import checked_broadcast
+from ..session import checked_broadcast, cut_lineage
 from .numbering import first_per, row_numbers, top_per
 from .phrases import first_hits, place_entries
 
-# Articles with more tags than this go the direct way in ``related_articles``.
-MAX_SUBSET_TAGS = 8
-
 
 def published(articles: DataFrame) -> DataFrame:
     return articles.filter(~F.coalesce(F.col("draft"), F.lit(False)))
@@ -146,15 +143,46 @@ def categories_in_order(categories: DataFrame, n: int = 18) -> DataFrame:
     return categories.orderBy("sort_order", "category_id").limit(n)
 
 
-def _subsets(tags: Column) -> Column:
-    """All non-empty subsets of a sorted tag list as joined text."""
-    start = F.array(F.array().cast("array<string>"))
-    grown = F.aggregate(
-        tags, start,
-        lambda acc, tag: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, tag))))
-    return F.transform(
-        F.filter(grown, lambda s: F.size(s) > 0),
-        lambda s: F.struct(F.size(s).alias("overlap"), F.array_join(s, "\u0001").alias("tag_key")))
+def _by_rarity(base: DataFrame) -> DataFrame:
+    """``base`` with its ``tags`` in one global order, the tags of fewest articles first."""
+    tags = base.select("article_id", F.explode("tags").alias("tag"))
+    held = tags.join(tags.groupBy("tag").agg(F.count("*").alias("_df")), "tag")
+    ordered = held.groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("_df", "tag"))).alias("_t"))
+    return base.drop("tags").join(ordered, "article_id").select(
+        *[c for c in base.columns if c != "tags"], F.transform("_t", lambda t: t["tag"]).alias("tags"))
+
+
+def _most_shared(base: DataFrame, asking: DataFrame, n: int) -> DataFrame:
+    """For each asking article (``of``) rows that hold its ``n`` best of other categories: most shared tags, then newest.
+
+    The newest holders of each tag come first.  They hold all partners that share one tag only and can be among
+    the best, and give a floor: the shared tags of the n-th best so far, two at least.  Whoever shares that many
+    shares one of the rarest ``m - floor + 1`` of an article's m tags, and has as many tags left there itself.  So the
+    join leaves out the most frequent tags of both sides, one that all articles hold among them, and meets a
+    pair at its rarest common tag alone.
+    """
+    newest = [F.col("published_at").desc(), F.col("article_id")]
+    sorted_ = cut_lineage(_by_rarity(base))
+    spots = sorted_.select(
+        "article_id", F.col("category_id").alias("_cat"), "published_at", F.col("tags").alias("_theirs"),
+        F.posexplode("tags").alias("_at", "tag")).withColumn("_left", F.size("_theirs") - F.col("_at"))
+    asked = sorted_.join(asking.select("article_id"), "article_id", "left_semi").select(
+        F.col("article_id").alias("of"), "category_id", F.col("tags").alias("_mine"), F.posexplode("tags").alias("_place", "tag"))
+    shared = F.array_intersect("_mine", "_theirs")
+    columns = ["of", "article_id", "published_at", "overlap"]
+    # up to n members of the own category may have to be skipped
+    seeds = asked.join(top_per(spots, ["tag"], newest, 2 * n), "tag").where(
+        (F.col("category_id") != F.col("_cat")) & (F.get(shared, F.lit(0)) == F.col("tag")))
+    seeds = cut_lineage(seeds.select(*columns[:-1], F.size(shared).alias("overlap")))
+    floor = top_per(seeds, ["of"], [F.col("overlap").desc(), *newest], n, "_nth").where(F.col("_nth") == n).select(
+        "of", F.greatest("overlap", F.lit(2)).alias("_floor"))
+    open_ = asked.join(floor, "of", "left").withColumn("_floor", F.coalesce("_floor", F.lit(2))).where(
+        F.size("_mine") - F.col("_place") >= F.col("_floor"))
+    more = open_.join(spots.where("_left >= 2"), "tag").where(
+        (F.col("category_id") != F.col("_cat")) & (F.col("_left") >= F.col("_floor"))
+        & (F.get(shared, F.lit(0)) == F.col("tag")) & (F.size(shared) >= F.col("_floor")))
+    more = more.select(*columns[:-1], F.size(shared).alias("overlap"))
+    return seeds.unionByName(more).distinct()
 
 
 def related_articles(articles: DataFrame, n: int = 3) -> DataFrame:
@@ -163,12 +191,11 @@ def related_articles(articles: DataFrame, n: int = 3) -> DataFrame:
     Same category first (newest), then by number of shared tags, then newest
     overall.  No pair list is built: a category contributes its ``n + 1`` newest
     articles, and only articles of categories with at most ``n`` members need
-    tags.  For tags, each set of tags keeps the newest articles that carry all
-    of it; an article outside that list is outranked by ``n`` that are in it.
+    tags (``_most_shared``).
     """
     base = published(articles).select(
         "article_id", "category_id", "published_at",
-        F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("tags"))
+        F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"))
     newest = [F.col("published_at").desc(), F.col("article_id")]
     mine = base.select(F.col("article_id").alias("of"), "category_id")
     peers = top_per(base.drop("tags"), ["category_id"], newest, n + 1)
@@ -177,36 +204,7 @@ def related_articles(articles: DataFrame, n: int = 3) -> DataFrame:
 
     small = base.groupBy("category_id").agg(F.count("*").alias("_n")).filter(F.col("_n") <= n)
     needy = base.join(small.drop("_n"), "category_id", "left_semi")
-    # up to n members of the own category may have to be skipped
-    reach = 2 * n
-    narrow = F.size("tags") <= MAX_SUBSET_TAGS
-    by_set = top_per(
-        base.filter(narrow).select(
-            "article_id", "category_id", "published_at", F.inline(_subsets(F.col("tags")))),
-        ["tag_key"], newest, reach).withColumnRenamed("category_id", "_cat")
-    subset_pairs = (
-        needy.filter(narrow)
-        .select(F.col("article_id").alias("of"), "category_id", F.inline(_subsets(F.col("tags"))))
-        .join(by_set.drop("overlap"), "tag_key")
-    )
-    tag_rows = base.select("article_id", F.col("category_id").alias("_cat"), "published_at",
-                           (~narrow).alias("_wide"), F.explode("tags").alias("tag"))
-    # wide articles are told apart before the join: narrow pairs never meet here
-    asking = needy.select(F.col("article_id").alias("of"), "category_id", (~narrow).alias("_ofw"),
-                          F.explode("tags").alias("tag"))
-    direct = (
-        asking.where("_ofw").join(tag_rows, "tag")
-        .unionByName(asking.where("not _ofw").join(tag_rows.where("_wide"), "tag"))
-        .groupBy("of", "category_id", "article_id", "_cat", "published_at")
-        .agg(F.count("*").cast("int").alias("overlap"))
-    )
-    columns = ["of", "category_id", "article_id", "_cat", "published_at", "overlap"]
-    tagged = (
-        subset_pairs.select(*columns).unionByName(direct.select(*columns))
-        .filter(F.col("category_id") != F.col("_cat"))
-        .groupBy("of", "article_id", "published_at").agg(F.max("overlap").alias("overlap"))
-        .withColumn("tier", F.lit(2))
-    )
+    tagged = _most_shared(base, needy, n).withColumn("tier", F.lit(2))
     # the newest few of all: own category and tag hits may take up to 2n of them
     latest = base.select("article_id", F.col("category_id").alias("_cat"), "published_at").orderBy(
         *newest).limit(3 * n)

@@ -1,5 +1,6 @@
 """Behaviour that must hold whatever the partitioning or the skew."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -125,17 +126,7 @@ def test_upsert_truth_table(spark):
     assert (r.price, r.rating, r.available, r.updated_at) == (None, None, None, "d1")
 
 
-def test_related_with_many_tags_matches_brute_force(spark):
-    import datetime as dt
-    import random
-
-    rnd = random.Random(3)
-    rows = []
-    for i in range(60):
-        n = 12 if i % 9 == 0 else rnd.randint(0, 4)
-        tags = rnd.sample([f"t{j}" for j in range(16)], n)
-        rows.append((f"a{i:02d}", f"c{i // 2}", tags, dt.date(2024, 1, 1) + dt.timedelta(rnd.randint(0, 40)), i % 10 == 0))
-    df = spark.createDataFrame(rows, "article_id string, category_id string, tags array<string>, published_at date, draft boolean")
+def _related_by_force(rows):
     live = [r for r in rows if not r[4]]
     want = set()
     for a in live:
@@ -143,13 +134,41 @@ def test_related_with_many_tags_matches_brute_force(spark):
             if b[1] == a[1]:
                 tier, shared = 1, 0
             else:
-                shared = len(set(a[2]) & set(b[2]))
+                shared = len(set(a[2] or ()) & set(b[2] or ()))
                 tier = 2 if shared else 3
             return (tier, -shared, -b[3].toordinal(), b[0])
         best = sorted((b for b in live if b[0] != a[0]), key=order)[:3]
         want |= {(a[0], p + 1, b[0]) for p, b in enumerate(best)}
-    got = {(r.article_id, r.place, r.related_id) for r in K.related_articles(df).collect()}
-    assert got == want
+    return want
+
+
+ARTICLE = "article_id string, category_id string, tags array<string>, published_at date, draft boolean"
+
+
+@pytest.mark.parametrize("hot", [[], ["all"], ["all", "most"]])
+def test_related_matches_brute_force(spark, hot):
+    """Few and many tags, missing ones, and tags that (nearly) all articles hold."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(90):
+        tags = rnd.sample([f"t{j}" for j in range(16)], 12 if i % 9 == 0 else rnd.randint(0, 4))
+        tags += [t for t in hot if t == "all" or i % 7]
+        rnd.shuffle(tags)
+        rows.append((f"a{i:02d}", f"c{i // 2}", tags if i % 11 else None, dt.date(2024, 1, 1) + dt.timedelta(rnd.randint(0, 40)), i % 10 == 0))
+    got = {(r.article_id, r.place, r.related_id) for r in K.related_articles(spark.createDataFrame(rows, ARTICLE)).collect()}
+    assert got == _related_by_force(rows)
+
+
+def test_related_with_a_tag_on_all_articles_makes_no_pairs(spark):
+    """The rows that reach the ranking grow with the articles, not with their square."""
+    def rows(n):
+        return [(f"a{i:04d}", f"c{i}", ["all", f"s{i % (n // 4)}"], dt.date(2024, 1, 1) + dt.timedelta(i * 7 % 400), False) for i in range(n)]
+
+    counts = []
+    for n in (200, 800):
+        df = spark.createDataFrame(rows(n), ARTICLE)
+        counts.append(K._most_shared(df, df, 3).count())
+    assert counts[0] < 12 * 200 and counts[1] < 5 * counts[0]
 
 
 def test_same_product_matches_brute_force(spark):
