@@ -11,6 +11,9 @@ from ..session import checked_broadcast, cut_lineage
 from .numbering import first_per, row_numbers, top_per
 from .phrases import first_hits, place_entries
 
+# Shared tags by which two articles meet; sets of so many tags are made of an article's tags.
+KEY_TAGS = 4
+
 
 def published(articles: DataFrame) -> DataFrame:
     return articles.filter(~F.coalesce(F.col("draft"), F.lit(False)))
@@ -144,44 +147,61 @@ def categories_in_order(categories: DataFrame, n: int = 18) -> DataFrame:
 
 
 def _by_rarity(base: DataFrame) -> DataFrame:
-    """``base`` with its ``tags`` in one global order, the tags of fewest articles first."""
+    """Articles of more than ``KEY_TAGS`` tags, these in one global order, the tags of fewest articles first."""
     tags = base.select("article_id", F.explode("tags").alias("tag"))
-    held = tags.join(tags.groupBy("tag").agg(F.count("*").alias("_df")), "tag")
+    wide = base.where(F.size("tags") > KEY_TAGS)
+    held = wide.select("article_id", F.explode("tags").alias("tag")).join(tags.groupBy("tag").agg(F.count("*").alias("_df")), "tag")
     ordered = held.groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("_df", "tag"))).alias("_t"))
-    return base.drop("tags").join(ordered, "article_id").select(
-        *[c for c in base.columns if c != "tags"], F.transform("_t", lambda t: t["tag"]).alias("tags"))
+    return wide.drop("tags").join(ordered, "article_id").withColumn("tags", F.transform("_t", lambda t: t["tag"])).drop("_t")
+
+
+def _tag_keys(tags: Column) -> Column:
+    """All sets of one to ``KEY_TAGS`` of the ordered tags, as joined text."""
+    grown = F.aggregate(
+        tags, F.array(F.array().cast("array<string>")),
+        lambda acc, tag: F.concat(acc, F.transform(
+            F.filter(acc, lambda s: F.size(s) < KEY_TAGS), lambda s: F.array_append(s, tag))))
+    return F.transform(F.filter(grown, lambda s: F.size(s) > 0), lambda s: F.struct(
+        F.array_join(s, "\u0001").alias("key"), F.size(s).alias("_size")))
 
 
 def _most_shared(base: DataFrame, asking: DataFrame, n: int) -> DataFrame:
     """For each asking article (``of``) rows that hold its ``n`` best of other categories: most shared tags, then newest.
 
-    The newest holders of each tag come first.  They hold all partners that share one tag only and can be among
-    the best, and give a floor: the shared tags of the n-th best so far, two at least.  Whoever shares that many
-    shares one of the rarest ``m - floor + 1`` of an article's m tags, and has as many tags left there itself.  So the
-    join leaves out the most frequent tags of both sides, one that all articles hold among them, and meets a
-    pair at its rarest common tag alone.
+    A pair meets at one key alone: its shared tags, the ``KEY_TAGS`` rarest of them if there are more.  Each set
+    of up to ``KEY_TAGS`` tags keeps its newest holders; who shares just that set and is not among them is
+    outranked by ``n`` of them.  So sets that most articles hold make no pairs.  Partners of more shared tags are
+    met at their key in full, but only such as share at least as many tags as the n-th best found so far.
     """
     newest = [F.col("published_at").desc(), F.col("article_id")]
-    sorted_ = cut_lineage(_by_rarity(base))
-    spots = sorted_.select(
-        "article_id", F.col("category_id").alias("_cat"), "published_at", F.col("tags").alias("_theirs"),
-        F.posexplode("tags").alias("_at", "tag")).withColumn("_left", F.size("_theirs") - F.col("_at"))
-    asked = sorted_.join(asking.select("article_id"), "article_id", "left_semi").select(
-        F.col("article_id").alias("of"), "category_id", F.col("tags").alias("_mine"), F.posexplode("tags").alias("_place", "tag"))
+
+    def sides(ordered: DataFrame) -> tuple[DataFrame, DataFrame]:
+        keys = F.inline(_tag_keys(F.col("tags")))
+        theirs = ordered.select("article_id", F.col("category_id").alias("_cat"), "published_at", F.col("tags").alias("_theirs"), keys)
+        mine = ordered.join(asking.select("article_id"), "article_id", "left_semi").select(
+            F.col("article_id").alias("of"), "category_id", F.col("tags").alias("_mine"), keys)
+        return mine, theirs
+
     shared = F.array_intersect("_mine", "_theirs")
-    columns = ["of", "article_id", "published_at", "overlap"]
+    # a key holds shared tags only, so one of as many tags as are shared is the pair's own
+    own = F.when(F.col("_n") > KEY_TAGS, F.array_join(F.slice(shared, 1, KEY_TAGS), "\u0001") == F.col("key")).otherwise(
+        F.col("_n") == F.col("_size"))
+
+    def found(rows: DataFrame) -> DataFrame:
+        other = rows.where(F.col("category_id") != F.col("_cat")).withColumn("_n", F.size(shared))
+        return other.where(own).select("of", "article_id", "published_at", F.col("_n").alias("overlap"))
+
     # up to n members of the own category may have to be skipped
-    seeds = asked.join(top_per(spots, ["tag"], newest, 2 * n), "tag").where(
-        (F.col("category_id") != F.col("_cat")) & (F.get(shared, F.lit(0)) == F.col("tag")))
-    seeds = cut_lineage(seeds.select(*columns[:-1], F.size(shared).alias("overlap")))
+    mine, theirs = sides(base)
+    seeds = found(mine.join(top_per(theirs, ["key"], newest, 2 * n).drop("_size"), "key"))
+    if base.where(F.size("tags") > KEY_TAGS).isEmpty():
+        return seeds
+    seeds = cut_lineage(seeds)
     floor = top_per(seeds, ["of"], [F.col("overlap").desc(), *newest], n, "_nth").where(F.col("_nth") == n).select(
-        "of", F.greatest("overlap", F.lit(2)).alias("_floor"))
-    open_ = asked.join(floor, "of", "left").withColumn("_floor", F.coalesce("_floor", F.lit(2))).where(
-        F.size("_mine") - F.col("_place") >= F.col("_floor"))
-    more = open_.join(spots.where("_left >= 2"), "tag").where(
-        (F.col("category_id") != F.col("_cat")) & (F.col("_left") >= F.col("_floor"))
-        & (F.get(shared, F.lit(0)) == F.col("tag")) & (F.size(shared) >= F.col("_floor")))
-    more = more.select(*columns[:-1], F.size(shared).alias("overlap"))
+        "of", F.col("overlap").alias("_floor"))
+    mine, theirs = (x.where(F.col("_size") == KEY_TAGS) for x in sides(cut_lineage(_by_rarity(base))))
+    more = found(mine.join(theirs.drop("_size"), "key")).where(F.col("overlap") > KEY_TAGS)
+    more = more.join(floor, "of", "left").where("overlap >= coalesce(_floor, 0)").drop("_floor")
     return seeds.unionByName(more).distinct()
 
 
@@ -195,7 +215,7 @@ def related_articles(articles: DataFrame, n: int = 3) -> DataFrame:
     """
     base = published(articles).select(
         "article_id", "category_id", "published_at",
-        F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"))
+        F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("tags"))
     newest = [F.col("published_at").desc(), F.col("article_id")]
     mine = base.select(F.col("article_id").alias("of"), "category_id")
     peers = top_per(base.drop("tags"), ["category_id"], newest, n + 1)
