@@ -50,7 +50,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             found = [fingerprint(t, shingle) for t in present(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], [doc_id, "fp"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"{doc_id} long, fp long")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, fp long")
 
 
 _LOW = 0x5555555555555555

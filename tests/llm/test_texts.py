@@ -250,3 +250,13 @@ def test_few_segments_keep_the_states_apart(spark, n):
         df = spark.createDataFrame([(first + i, 0, c) for i, c in enumerate(few)], "_row long, part int, classes binary")
         got.append(hl.train(df, np.ones(40), rounds=1).emit)
     assert np.allclose(*got) and np.ptp(got[0], axis=0).max() > 0.01
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_op10_with_ids_of_another_type(spark, kind):
+    rows = [(7, "a b c d e"), (3, "a b c d e"), (5, "x y z u v w"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = pd.near_duplicates(docs)
+    assert got.schema["doc_id"].dataType.simpleString() == got.schema["component_id"].dataType.simpleString() == kind
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got.collect()) == [
+        ("3", "3"), ("5", "5"), ("7", "3"), ("None", "None")]
