@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelfscope.functions import names as N
 from shelfscope.operators import catalogue as K
 from shelfscope.operators import decisions as D
 from shelfscope.operators import matching as M
@@ -386,3 +387,44 @@ def test_yaml_scalars_of_the_json_schema(spark):
     assert (p.name, p.rank, p.brand, p.price, p.rating, p.recommendedFor, p.pros) == ("12:30", 10, None, 16, None, None, ["on"])
     assert [r.path for r in bad.collect()] == ["x/two.md"]
     assert good.select("data")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_questions_over_lines_and_questions_as_answers(spark):
+    rows = [
+        ("long", "## よくある質問\n**Q. 一行目\n二行目？**\n\n答え"),
+        ("list", "## よくある質問 (FAQ)\n- **Q: 項目**\nA： はい\n- **Q: 次**"),
+        ("again", "## よくある質問\n**Q. 一**\n**Q. 二**\n答え\n**Q. 三**\nA"),
+        ("old", "## よくある質問\n### 一\n### 二\n\n  答え\n##"),
+        ("last", "## よくある質問\n**一？**"), ("null", None), ("empty", ""), ("late", "### よくある質問\n### q\na"),
+    ]
+    got = {r.k: [(f.question, f.answer) for f in r.f] for r in
+           Q.with_faqs(spark.createDataFrame(rows, "k string, body string"), "f").collect()}
+    assert got["long"] == [("一行目\n二行目？", "答え")]
+    assert got["list"] == [("項目", "はい\n- **Q: 次**")]
+    assert got["again"] == [("一", "**Q. 二**\n答え"), ("三", "A")]
+    assert got["old"] == [("一", "### 二")]
+    assert all(got[k] == [] for k in ("last", "null", "empty", "late"))
+
+
+def test_lint_reads_what_stands_beside_an_amount(spark):
+    kinds = {
+        "12円 と 99円": None, "1,20円": "price", ",,1円": None, "３００ 円": "price", "円 ／ 枚": "unit-price", "円/km": None,
+        "| 5円 |": "price-table", " | 円 / x |": "price-table", "| 5円": None, "|円錐| 1,000円": "price", "x | 5円 |": None,
+        "1,000円<!--lint-allow-number-->": None, "1,000円 <!-- other -->": "price", "円": None, "": None, None: None,
+    }
+    rows = [(i, 0, line) for i, line in enumerate(kinds)]
+    found = {r.article_id: r.kind for r in
+             Q.lint_prose(spark.createDataFrame(rows, "article_id int, first_line int, body string")).collect()}
+    assert {line: found.get(i) for i, line in enumerate(kinds)} == kinds
+
+
+def test_piece_counts_by_precedence(spark):
+    line = "お風呂カビーヌ "
+    want = {
+        line + "4個 パック×2セット (3個入×5セット 箱)": "3個×5セット", line + "6個入 2個パック(7セット)": "2個×7セット",
+        line + "2個パック×7セット": "2個×7セット", line + "1,200 個 セット": "1,200個", line + "3個": None,
+        line + "3個×5セット": None, "その他 3個入": None, line: None,
+    }
+    rows = [(t,) for t in want]
+    got = spark.createDataFrame(rows, "t string").select("t", N.sales_count(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in got} == want
