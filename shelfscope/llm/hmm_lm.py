@@ -4,18 +4,23 @@ A latent state emits a word class and the class emits the word: the classes are
 of the training texts, one each, and a fixed number of hash classes for all others.  Baum-Welch trains the
 transitions and class emissions.  One more pass over the training texts gives the expected count of every
 word in every state, a table that grows with the vocabulary: how likely a word is within its class differs
-by state.  The likelihood of a text is then the scaled forward recursion over its words.  The word terms of
-frequent words go to all tasks, those of all others come by a join by word.
+by state.  The likelihood of a text is then the scaled forward recursion over its words.
+
+The word terms of frequent words go to all tasks.  All other words meet their counts by bucket of their hash:
+texts are coded in blocks, each block sends its distinct words to their buckets once, packed, and gets the
+corpus counts back in the same order.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut_lineage, most_frequent, present
@@ -31,14 +36,26 @@ START_PART = 16
 SEGMENT = 512
 NO_HEAD = 0xFFFFFFFF
 OWN = 2.0  # counts of its class that are added to a word's own counts by state
+BLOCK_TOKENS = 1 << 18  # a block ends with the segment that reaches them
+BUCKET_WORDS = 100_000  # words outside the head, repeats between blocks included, meant for one bucket
 
 
 def tail_class(word: str | bytes) -> int:
-    import zlib
-
     return CLASS_WORDS + zlib.crc32(word if isinstance(word, bytes) else word.encode()) % TAIL_CLASSES
 
 
+def bucket(word: bytes, per_class: int) -> int:
+    """Where a word meets its counts; all words of a bucket are of the hash class ``bucket % TAIL_CLASSES``."""
+    group, c = divmod(zlib.crc32(word), TAIL_CLASSES)
+    return group % per_class * TAIL_CLASSES + c
+
+
+def buckets_per_class(v: Vocabulary) -> int:
+    """Grows with the training tokens outside the head."""
+    rare = v.tokens - sum(n for _, n in v.head.values())
+    return 1 + rare // (BUCKET_WORDS * TAIL_CLASSES)
+
+
 @dataclass
 class Vocabulary:
     """Counts of the head words, their classes, and totals of the training tokens."""
@@ -84,21 +101,48 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(head, total.n or 0, total.v or 0, tokens, types)
 
 
-def encode(docs: DataFrame, vocab, doc_id: str, text: str, carry: list[str]) -> DataFrame:
-    """One row per segment of ``SEGMENT`` tokens.
+def _block(number: int, segments: list[tuple], meta: list[pa.Array], names: list[str], per_class: int) -> pa.RecordBatch:
+    """One row: the segments, and their distinct words outside the head, packed by bucket."""
+    words = sorted({(bucket(w, per_class), w) for s in segments for w in s[4]})
+    index = {w: i for i, (_, w) in enumerate(words)}
+    packed: dict[int, list[bytes]] = {}
+    for at, w in words:
+        packed.setdefault(at, []).append(w)
+    rows, part, classes, marks, rare, known, base, inner = zip(*segments)
+    rare = [np.fromiter(map(index.__getitem__, ws), np.uint32, len(ws)).tobytes() for ws in rare]
+    own = [pa.array(part, pa.int32()), *[pa.array(x, pa.binary()) for x in (classes, marks, rare)],
+           pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(inner, pa.float64())]
+    picked = [c.take(pa.array(rows, pa.int32())) for c in meta]
+    each = pa.StructArray.from_arrays([*picked, *own], [*names, *_OWN])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(segments)], pa.int32()), each),
+         pa.array([list(packed)], pa.list_(pa.int32())),
+         pa.array([[b" ".join(ws).decode() for ws in packed.values()]], pa.list_(pa.string()))],
+        ["block", "segs", "buckets", "words"])
+
+
+_OWN = ["part", "classes", "marks", "rare", "known", "base", "inner"]
+
+
+def encode(docs: DataFrame, vocab, text: str, per_class: int = 1) -> DataFrame:
+    """One row per block of segments of ``SEGMENT`` tokens, with all other columns of ``docs`` in each segment.
 
     ``part`` numbers the segments of a text; ``classes`` are its classes as 16-bit numbers; ``marks`` the
-    head numbers of its tokens in hash classes as 32-bit numbers, ``NO_HEAD`` for those outside the head,
-    which ``rare`` lists in order; ``known`` and ``base`` and ``inner`` are sums over head words.
+    head numbers of its tokens in hash classes as 32-bit numbers, ``NO_HEAD`` for those outside the head;
+    ``rare`` says in order which of the block's words those are; ``known``, ``base`` and ``inner`` are
+    sums over head words.  ``buckets`` and ``words`` list the words of the block outside the head.  The block
+    number is fixed once the table is written.
     """
+    others = [c for c in docs.columns if c != text]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
+        number = TaskContext.get().partitionId() << 32
         table: dict[bytes, tuple[int, float | None, float | None, int]] = {}
         for i, (w, (c, n)) in enumerate(v.head.items()):
             table[w] = (c, base_term(n, v), inner_term(n, c, v), i)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            where = []
+            segments, held = [], 0
             for row, t in enumerate(present(batch.column(0).to_pylist())):
                 ws = t.encode().lower().split()
                 ws.append(END.encode())
@@ -110,22 +154,28 @@ def encode(docs: DataFrame, vocab, doc_id: str, text: str, carry: list[str]) ->
                 sure = [f for f in found if f[1] is not None]
                 sums = (len(sure), sum(f[1] for f in sure), sum(f[2] for f in sure))
                 for part, start in enumerate(range(0, len(codes), SEGMENT)):
-                    where.append(row)
                     cut = slice(start, start + SEGMENT)
-                    others = (start + np.flatnonzero(heads[cut] == NO_HEAD)).tolist()
-                    values = (part, codes[cut].tobytes(), heads[cut][codes[cut] >= CLASS_WORDS].tobytes(),
-                              [ws[i].decode() for i in others], *(sums if part == 0 else (0, 0.0, 0.0)))
-                    for column, value in zip(out, values):
-                        column.append(value)
-            kept = [c.take(pa.array(where, pa.int32())) for c in batch.columns[1:]]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, k) for c, k in zip(out, kinds)]],
-                                             [doc_id, *carry, "part", "classes", "marks", "rare", "known", "base", "inner"])
-
-    picked = docs.select(F.col(text).alias("_text"), doc_id, *carry)
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema[1:])
-    return picked.mapInArrow(run, kept + "part int, classes binary, marks binary, rare array<string>, "
-                                         "known long, base double, inner double")
+                    absent = (start + np.flatnonzero(heads[cut] == NO_HEAD)).tolist()
+                    segments.append((row, part, codes[cut].tobytes(), heads[cut][codes[cut] >= CLASS_WORDS].tobytes(),
+                                     [ws[i] for i in absent], *(sums if part == 0 else (0, 0.0, 0.0))))
+                    held += len(codes[cut])
+                    if held >= BLOCK_TOKENS:
+                        yield _block(number, segments, batch.columns[1:], others, per_class)
+                        number, segments, held = number + 1, [], 0
+            if segments:
+                yield _block(number, segments, batch.columns[1:], others, per_class)
+                number += 1
+
+    picked = docs.select(text, *others)
+    kept = "".join(f"`{f.name}`: {f.dataType.simpleString()}, " for f in picked.schema[1:])
+    return picked.mapInArrow(run, f"block long, segs array<struct<{kept}part: int, classes: binary, marks: binary, rare: binary, "
+                                  "known: bigint, base: double, inner: double>>, buckets array<int>, words array<string>")
+
+
+def segments_of(blocks: DataFrame, training: str | None = None) -> DataFrame:
+    """One row per segment with its ``classes``, of those where the field ``training`` holds."""
+    each = blocks.select(F.explode("segs").alias("s"))
+    return (each.where(F.col("s")[training]) if training else each).select("s.classes")
 
 
 def base_term(n: int, v: Vocabulary) -> float:
@@ -252,79 +302,142 @@ def train(segments: DataFrame, weights: np.ndarray, states: int = STATES, rounds
     return model
 
 
-def word_states(segments: DataFrame, model: Hmm, vocab) -> DataFrame:
-    """``word``, ``head`` (its number, null outside the head) and ``s0``, ``s1``...: expected counts by state.
+def _floats(rows: np.ndarray) -> bytes:
+    return rows.astype(np.float32).tobytes()
+
 
-    One row per word of the hash classes in these segments, so its size is that of the vocabulary.
+def word_entries(blocks: DataFrame, model: Hmm, vocab, training: str) -> DataFrame:
+    """Expected counts by state of the words of the hash classes in training segments.
+
+    For words outside the head one row per block and bucket: ``words`` as in the block, ``n`` their counts as
+    64-bit numbers and ``s`` the counts in all states but the last as 32-bit floats, all zero for words of
+    other texts.  For head words one row per task with ``head``, their number, and ``s0``, ``s1``...
     """
-    shared = segments.sparkSession.sparkContext.broadcast(model)
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
     states = len(model.start)
     names = [f"s{i}" for i in range(states)]
+    columns = ["bucket", "block", "words", "n", "s", "head", *names]
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32(), *[pa.float64()] * states]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head = shared.value, list(vocab.value.head)
-        sums = np.zeros((states, len(head)))
-
-        def rows(words: list, heads: list, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(heads, pa.int32()),
-                                               *[pa.array(x) for x in n]], ["word", "head", *names])
-
+        model = shared.value
+        sums = np.zeros((states, len(vocab.value.head)))
         for batch in batches:
-            codes, marks, rare = (batch.column(i).to_pylist() for i in range(3))
+            block, trains, classes, marks, rare, buckets, words = (c.to_pylist() for c in batch.columns)
+            sizes = [[w.count(" ") + 1 for w in ws] for ws in words]
+            first = np.concatenate([[0], np.cumsum([sum(x) for x in sizes])]).astype(np.int64)
+            chosen = [(b, i) for b, each in enumerate(trains) for i, yes in enumerate(each) if yes]
+            codes = [classes[b][i] for b, i in chosen]
             spare = (np.zeros(states), np.zeros((states, states)), None, np.zeros(1))
-            numbers: dict[str, int] = {}
             found, at = [], []
             for group, x, shares in posteriors(model, codes, spare):
                 for i, r in enumerate(group):
-                    one = np.frombuffer(marks[r], np.uint32)
+                    b, k = chosen[r]
+                    one = np.frombuffer(marks[b][k], np.uint32)
                     n = len(codes[r]) // 2
                     mine = shares[:n, i][x[i, :n] >= CLASS_WORDS]
                     inside = one != NO_HEAD
                     np.add.at(sums.T, one[inside], mine[inside])
                     found.append(mine[~inside])
-                    at.extend(numbers.setdefault(w, len(numbers)) for w in rare[r])
-            if at:
-                found = np.concatenate(found)
-                yield rows(list(numbers), [None] * len(numbers),
-                           np.array([np.bincount(at, found[:, s], minlength=len(numbers)) for s in range(states)]))
+                    at.append(first[b] + np.frombuffer(rare[b][k], np.uint32))
+            at = np.concatenate(at) if at else np.zeros(0, np.int64)
+            found = np.concatenate(found) if found else np.zeros((0, states))
+            n = np.bincount(at, minlength=first[-1]).astype(np.int64)
+            s = np.stack([np.bincount(at, found[:, i], minlength=first[-1]) for i in range(states - 1)], axis=1)
+            out = []
+            for b, number in enumerate(block):
+                start = first[b]
+                for to, text, size in zip(buckets[b], words[b], sizes[b]):
+                    cut = slice(start, start + size)
+                    out.append((to, number, text, n[cut].tobytes(), _floats(s[cut])))
+                    start += size
+            none = [None] * len(out)
+            values = [*(zip(*out) if out else [()] * 5), *[none] * (1 + states)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds)], columns)
         some = np.flatnonzero(sums.sum(axis=0))
-        yield rows([head[i].decode() for i in some], some.tolist(), sums[:, some])
+        values = [*[[None] * len(some)] * 5, some, *sums[:, some]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds)], columns)
+
+    picked = blocks.select("block", f"segs.{training}", "segs.classes", "segs.marks", "segs.rare", "buckets", "words")
+    return picked.mapInArrow(run, "bucket int, block long, words string, n binary, s binary, head int, " + ", ".join(
+        f"{n} double" for n in names))
+
 
-    kinds = "word string, head int, " + ", ".join(f"{n} double" for n in names)
-    return segments.select("classes", "marks", "rare").mapInArrow(run, kinds).groupBy("word", "head").agg(
-        *[F.sum(n).alias(n) for n in names])
+def word_totals(entries: DataFrame, states: int) -> DataFrame:
+    """The entries with corpus totals in place of their own counts.
+
+    ``sums``, in one row of each bucket, are what ``word_ratios`` adds up over its words.  A bucket holds
+    about ``BUCKET_WORDS`` entries, since buckets grow with the corpus, a word of one block being one entry.
+    """
+    def run(group: pa.Table) -> pa.Table:
+        group = group.select(["bucket", "block", "words", "n", "s"]).combine_chunks()
+        numbers: dict[str, int] = {}
+        at = [np.array([numbers.setdefault(w, len(numbers)) for w in text.split(" ")]) for text in group["words"].to_pylist()]
+        every = np.concatenate(at)
+        n = np.bincount(every, np.frombuffer(b"".join(group["n"].to_pylist()), np.int64), len(numbers))
+        one = np.frombuffer(b"".join(group["s"].to_pylist()), np.float32).reshape(-1, states - 1)
+        s = np.stack([np.bincount(every, one[:, i], len(numbers)) for i in range(states - 1)], axis=1)
+        full = _all_states(n, s)[n > 0]
+        seen = n[n > 0]
+        share = ((seen + 0.5) / (seen + OWN))[:, None]
+        sums = [*full.sum(axis=0), *(full * share).sum(axis=0), OWN * share.sum()]
+        counts = n.astype(np.int64)
+        return pa.table({
+            "bucket": group["bucket"], "block": group["block"],
+            "n": pa.array([counts[i].tobytes() for i in at], pa.binary()),
+            "s": pa.array([_floats(s[i]) for i in at], pa.binary()),
+            "sums": pa.array([sums, *[None] * (len(at) - 1)], pa.list_(pa.float64()))})
+
+    return entries.where("bucket is not null").groupBy("bucket").applyInArrow(
+        run, "bucket int, block long, n binary, s binary, sums array<double>")
+
+
+def _all_states(n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Counts by state; the last state has what the others leave of ``n``."""
+    return np.column_stack([s, np.maximum(n - s.sum(axis=1), 0)])
 
 
-def word_ratios(table: DataFrame, v: Vocabulary, states: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+@dataclass
+class Ratios:
     """How much likelier than by its class alone a word is in each state.
 
-    Returns ``word, head, n, ratio`` for the rows of ``word_states``, the ratios of unseen words by hash
-    class, and those of the head words by number.  A word's count, with the half that smooths it, is shared
-    out by its states, of which ``OWN`` counts are those of its class; the words of a class and the unseen
-    one add up to one in each state.  What is collected is one row per hash class and the head's rows.
+    A word's count, with the half that smooths it, is shared out by its states, of which ``OWN`` counts are
+    those of its class; the words of a class and the unseen one add up to one in each state.
     """
+
+    part: np.ndarray  # shares of the states by hash class
+    factor: np.ndarray
+    head: np.ndarray  # ratios of the head words by number
+
+    def of(self, n: np.ndarray, s: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (s + OWN * self.part[c]) / (n + OWN)[:, None] * self.factor[c]
+
+
+def word_ratios(entries: DataFrame, totals: DataFrame, v: Vocabulary, states: int) -> Ratios:
+    """What is collected is one row of sums per hash class and the head's rows."""
+    head_n = np.array([n for _, n in v.head.values()], np.float64)
+    head_c = np.array([c for c, _ in v.head.values()], np.int64) - CLASS_WORDS
+    head_s = np.zeros((len(v.head), states))
     names = [f"s{i}" for i in range(states)]
-    c = F.crc32(F.col("word").cast("binary")) % TAIL_CLASSES
-    n = sum((F.col(x) for x in names[1:]), F.col(names[0]))
-    table = table.select(c.cast("int").alias("c"), "word", "head", F.round(n).cast("long").alias("n"), *names)
-    part = np.zeros((TAIL_CLASSES, states))
-    for r in table.groupBy("c").agg(*[F.sum(x).alias(x) for x in names]).collect():
-        part[r.c] = [r[x] for x in names]
+    for r in entries.where("head is not null").groupBy("head").agg(*[F.sum(x).alias(x) for x in names]).collect():
+        head_s[r.head] = [r[x] for x in names]
+    hashed = head_c >= 0
+    part, own, spread = np.zeros((TAIL_CLASSES, states)), np.zeros((TAIL_CLASSES, states)), np.zeros((TAIL_CLASSES, 1))
+    share = (head_n + 0.5) / (head_n + OWN)
+    np.add.at(part, head_c[hashed], head_s[hashed])
+    np.add.at(own, head_c[hashed], (head_s * share[:, None])[hashed])
+    np.add.at(spread[:, 0], head_c[hashed], OWN * share[hashed])
+    some = totals.where("sums is not null").groupBy((F.col("bucket") % TAIL_CLASSES).alias("c")).agg(
+        *[F.sum(F.col("sums")[i]).alias(f"x{i}") for i in range(2 * states + 1)])
+    for r in some.collect():
+        part[r.c] += r[1: 1 + states]
+        own[r.c] += r[1 + states: 1 + 2 * states]
+        spread[r.c] += r[1 + 2 * states]
     part = (part + 1 / states) / (part.sum(axis=1, keepdims=True) + 1)
-    look = [F.get(F.array(*[F.lit(float(p)) for p in part[:, s]]), F.col("c")) for s in range(states)]
-    table = table.select("c", "word", "head", "n", *[
-        ((F.col(x) + OWN * p) / (F.col("n") + OWN)).alias(x) for x, p in zip(names, look)])
-    mass = 0.5 * part
-    for r in table.groupBy("c").agg(*[F.sum(F.col(x) * (F.col("n") + 0.5)).alias(x) for x in names]).collect():
-        mass[r.c] += [r[x] for x in names]
     whole = (v.class_tokens + 0.5 * (v.class_types + 1))[CLASS_WORDS:, None]
-    factor = whole / mass
-    scale = [F.get(F.array(*[F.lit(float(p)) for p in factor[:, s]]), F.col("c")) for s in range(states)]
-    table = table.select("word", "head", "n", F.array(*[F.col(x) * p for x, p in zip(names, scale)]).alias("ratio"))
-    head = np.ones((len(v.head), states))
-    for r in table.where("head is not null").select("head", "ratio").collect():
-        head[r.head] = r.ratio
-    return table, part * factor, head
+    ratios = Ratios(part, whole / (0.5 * part + own + part * spread), np.ones((len(v.head), states)))
+    ratios.head[hashed] = ratios.of(head_n[hashed], head_s[hashed], head_c[hashed])
+    return ratios
 
 
 def transfer(model: Hmm, codes: list[bytes], first: np.ndarray, ratios: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -359,41 +472,33 @@ def transfer(model: Hmm, codes: list[bytes], first: np.ndarray, ratios: list | N
     return products, logs
 
 
-def forward_scores(segments: DataFrame, model: Hmm, key: list[str], head: np.ndarray | None = None) -> DataFrame:
+def forward_scores(segments: DataFrame, model: Hmm, key: list[str]) -> DataFrame:
     """log10 likelihood of the classes of each text by the forward recursion, ``key`` and ``hmm``.
 
-    With ``head``, the ratios of the head words, each token of a hash class also has its word's ratios by
-    state; ``ratios`` holds those of the words outside the head in order.
-
     Each segment becomes a small matrix where its data lie, from any state before it to any state at its
     end; only these matrices move, and multiplying those of a text in order is the recursion itself.
     """
-    shared = segments.sparkSession.sparkContext.broadcast((model, head))
-    states = len(model.start)
+    shared = segments.sparkSession.sparkContext.broadcast(model)
     n_key = len(key)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head = shared.value
         for batch in batches:
             part, codes = batch.columns[n_key: n_key + 2]
-            ratios = None
-            if head is not None:
-                ratios = []
-                for mark, other in zip(batch.column(n_key + 2).to_pylist(), batch.column(n_key + 3)):
-                    mark = np.frombuffer(mark, np.uint32)
-                    mine, outside = np.ones((len(mark), states)), mark == NO_HEAD
-                    mine[~outside] = head[mark[~outside]]
-                    if outside.any():
-                        mine[outside] = other.values.to_numpy().reshape(-1, states)
-                    ratios.append(mine)
-            m, logs = transfer(model, codes.to_pylist(), part.to_numpy() == 0, ratios)
-            flat = pa.array(list(m.reshape(len(logs), -1)), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n_key + 1], flat, pa.array(logs)], [*key, "part", "m", "log"])
-
-    kept = segments.select(*key, "part", "classes", *([] if head is None else ["marks", "ratios"]))
+            m, logs = transfer(shared.value, codes.to_pylist(), part.to_numpy() == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n_key + 1], _matrices(m), pa.array(logs)], [*key, "part", "m", "log"])
+
+    kept = segments.select(*key, "part", "classes")
     names = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema[: n_key + 1])
     parts = kept.mapInArrow(products, names + "m array<double>, log double")
-    rows = parts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("part", "m", "log"))).alias("parts"))
+    return parts.groupBy(*key).agg(_chain(len(model.start)).alias("hmm"))
+
+
+def _matrices(m: np.ndarray) -> pa.Array:
+    return pa.array(list(m.reshape(len(m), m.shape[1] * m.shape[2])), pa.list_(pa.float64()))
+
+
+def _chain(states: int):
+    """log10 likelihood from the matrices of a text's segments."""
     zero = F.struct(F.array(*[F.lit(float(i == 0)) for i in range(states)]).alias("v"), F.lit(0.0).alias("log"))
 
     def times(acc, p):
@@ -401,8 +506,59 @@ def forward_scores(segments: DataFrame, model: Hmm, key: list[str], head: np.nda
         total = sum(v[1:], v[0])
         return F.struct(F.array(*[x / total for x in v]).alias("v"), (acc["log"] + p["log"] + F.log(total)).alias("log"))
 
-    done = F.aggregate("parts", zero, times)
-    return rows.select(*key, (done["log"] / np.log(10)).alias("hmm"))
+    parts = F.sort_array(F.collect_list(F.struct("part", "m", "log")))
+    return F.aggregate(parts, zero, times)["log"] / np.log(10)
+
+
+def block_scores(blocks: DataFrame, totals: DataFrame, model: Hmm, ratios: Ratios, vocab, carry: list[str]) -> DataFrame:
+    """One row per segment: the carried fields, ``part``, counts and sums over all its words, and its matrix.
+
+    Blocks meet the totals of their words by block number.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast((model, ratios))
+    states = len(model.start)
+    got = totals.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "s"))).alias("got"))
+    joined = blocks.select("block", "segs").join(got, "block", "left").select(
+        *[f"segs.{c}" for c in (*carry, *_OWN)], "got.bucket", "got.n", "got.s")
+    names = [*carry, "part", "k", "known", "base", "inner", "m", "log"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, ratios = shared.value
+        v = vocab.value
+        small = v.tokens + 0.5 * (v.types + 1)
+        within = (v.class_tokens + 0.5 * (v.class_types + 1))[CLASS_WORDS:]
+        for batch in batches:
+            for b in range(batch.num_rows):
+                row = batch.slice(b, 1)
+                kept = [row.column(i).flatten() for i in range(len(carry))]
+                part, classes, marks, rare, known, base, inner = (
+                    row.column(len(carry) + i).flatten() for i in range(len(_OWN)))
+                buckets, n, s = (row.column(len(carry) + len(_OWN) + i).to_pylist()[0] or [] for i in range(3))
+                counts = [len(x) // 8 for x in n]
+                n = np.frombuffer(b"".join(n), np.int64).astype(np.float64)
+                s = np.frombuffer(b"".join(s), np.float32).reshape(-1, states - 1).astype(np.float64)
+                c = np.repeat(np.array(buckets, np.int64) % TAIL_CLASSES, counts)
+                own = ratios.of(n, _all_states(n, s), c)
+                terms = np.stack([n > 0, np.log10((n + 0.5) / small), np.log10((n + 0.5) / within[c])], axis=1)
+                sums = np.column_stack([known.to_numpy(), base.to_numpy(), inner.to_numpy()]).astype(np.float64)
+                factors = []
+                for i, (mark, words) in enumerate(zip(marks.to_pylist(), rare.to_pylist())):
+                    mark, words = np.frombuffer(mark, np.uint32), np.frombuffer(words, np.uint32)
+                    mine, outside = np.ones((len(mark), states)), mark == NO_HEAD
+                    mine[~outside] = ratios.head[mark[~outside]]
+                    mine[outside] = own[words]
+                    sums[i] += terms[words].sum(axis=0)
+                    factors.append(mine)
+                codes = classes.to_pylist()
+                m, logs = transfer(model, codes, part.to_numpy() == 0, factors)
+                k = pa.array([len(x) // 2 for x in codes], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, part, k, pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 2]),
+                     _matrices(m), pa.array(logs)], names)
+
+    fields = {f.name: f.dataType.simpleString() for f in blocks.schema["segs"].dataType.elementType}
+    return joined.mapInArrow(run, "".join(f"`{c}` {fields[c]}, " for c in carry)
+                             + "part int, k long, known long, base double, inner double, m array<double>, log double")
 
 
 def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text", states: int = STATES,
@@ -412,38 +568,25 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text",
     Returns ``doc_id``, the carried columns, ``n_tokens, n_known, train_tokens, base_score, score``.  Every
     text ends in an end token; a null or empty text is that alone.  Long texts are taken whole, in segments
     that are put together again exactly.  Rows are told apart by a number of their own, so repeated rows and
-    null ids keep theirs.  Without training rows all words are unknown and equally likely.
+    null ids keep theirs; ids and carried columns may be of any type and name.  A row whose ``training`` is
+    null is not trained on.  Without training rows all words are unknown and equally likely.
     """
-    carry = list(carry or [])
-    docs = docs.select(doc_id, text, *carry, training.alias("_train")).withColumn("_row", F.monotonically_increasing_id())
-    counts = cut_lineage(word_counts(docs.where("_train"), text))
+    kept = [doc_id, *(carry or [])]
+    held = [f"_c{i}" for i in range(len(kept))]
+    docs = docs.select(F.col(text).alias("_text"), F.coalesce(training, F.lit(False)).alias("_train"),
+                       *[F.col(c).alias(h) for c, h in zip(kept, held)]).withColumn("_row", F.monotonically_increasing_id())
+    counts = cut_lineage(word_counts(docs.where("_train"), "_text"))
     v = vocabulary(counts)
     shared = docs.sparkSession.sparkContext.broadcast(v)
-    coded = cut_lineage(encode(docs, shared, doc_id, text, ["_row", "_train", *carry]))
-    model = train(coded.where("_train"), v.class_tokens, states, rounds)
-    table, unseen, head = word_ratios(cut_lineage(word_states(coded.where("_train"), model, shared)), v, states)
-
-    # the words outside the head: one row per token, put together by segment and then by text
-    small = v.tokens + 0.5 * (v.types + 1)
-    sizes = F.array(*[F.lit(float(a + 0.5 * (b + 1))) for a, b in zip(v.class_tokens[CLASS_WORDS:], v.class_types[CLASS_WORDS:])])
-    c = F.coalesce(F.col("n"), F.lit(0))
-    own = (F.crc32(F.col("word").cast("binary")) % TAIL_CLASSES).cast("int")
-    within = F.get(sizes, own)
-    plain = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in unseen]), own)
-    rare = coded.where("size(rare) > 0").select("_row", "part", F.posexplode("rare").alias("i", "word"))
-    rare = rare.join(table.where("head is null").select("word", "n", "ratio"), "word", "left").groupBy("_row", "part").agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("ratio", plain).alias("r")))),
-                              lambda x: x["r"])).alias("ratios"),
-        F.sum((c > 0).cast("long")).alias("t_known"), F.sum(F.log10((c + 0.5) / F.lit(small))).alias("t_base"),
-        F.sum(F.log10((c + 0.5) / within)).alias("t_inner"))
-    rare = cut_lineage(rare)
-    hmm = forward_scores(coded.join(rare.select("_row", "part", "ratios"), ["_row", "part"], "left"), model, ["_row"], head)
-    tail = rare.groupBy("_row").agg(*[F.sum(x).alias(x) for x in ("t_known", "t_base", "t_inner")])
-    sums = coded.select("_row", doc_id, *carry, (F.length("classes") / 2).cast("long").alias("k"), "known", "base", "inner")
-    sums = sums.groupBy("_row").agg(*[F.first(x).alias(x) for x in (doc_id, *carry)], F.sum("k").alias("n_tokens"),
-                                    F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("inner").alias("inner"))
-    out = sums.join(hmm, "_row").join(tail, "_row", "left").fillna(0, ["t_known", "t_base", "t_inner"])
-    return out.select(doc_id, *carry, "n_tokens", (F.col("known") + F.col("t_known")).cast("long").alias("n_known"),
-                      F.lit(int(v.tokens)).cast("long").alias("train_tokens"),
-                      (F.col("base") + F.col("t_base")).alias("base_score"),
-                      (F.col("hmm") + F.col("inner") + F.col("t_inner")).alias("score"))
+    blocks = cut_lineage(encode(docs, shared, "_text", buckets_per_class(v)))
+    model = train(segments_of(blocks, "_train"), v.class_tokens, states, rounds)
+    entries = cut_lineage(word_entries(blocks, model, shared, "_train"))
+    totals = cut_lineage(word_totals(entries, states))
+    ratios = word_ratios(entries, totals, v, states)
+    parts = block_scores(blocks, totals, model, ratios, shared, ["_row", *held])
+    sums = {"n_tokens": "k", "n_known": "known", "base_score": "base", "inner": "inner"}
+    out = parts.groupBy("_row").agg(*[F.first(h).alias(h) for h in held], *[F.sum(c).alias(n) for n, c in sums.items()],
+                                    _chain(states).alias("hmm"))
+    return out.select(*[F.col(h).alias(c) for h, c in zip(held, kept)], "n_tokens", "n_known",
+                      F.lit(int(v.tokens)).cast("long").alias("train_tokens"), "base_score",
+                      (F.col("hmm") + F.col("inner")).alias("score"))

@@ -221,21 +221,80 @@ def test_words_of_one_hash_class_differ_by_state(spark):
     assert sum(g > 0.01 for g in gain) > 0.9 * len(pairs)
 
 
-def test_words_of_a_class_add_up_in_each_state(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(100).withColumn("_row", F.col("doc_id"))
-    v = hl.vocabulary(hl.word_counts(docs))
-    shared = spark.sparkContext.broadcast(v)
-    coded = hl.encode(docs, shared, "doc_id", "text", ["_row"])
-    model = hl.train(coded, v.class_tokens, rounds=1)
-    table, unseen, head = hl.word_ratios(hl.word_states(coded, model, shared), v, hl.STATES)
-    total = np.zeros((hl.TAIL_CLASSES, hl.STATES))
-    rows = table.collect()
-    for r in rows:
-        c = hl.tail_class(r.word)
-        total[c - hl.CLASS_WORDS] += np.array(r.ratio) * 10 ** hl.inner_term(r.n, c, v)
-    for c in range(hl.TAIL_CLASSES):
-        total[c] += unseen[c] * 10 ** hl.inner_term(0, c + hl.CLASS_WORDS, v)
-    assert np.allclose(total, 1) and len(rows) == v.types - hl.CLASS_WORDS
+def forward_backward(model, codes):
+    """State shares by position, one sequence, step by step."""
+    f, scale = [], []
+    for t, x in enumerate(codes):
+        now = (model.start if t == 0 else f[-1] @ model.move) * model.emit[:, x]
+        scale.append(now.sum())
+        f.append(now / scale[-1])
+    back, out = np.ones(len(model.start)), []
+    for t in range(len(codes) - 1, -1, -1):
+        out.append(f[t] * back / (f[t] * back).sum())
+        back = model.move @ (model.emit[:, codes[t]] * back) / scale[t]
+    return out[::-1]
+
+
+@pytest.mark.parametrize("head", [0, 60, 3000])
+def test_scores_against_brute_force(spark, monkeypatch, head):
+    """All words by hand: counts, posteriors, ratios that add up to one, and the forward recursion."""
+    for name, value in (("HEAD_WORDS", head), ("BLOCK_TOKENS", 1500), ("BUCKET_WORDS", 50)):
+        monkeypatch.setattr(hl, name, value)
+    rng = np.random.default_rng(9)
+    sizes = [0, 1, 511, 512, 1300, *rng.integers(2, 400, 100)]
+    texts = [" ".join(f"W{k}" for k in rng.integers(0, 4000, size)) for size in sizes]
+    rows = [(i, t, i % 5 != 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    words = [[*t.lower().encode().split(), b""] for t in texts]
+    n = Counter(w for i, ws in enumerate(words) if i % 5 != 1 for w in ws)
+
+    v = hl.vocabulary(hl.word_counts(docs.where("train")))
+    blocks = hl.encode(docs, spark.sparkContext.broadcast(v), "text", hl.buckets_per_class(v))
+    model = hl.train(hl.segments_of(blocks, "train"), v.class_tokens)
+    code = {w: v.head[w][0] if w in v.head else hl.tail_class(w) for ws in words for w in ws}
+    s = {w: np.zeros(hl.STATES) for w in n}
+    for i, ws in enumerate(words):
+        for a in range(0, len(ws) if i % 5 != 1 else 0, hl.SEGMENT):
+            for w, share in zip(ws[a: a + hl.SEGMENT], forward_backward(model, [code[w] for w in ws[a: a + hl.SEGMENT]])):
+                s[w] += share
+    ratio, within, whole = {}, {}, {}
+    if head == 3000:
+        assert len(v.head) > hl.CLASS_WORDS + 50 and len(n) > len(v.head) + 500
+    for c in {c for c in code.values() if c >= hl.CLASS_WORDS}:
+        mine = [w for w in n if code[w] == c]
+        part = sum((s[w] for w in mine), np.zeros(hl.STATES)) + 1 / hl.STATES
+        part /= part.sum()
+        share = {w: (s[w] + hl.OWN * part) / (n[w] + hl.OWN) for w in mine}
+        mass = 0.5 * part + sum(((n[w] + 0.5) * share[w] for w in mine), np.zeros(hl.STATES))
+        whole[c] = sum(n[w] + 0.5 for w in mine) + 0.5
+        ratio |= {w: share[w] * whole[c] / mass for w in mine} | {(c, None): part * whole[c] / mass}
+        within |= {w: (n[w] + 0.5) / whole[c] for w in mine}
+        total = sum((within[w] * ratio[w] for w in mine), 0.5 / whole[c] * ratio[c, None])
+        assert np.allclose(total, 1)
+    small = sum(n.values()) + 0.5 * (len(n) + 1)
+    got = {r.doc_id: r for r in hl.score(docs, F.col("train")).collect()}
+    assert len(got) == len(texts)
+    for i, ws in enumerate(words):
+        want, now = 0.0, None
+        for w in ws:
+            e = model.emit[:, code[w]]
+            if code[w] >= hl.CLASS_WORDS:
+                e = e * (ratio[w] * within[w] if w in n else ratio[code[w], None] * 0.5 / whole[code[w]])
+            now = (model.start if now is None else now @ model.move) * e
+            want += math.log10(now.sum())
+            now = now / now.sum()
+        assert math.isclose(got[i].score, want, rel_tol=1e-5)
+        assert math.isclose(got[i].base_score, sum(math.log10((n[w] + 0.5) / small) for w in ws), rel_tol=1e-9)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws), sum(w in n for w in ws), sum(n.values()))
+
+
+def test_op9_ids_and_carried_names(spark):
+    rows = [("x", "a b", 7, 1.5), (None, None, None, None), ("x", "a b", 7, 1.5), ("y", "b", 3, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, known int, base double")
+    got = hl.score(docs, F.col("known").isNotNull(), carry=["known", "base", "text"])
+    assert got.columns[:4] == ["doc_id", "known", "base", "text"] and got.schema["doc_id"].dataType.simpleString() == "string"
+    assert Counter((r.doc_id, r.known, r.base, r.text, r.n_tokens) for r in got.collect()) == Counter(
+        [(*row[:1], row[2], row[3], row[1], 1 + len((row[1] or "").split())) for row in rows])
 
 
 @pytest.mark.parametrize("n", [3])
