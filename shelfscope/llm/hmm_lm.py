@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -101,24 +102,40 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(head, total.n or 0, total.v or 0, tokens, types)
 
 
-def _block(number: int, segments: list[tuple], meta: list[pa.Array], names: list[str], per_class: int) -> pa.RecordBatch:
-    """One row: the segments, and their distinct words outside the head, packed by bucket."""
-    words = sorted({(bucket(w, per_class), w) for s in segments for w in s[4]})
-    index = {w: i for i, (_, w) in enumerate(words)}
-    packed: dict[int, list[bytes]] = {}
-    for at, w in words:
-        packed.setdefault(at, []).append(w)
-    rows, part, classes, marks, rare, known, base, inner = zip(*segments)
-    rare = [np.fromiter(map(index.__getitem__, ws), np.uint32, len(ws)).tobytes() for ws in rare]
-    own = [pa.array(part, pa.int32()), *[pa.array(x, pa.binary()) for x in (classes, marks, rare)],
-           pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(inner, pa.float64())]
-    picked = [c.take(pa.array(rows, pa.int32())) for c in meta]
-    each = pa.StructArray.from_arrays([*picked, *own], [*names, *_OWN])
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(segments)], pa.int32()), each),
-         pa.array([list(packed)], pa.list_(pa.int32())),
-         pa.array([[b" ".join(ws).decode() for ws in packed.values()]], pa.list_(pa.string()))],
-        ["block", "segs", "buckets", "words"])
+class _Block:
+    """Segments in the making, and their distinct words outside the head in order of appearance."""
+
+    def __init__(self):
+        self.segments: list[tuple] = []
+        self.index: dict[bytes, int] = {}
+        self.tokens = 0
+
+    def add(self, row: int, part: int, classes: np.ndarray, marks: np.ndarray, words: list[bytes], *sums) -> None:
+        index = self.index
+        at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.uint32, len(words))
+        self.segments.append((row, part, classes.tobytes(), marks.tobytes(), at, *sums))
+        self.tokens += len(classes)
+
+    def batch(self, number: int, meta: list[pa.Array], names: list[str], per_class: int) -> pa.RecordBatch:
+        """One row: the segments, and their words packed by bucket."""
+        words = list(self.index)
+        to = np.fromiter((bucket(w, per_class) for w in words), np.int64, len(words))
+        order = np.argsort(to, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        buckets, first = np.unique(to[order], return_index=True)
+        ends = [*first[1:].tolist(), len(words)]
+        packed = [b" ".join([words[i] for i in order[x:y].tolist()]).decode() for x, y in zip(first.tolist(), ends)]
+        rows, part, classes, marks, rare, known, base, inner = zip(*self.segments)
+        own = [pa.array(part, pa.int32()), pa.array(classes, pa.binary()), pa.array(marks, pa.binary()),
+               pa.array([rank[x].tobytes() for x in rare], pa.binary()),
+               pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(inner, pa.float64())]
+        picked = [c.take(pa.array(rows, pa.int32())) for c in meta]
+        each = pa.StructArray.from_arrays([*picked, *own], [*names, *_OWN])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), each),
+             pa.array([buckets.tolist()], pa.list_(pa.int32())), pa.array([packed], pa.list_(pa.string()))],
+            ["block", "segs", "buckets", "words"])
 
 
 _OWN = ["part", "classes", "marks", "rare", "known", "base", "inner"]
@@ -138,32 +155,34 @@ def encode(docs: DataFrame, vocab, text: str, per_class: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         number = TaskContext.get().partitionId() << 32
-        table: dict[bytes, tuple[int, float | None, float | None, int]] = {}
-        for i, (w, (c, n)) in enumerate(v.head.items()):
-            table[w] = (c, base_term(n, v), inner_term(n, c, v), i)
+        numbers = {w: i for i, w in enumerate(v.head)}
+        terms = [(c, base_term(n, v), inner_term(n, c, v)) for c, n in v.head.values()]
+        head_class, head_base, head_inner = (np.array(x) for x in (zip(*terms) if terms else [()] * 3))
         for batch in batches:
-            segments, held = [], 0
+            block = _Block()
             for row, t in enumerate(present(batch.column(0).to_pylist())):
                 ws = t.encode().lower().split()
                 ws.append(END.encode())
-                found = list(map(table.get, ws))
-                if None in found:
-                    found = [f or (tail_class(w), None, None, NO_HEAD) for w, f in zip(ws, found)]
-                codes = np.fromiter((f[0] for f in found), np.uint16, len(found))
-                heads = np.fromiter((f[3] for f in found), np.uint32, len(found))
-                sure = [f for f in found if f[1] is not None]
-                sums = (len(sure), sum(f[1] for f in sure), sum(f[2] for f in sure))
-                for part, start in enumerate(range(0, len(codes), SEGMENT)):
+                heads = np.fromiter(map(numbers.get, ws, repeat(-1)), np.int64, len(ws))
+                inside = heads >= 0
+                known = heads[inside]
+                codes = np.empty(len(ws), np.uint16)
+                codes[inside] = head_class[known]
+                absent = np.flatnonzero(~inside)
+                codes[absent] = [tail_class(ws[i]) for i in absent.tolist()]
+                marks = np.where(inside, heads, NO_HEAD).astype(np.uint32)
+                sums = (len(known), float(head_base[known].sum()), float(head_inner[known].sum()))
+                for part, start in enumerate(range(0, len(ws), SEGMENT)):
                     cut = slice(start, start + SEGMENT)
-                    absent = (start + np.flatnonzero(heads[cut] == NO_HEAD)).tolist()
-                    segments.append((row, part, codes[cut].tobytes(), heads[cut][codes[cut] >= CLASS_WORDS].tobytes(),
-                                     [ws[i] for i in absent], *(sums if part == 0 else (0, 0.0, 0.0))))
-                    held += len(codes[cut])
-                    if held >= BLOCK_TOKENS:
-                        yield _block(number, segments, batch.columns[1:], others, per_class)
-                        number, segments, held = number + 1, [], 0
-            if segments:
-                yield _block(number, segments, batch.columns[1:], others, per_class)
+                    one = codes[cut]
+                    others_at = (start + np.flatnonzero(~inside[cut])).tolist()
+                    block.add(row, part, one, marks[cut][one >= CLASS_WORDS], [ws[i] for i in others_at],
+                              *(sums if part == 0 else (0, 0.0, 0.0)))
+                    if block.tokens >= BLOCK_TOKENS:
+                        yield block.batch(number, batch.columns[1:], others, per_class)
+                        number, block = number + 1, _Block()
+            if block.segments:
+                yield block.batch(number, batch.columns[1:], others, per_class)
                 number += 1
 
     picked = docs.select(text, *others)
@@ -306,6 +325,13 @@ def _floats(rows: np.ndarray) -> bytes:
     return rows.astype(np.float32).tobytes()
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Rows one by one, so that only one block is held as Python values."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [c[i].as_py() for c in batch.columns]
+
+
 def word_entries(blocks: DataFrame, model: Hmm, vocab, training: str) -> DataFrame:
     """Expected counts by state of the words of the hash classes in training segments.
 
@@ -322,37 +348,28 @@ def word_entries(blocks: DataFrame, model: Hmm, vocab, training: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         sums = np.zeros((states, len(vocab.value.head)))
-        for batch in batches:
-            block, trains, classes, marks, rare, buckets, words = (c.to_pylist() for c in batch.columns)
-            sizes = [[w.count(" ") + 1 for w in ws] for ws in words]
-            first = np.concatenate([[0], np.cumsum([sum(x) for x in sizes])]).astype(np.int64)
-            chosen = [(b, i) for b, each in enumerate(trains) for i, yes in enumerate(each) if yes]
-            codes = [classes[b][i] for b, i in chosen]
+        for block, trains, classes, marks, rare, buckets, words in _rows(batches):
+            codes, marks, rare = ([x for x, yes in zip(each, trains) if yes] for each in (classes, marks, rare))
             spare = (np.zeros(states), np.zeros((states, states)), None, np.zeros(1))
-            found, at = [], []
+            found, at = [np.zeros((0, states))], [np.zeros(0, np.uint32)]
             for group, x, shares in posteriors(model, codes, spare):
                 for i, r in enumerate(group):
-                    b, k = chosen[r]
-                    one = np.frombuffer(marks[b][k], np.uint32)
+                    one = np.frombuffer(marks[r], np.uint32)
                     n = len(codes[r]) // 2
                     mine = shares[:n, i][x[i, :n] >= CLASS_WORDS]
                     inside = one != NO_HEAD
                     np.add.at(sums.T, one[inside], mine[inside])
                     found.append(mine[~inside])
-                    at.append(first[b] + np.frombuffer(rare[b][k], np.uint32))
-            at = np.concatenate(at) if at else np.zeros(0, np.int64)
-            found = np.concatenate(found) if found else np.zeros((0, states))
-            n = np.bincount(at, minlength=first[-1]).astype(np.int64)
-            s = np.stack([np.bincount(at, found[:, i], minlength=first[-1]) for i in range(states - 1)], axis=1)
-            out = []
-            for b, number in enumerate(block):
-                start = first[b]
-                for to, text, size in zip(buckets[b], words[b], sizes[b]):
-                    cut = slice(start, start + size)
-                    out.append((to, number, text, n[cut].tobytes(), _floats(s[cut])))
-                    start += size
-            none = [None] * len(out)
-            values = [*(zip(*out) if out else [()] * 5), *[none] * (1 + states)]
+                    at.append(np.frombuffer(rare[r], np.uint32))
+            found, at = np.concatenate(found), np.concatenate(at)
+            ends = np.cumsum([w.count(" ") + 1 for w in words]).tolist()
+            size = ends[-1] if ends else 0
+            n = np.bincount(at, minlength=size).astype(np.int64)
+            s = np.stack([np.bincount(at, found[:, i], size) for i in range(states - 1)], axis=1)
+            cuts = [slice(x, y) for x, y in zip([0, *ends], ends)]
+            none = [None] * len(cuts)
+            values = [buckets, [block] * len(cuts), words, [n[c].tobytes() for c in cuts], [_floats(s[c]) for c in cuts],
+                      *[none] * (1 + states)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds)], columns)
         some = np.flatnonzero(sums.sum(axis=0))
         values = [*[[None] * len(some)] * 5, some, *sums[:, some]]
@@ -447,29 +464,41 @@ def transfer(model: Hmm, codes: list[bytes], first: np.ndarray, ratios: list | N
     the factors by state of the tokens in hash classes.
     """
     states = len(model.start)
-    lengths = np.array([len(c) // 2 for c in codes])
     products, logs = np.zeros((len(codes), states, states)), np.zeros(len(codes))
+    for starts in (True, False):
+        chosen = np.flatnonzero(first == starts)
+        if len(chosen):
+            _recursion(model, codes, chosen, starts, ratios, products, logs)
+    return products, logs
+
+
+def _recursion(model: Hmm, codes: list[bytes], chosen: np.ndarray, starts: bool, ratios: list | None,
+               products: np.ndarray, logs: np.ndarray) -> None:
+    """The chosen segments' part of ``transfer``: those at the start of a text need one row of their matrix only."""
+    states = len(model.start)
+    lengths = np.array([len(codes[r]) // 2 for r in chosen])
     likely = model.emit.T
-    for rows in _grouped(lengths, 200_000):
+    for group in _grouped(lengths, 200_000):
+        rows = chosen[group]
         x, alive = _padded(codes, rows)
-        now = np.repeat(np.eye(states)[None], len(rows), axis=0)
+        now = np.ones((len(rows), 1, states)) if starts else np.repeat(np.eye(states)[None], len(rows), axis=0)
         log = np.zeros(len(rows))
         factors = None if ratios is None else np.ones((x.shape[1], len(rows), states))
         if ratios is not None:
             for i, r in enumerate(rows):
-                factors[np.flatnonzero(x[i, : lengths[r]] >= CLASS_WORDS), i] = ratios[r]
+                factors[np.flatnonzero(x[i, : lengths[group[i]]] >= CLASS_WORDS), i] = ratios[r]
         for t in range(x.shape[1]):
             k = alive[t]
-            step = (now[:k].reshape(-1, states) @ model.move).reshape(k, states, states)
-            if t == 0:
-                step[first[rows[:k]]] = model.start
+            if starts and t == 0:
+                step = np.repeat(model.start[None, None], k, axis=0)
+            else:
+                step = (now[:k].reshape(-1, states) @ model.move).reshape(k, -1, states)
             seen = likely[x[:k, t]]
             step = step * (seen if factors is None else seen * factors[t, :k])[:, None, :]
             scale = step.sum(axis=(1, 2))
             now[:k] = step / scale[:, None, None]
             log[:k] += np.log(scale)
         products[rows], logs[rows] = now, log
-    return products, logs
 
 
 def forward_scores(segments: DataFrame, model: Hmm, key: list[str]) -> DataFrame:
