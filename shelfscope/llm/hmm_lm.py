@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, most_frequent, present
+from .common import most_frequent, present, scratch_path
 
 END = ""  # no word is empty, so the empty text stands for the end token
 HEAD_WORDS = 1 << 17  # words whose counts go to all tasks
@@ -321,6 +321,13 @@ def train(segments: DataFrame, weights: np.ndarray, states: int = STATES, rounds
     return model
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` from its rows in the shared folder, written once."""
+    path = scratch_path(df.sparkSession, "hmm")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _floats(rows: np.ndarray) -> bytes:
     return rows.astype(np.float32).tobytes()
 
@@ -337,13 +344,14 @@ def word_entries(blocks: DataFrame, model: Hmm, vocab, training: str) -> DataFra
 
     For words outside the head one row per block and bucket: ``words`` as in the block, ``n`` their counts as
     64-bit numbers and ``s`` the counts in all states but the last as 32-bit floats, all zero for words of
-    other texts.  For head words one row per task with ``head``, their number, and ``s0``, ``s1``...
+    other texts.  For head words one row per task with ``head``, their number, and ``s0``, ``s1``... for the
+    same states.
     """
     shared = blocks.sparkSession.sparkContext.broadcast(model)
     states = len(model.start)
-    names = [f"s{i}" for i in range(states)]
+    names = [f"s{i}" for i in range(states - 1)]
     columns = ["bucket", "block", "words", "n", "s", "head", *names]
-    kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32(), *[pa.float64()] * states]
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32(), *[pa.float32()] * (states - 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -369,15 +377,15 @@ def word_entries(blocks: DataFrame, model: Hmm, vocab, training: str) -> DataFra
             cuts = [slice(x, y) for x, y in zip([0, *ends], ends)]
             none = [None] * len(cuts)
             values = [buckets, [block] * len(cuts), words, [n[c].tobytes() for c in cuts], [_floats(s[c]) for c in cuts],
-                      *[none] * (1 + states)]
+                      *[none] * states]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds)], columns)
         some = np.flatnonzero(sums.sum(axis=0))
-        values = [*[[None] * len(some)] * 5, some, *sums[:, some]]
+        values = [*[[None] * len(some)] * 5, some, *sums[:-1, some].astype(np.float32)]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds)], columns)
 
     picked = blocks.select("block", f"segs.{training}", "segs.classes", "segs.marks", "segs.rare", "buckets", "words")
     return picked.mapInArrow(run, "bucket int, block long, words string, n binary, s binary, head int, " + ", ".join(
-        f"{n} double" for n in names))
+        f"{n} float" for n in names))
 
 
 def word_totals(entries: DataFrame, states: int) -> DataFrame:
@@ -434,10 +442,11 @@ def word_ratios(entries: DataFrame, totals: DataFrame, v: Vocabulary, states: in
     """What is collected is one row of sums per hash class and the head's rows."""
     head_n = np.array([n for _, n in v.head.values()], np.float64)
     head_c = np.array([c for c, _ in v.head.values()], np.int64) - CLASS_WORDS
-    head_s = np.zeros((len(v.head), states))
-    names = [f"s{i}" for i in range(states)]
+    head_s = np.zeros((len(v.head), states - 1))
+    names = [f"s{i}" for i in range(states - 1)]
     for r in entries.where("head is not null").groupBy("head").agg(*[F.sum(x).alias(x) for x in names]).collect():
         head_s[r.head] = [r[x] for x in names]
+    head_s = _all_states(head_n, head_s)
     hashed = head_c >= 0
     part, own, spread = np.zeros((TAIL_CLASSES, states)), np.zeros((TAIL_CLASSES, states)), np.zeros((TAIL_CLASSES, 1))
     share = (head_n + 0.5) / (head_n + OWN)
@@ -604,13 +613,13 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text",
     held = [f"_c{i}" for i in range(len(kept))]
     docs = docs.select(F.col(text).alias("_text"), F.coalesce(training, F.lit(False)).alias("_train"),
                        *[F.col(c).alias(h) for c, h in zip(kept, held)]).withColumn("_row", F.monotonically_increasing_id())
-    counts = cut_lineage(word_counts(docs.where("_train"), "_text"))
+    counts = _written(word_counts(docs.where("_train"), "_text"))
     v = vocabulary(counts)
     shared = docs.sparkSession.sparkContext.broadcast(v)
-    blocks = cut_lineage(encode(docs, shared, "_text", buckets_per_class(v)))
+    blocks = _written(encode(docs, shared, "_text", buckets_per_class(v)))
     model = train(segments_of(blocks, "_train"), v.class_tokens, states, rounds)
-    entries = cut_lineage(word_entries(blocks, model, shared, "_train"))
-    totals = cut_lineage(word_totals(entries, states))
+    entries = _written(word_entries(blocks, model, shared, "_train"))
+    totals = _written(word_totals(entries, states))
     ratios = word_ratios(entries, totals, v, states)
     parts = block_scores(blocks, totals, model, ratios, shared, ["_row", *held])
     sums = {"n_tokens": "k", "n_known": "known", "base_score": "base", "inner": "inner"}
