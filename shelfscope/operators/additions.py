@@ -10,7 +10,7 @@ from ..functions import urls as U
 from ..functions.arrow import nfkc_lower
 from ..functions.text import unique_texts
 from ..session import checked_broadcast, cut_lineage
-from .matching import same_product
+from .same_products import same_product
 from .numbering import first_per, top_per
 
 _SEP = "\u0001"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import capacity as C
 from ..functions import names as N
@@ -10,7 +10,6 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..functions.arrow import nfkc_lower
 from ..functions.patterns import TIMES, WS, WS_SET
-from ..session import cut_lineage
 from .numbering import first_per, top_per
 
 _SEP = "\u0001"
@@ -210,85 +209,7 @@ def first_accepted(evaluated: DataFrame, key: str) -> DataFrame:
     return seen.filter("ok").groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
-# -- the same product under another link -------------------------------------
-
-def _keyed(df: DataFrame, name: str) -> DataFrame:
-    """Identity columns of a product name."""
-    return df.withColumn("_lower", nfkc_lower(F.col(name))).withColumns({
-        "_dkey": T.distinct_key(T.identity_key(F.col("_lower"))), "_width": T.width_cm(F.col("_lower")),
-    }).drop("_lower")
-
-
-def _size_key(total: Column) -> Column:
-    return F.concat_ws(":", F.lower(total["unit"]), total["total"].cast("string"))
-
-
-def same_product(candidates: DataFrame, existing: DataFrame, block: str, row_id: str) -> DataFrame:
-    """Ids of candidates that an existing product of the block already covers.
-
-    Both sides carry ``name`` and ``total``.  Two names look the same if one
-    distinct key holds the other, or if at least two and 40% (by length) of the
-    existing key's 4-grams occur in the candidate; sizes must agree if both are
-    known.  Copies collapse to one row per key and size first.  The join runs on
-    (block, gram, size): an existing key enters with its rarest grams only,
-    enough to share one with any partner over the threshold, and a candidate's
-    rarest gram meets all existing grams for the contained-in case.  The most
-    frequent grams, which hot phrases share, stay out; pairs are then verified.
-    """
-    shape = [block, "_dkey", "total", "_width"]
-    cand = _keyed(candidates, "name").filter(F.length("_dkey") >= 4)
-    # both sides are read several times below: compute the keys once
-    left = cut_lineage(cand.select(*shape).distinct())
-    right = cut_lineage(
-        _keyed(existing, "name").filter(F.length("_dkey") >= 4).select(*shape).distinct())
-
-    keys = left.select(block, "_dkey").union(right.select(block, "_dkey")).distinct()
-    gram_rows = keys.select(block, "_dkey", F.explode(T.grams(F.col("_dkey"))).alias("gram"))
-    seen_in = gram_rows.groupBy(block, "gram").agg(F.count("*").alias("_df"))
-    # the grams of one key are bounded by its length
-    per_key = Window.partitionBy(block, "_dkey").orderBy("_df", "gram")
-    rare = cut_lineage(
-        gram_rows.join(seen_in, [block, "gram"]).withColumn("_nth", F.row_number().over(per_key)))
-    n_grams = F.size(T.grams(F.col("_dkey")))
-    needed = F.greatest(F.lit(2), F.ceil(F.length("_dkey") * 0.1).cast("int"))
-    prefix = rare.filter(F.col("_nth") <= F.greatest(F.lit(1), n_grams - needed + 1)).select(block, "_dkey", "gram")
-    rarest = rare.filter("_nth = 1").select(block, "_dkey", "gram")
-
-    def sized(df: DataFrame, is_candidate: bool) -> DataFrame:
-        known = F.col("total").isNotNull()
-        own = _size_key(F.col("total"))
-        any_size, unknown = F.lit("*"), F.lit("?")
-        if is_candidate:
-            options = F.when(known, F.array(own, unknown)).otherwise(F.array(any_size))
-        else:
-            options = F.when(known, F.array(own, any_size)).otherwise(F.array(unknown, any_size))
-        return df.withColumn("_sk", F.explode(options))
-
-    lefts, rights = sized(left, True), sized(right, False)
-    r = ["_rkey", "_rtotal", "_rwidth"]
-
-    def renamed(df: DataFrame) -> DataFrame:
-        return df.withColumnsRenamed({"_dkey": "_rkey", "total": "_rtotal", "_width": "_rwidth"})
-
-    def pairs(left_grams: DataFrame, right_grams: DataFrame) -> DataFrame:
-        a = lefts.join(left_grams, [block, "_dkey"])
-        b = renamed(rights.join(right_grams, [block, "_dkey"]))
-        return a.join(b, [block, "gram", "_sk"]).select(*shape, *r)
-
-    grams = rare.select(block, "_dkey", "gram")
-    both = pairs(grams, prefix).union(pairs(rarest, grams)).distinct()
-    a, b = F.col("_dkey"), F.col("_rkey")
-    common = F.size(F.array_intersect(T.grams(b), T.grams(a)))
-    looks = F.contains(a, b) | F.contains(b, a) | ((common >= 2) & (common * 4 / F.length(b) >= 0.4))
-    both_known = F.col("total").isNotNull() & F.col("_rtotal").isNotNull()
-    widths = F.coalesce(F.col("_width") == F.col("_rwidth"), F.lit(True))
-    hit = both.filter(looks & (~both_known | widths)).select(*shape).distinct()
-    same = [cand[c].eqNullSafe(hit[c]) if c in ("total", "_width") else cand[c] == hit[c] for c in shape]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    return cand.join(hit, condition, "left_semi").select(row_id).distinct()
-
+# -- other listings ----------------------------------------------------------
 
 def replacement_candidates(products: DataFrame, hits: DataFrame, key: str, times: int) -> DataFrame:
     """First hits of another item with at least ``times`` the reviews.

@@ -9,6 +9,7 @@ from ..functions.arrow import nfkc_lower
 from ..operators import additions as A
 from ..operators import matching as M
 from ..operators import offers as O
+from ..operators import same_products as SP
 from ..sources import hits as H
 from . import fixtures as fx
 from .registry import query
@@ -233,7 +234,7 @@ def same_product_ngram(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("orig_idx") % 5 != 0, F.col("total")).otherwise(none).alias("total"))
     existing = products.select(
         "article_id", "name", F.when(F.col("orig_idx") % 7 != 0, F.col("total")).otherwise(none).alias("total"))
-    return M.same_product(cand, existing, "article_id", "orig_idx")
+    return SP.same_product(cand, existing, "article_id", "orig_idx")
 
 
 # -- additions ---------------------------------------------------------------

@@ -172,39 +172,6 @@ def test_related_with_a_tag_on_all_articles_makes_no_pairs(spark):
     assert counts[0] < 12 * 200 and counts[1] < 5 * counts[0]
 
 
-def test_same_product_matches_brute_force(spark):
-    import random
-
-    rnd = random.Random(5)
-    stems = ["alphabet soup", "alphabet stew", "betamax tape", "gamma ray lamp", "soup", "alpha"]
-    size = "struct<total:double,unit:string>"
-    cand = [("x" if i % 3 else "y", i, rnd.choice(stems) + rnd.choice(["", " new", " lamp", " tape zz"]),
-             rnd.choice([None, (1.0, "g"), (2.0, "g")])) for i in range(80)]
-    exist = [("x" if i % 2 else "y", rnd.choice(stems) + rnd.choice(["", " old", " ray"]),
-              rnd.choice([None, (1.0, "g"), (2.0, "g")])) for i in range(40)]
-
-    def key(name):
-        return name.replace(" ", "")
-
-    def grams(k):
-        return {k[i:i + 4] for i in range(len(k) - 3)}
-
-    def same(c, e):
-        a, b = key(c[2]), key(e[1])
-        if min(len(a), len(b)) < 4:
-            return False
-        shared = len(grams(b) & grams(a))
-        if not (a in b or b in a or (shared >= 2 and shared * 4 / len(b) >= 0.4)):
-            return False
-        return c[3] is None or e[2] is None or c[3] == e[2]
-
-    want = {c[1] for c in cand if any(c[0] == e[0] and same(c, e) for e in exist)}
-    got = M.same_product(
-        spark.createDataFrame(cand, f"article_id string, row_id int, name string, total {size}"),
-        spark.createDataFrame(exist, f"article_id string, name string, total {size}"), "article_id", "row_id")
-    assert {r.row_id for r in got.collect()} == want
-
-
 def test_line_numbers_over_splits(spark, tmp_path):
     lines = [f'{{"n": {i}, "pad": "{"x" * (i % 37)}"}}' for i in range(4000)]
     (tmp_path / "deep").mkdir()
