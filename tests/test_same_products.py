@@ -94,17 +94,18 @@ def test_a_shared_phrase_brings_no_pairs(spark):
     """One block of long names with one phrase: rows grow with the names, and no pair is listed for the phrase."""
     rnd = random.Random(3)
 
-    def rows(n, phrase):
+    def rows(n, phrase, side):
         out = []
         for i in range(n):
-            own = "".join(chr(0x4E00 + rnd.randrange(4000)) for _ in range(22))
-            out.append(("x", own[:11] + phrase + own[11:], "*", ["*"]))
+            own = "".join(chr(0x4E00 + rnd.randrange(4000)) for _ in range(20))
+            edge = 0xAC00 + 2 * (n * side + i)  # no neighbour of the phrase occurs twice
+            out.append(("x", own[:10] + chr(edge) + phrase + chr(edge + 1) + own[10:], "*", ["*"]))
         return spark.createDataFrame(out, "article_id string, _dkey string, _sig string, _tokens array<string>")
 
     # two grams of three needed ones: not a match, and no meeting
-    left, right = rows(800, "QRSTU"), rows(800, "QRSTU")
+    left, right = rows(800, "QRSTU", 0), rows(800, "QRSTU", 1)
     assert SP._meetings(*SP._pair_rows(left, right, "article_id"), "article_id").count() == 0
     assert SP._covered_by_piece(left, right, "article_id").count() == 0
     # four grams: all match, by a shared piece
-    left, right = rows(800, "QRSTUVW"), rows(800, "QRSTUVW")
+    left, right = rows(800, "QRSTUVW", 0), rows(800, "QRSTUVW", 1)
     assert SP._covered_by_piece(left, right, "article_id").count() == 800
