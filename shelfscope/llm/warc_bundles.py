@@ -16,12 +16,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import scratch_path
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+_RUN_FRAMES = 32  # neighbouring frames that one task reads with one look at the seek table
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _HTTP = b"HTTP/1.1 200 OK\r\n\r\n"
 _URN = "urn:page:"
@@ -122,6 +123,27 @@ def parse(data: bytes, at: int = 0) -> tuple[tuple, int]:
     return row, stop + 4
 
 
+def _uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` on the session's default file system, as tasks on any machine must name it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    uri = store.makeQualified(path).toUri().toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
+
+
+def _spread(spots: DataFrame) -> DataFrame:
+    """Index rows by runs of neighbouring frames, over as many tasks as the frames call for.
+
+    The number is given to Spark, which would otherwise merge rows of a few bytes, however much they lead to.
+    """
+    run = F.floor(F.col("frame") / _RUN_FRAMES)
+    runs = spots.select("bundle", run).distinct().count()
+    frames = spots.select("bundle", "frame").distinct().count()
+    tasks = max(runs, min(frames, spots.sparkSession.sparkContext.defaultParallelism), 1)
+    by = [F.col("bundle"), run] if runs == tasks else [F.col("bundle"), F.col("frame")]
+    return spots.repartition(tasks, *by).sortWithinPartitions("bundle", "frame")
+
+
 def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [[]] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -139,6 +161,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, min_revisit_bytes
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
+    uri = _uri(spark, folder)
     body = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("payload")).withColumn("digest", F.sha1("payload"))
     first = rows.where(f"page_id is not null and octet_length(payload) >= {int(min_revisit_bytes)}").groupBy("digest").agg(
@@ -148,7 +171,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, min_revisit_bytes
                         ("offset", pa.int64()), ("length", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(uri)
         out = writer = name = None
         for batch in batches:
             index = []
@@ -169,7 +192,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, min_revisit_bytes
             writer.close()
 
     rows.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
-    return spark.read.schema(INDEX).parquet(f"{folder}/index").withColumn("folder", F.lit(folder))
+    return spark.read.schema(INDEX).parquet(f"{folder}/index").withColumn("folder", F.lit(uri))
 
 
 _RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
@@ -177,30 +200,36 @@ _RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("p
 
 
 def read_bundles(index: DataFrame, payloads: bool = False) -> DataFrame:
-    """All records of the indexed bundles, frame by frame; payloads come along if asked for."""
-    names = index.select("folder", "bundle").distinct()
-    names = names.repartition("bundle")
+    """All records of the indexed frames; payloads come along if asked for.
+
+    A bundle is read by as many tasks as its frames call for, each through the seek table.  No index rows give none.
+    """
+    frames = _spread(index.select("folder", "bundle", "frame").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = bundle = last = None
         for batch in batches:
-            for folder, name in zip(*[c.to_pylist() for c in batch.columns]):
-                store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-                with store.open_input_file(f"{root}/{name}") as file:
+            for folder, name, frame in zip(*[c.to_pylist() for c in batch.columns]):
+                if (folder, name) != last:
+                    if file is not None:
+                        file.close()
+                    store, root = fs.FileSystem.from_uri(folder)
+                    file, last = store.open_input_file(f"{root}/{name}"), (folder, name)
                     bundle = BundleReader(file)
-                    for i in range(len(bundle.sizes)):
-                        data, at, rows = bundle.frame(i), 0, []
-                        while at < len(data):
-                            row, at = parse(data, at)
-                            rows.append(row if payloads else (*row[:-1], None))
-                        yield _columns(rows, _RECORD)
+                data, at, rows = bundle.frame(frame), 0, []
+                while at < len(data):
+                    row, at = parse(data, at)
+                    rows.append(row if payloads else (*row[:-1], None))
+                yield _columns(rows, _RECORD)
+        if file is not None:
+            file.close()
 
-    return names.mapInArrow(run, RECORD)
+    return frames.mapInArrow(run, RECORD)
 
 
 def read_records(index: DataFrame) -> DataFrame:
     """Only the records of the given index rows: one frame is decompressed for each frame in demand."""
-    spots = index.select("folder", "bundle", "frame", "offset")
-    spots = spots.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    spots = _spread(index.select("folder", "bundle", "frame", "offset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, data = None, b""
@@ -208,7 +237,7 @@ def read_records(index: DataFrame) -> DataFrame:
             rows = []
             for folder, name, frame, offset in zip(*[c.to_pylist() for c in batch.columns]):
                 if (name, frame) != last:
-                    store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+                    store, root = fs.FileSystem.from_uri(folder)
                     with store.open_input_file(f"{root}/{name}") as file:
                         data, last = BundleReader(file).frame(frame), (name, frame)
                 rows.append(parse(data, offset)[0])

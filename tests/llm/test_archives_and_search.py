@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfscope.llm import vp_tree as vt, warc_bundles as wb
@@ -33,6 +34,18 @@ def test_bundles_round_trip(spark, tmp_path):
     assert {r.record_type for r in small.collect()} == {"response"}
 
 
+def test_a_bundle_is_read_by_several_tasks(spark, tmp_path):
+    """One bundle of 40 frames: every frame once, over more than one task, also for a few records of it."""
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 300) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    index = wb.write_bundles(pages, str(tmp_path / "one"), frame_bytes=500)
+    assert index.select("bundle").distinct().count() == 1 and index.select("frame").distinct().count() == 40
+    assert index.first().folder.startswith("file:///")
+    for read, n in ((wb.read_bundles(index), 40), (wb.read_records(index.where("page_id % 2 = 0")), 20)):
+        got = read.withColumn("task", F.spark_partition_id()).collect()
+        assert len({r.page_id for r in got}) == len(got) == n
+        assert len({r.task for r in got}) > 1
+
+
 def brute(ids, x, query_ids, q, k):
     out = []
     for i, v in zip(query_ids, q):
