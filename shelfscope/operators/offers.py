@@ -217,8 +217,8 @@ def offer_summary(offers: DataFrame, key: str) -> DataFrame:
 _FIELDS = ["price", "rating", "review_count", "image_url", "available"]
 
 
-def upsert_offers(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Merge incoming offers into the current ones.
+def upsert_offers(current: DataFrame, incoming: DataFrame, key: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Merge incoming offers into the current ones; ``carry`` names columns that an inserted offer brings and others keep.
 
     Of several offers of one key and provider the first one, by ``pos`` where the table has it, else by
     its values, takes part on either side; other current offers pass through unchanged.
@@ -236,9 +236,9 @@ def upsert_offers(current: DataFrame, incoming: DataFrame, key: list[str]) -> Da
         order = ["pos"] if "pos" in df.columns else [x for x in [*names, *flags] if x in df.columns]
         return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
-    cur = places(current).select(*keys, "_place", F.struct(*names).alias("c"))
+    cur = places(current).select(*keys, "_place", F.struct(*names, *carry).alias("c"))
     new = places(incoming).where("_place = 1").select(
-        *keys, "_place", F.struct(*[n for n in names if n != "match_status"], *flags).alias("n"))
+        *keys, "_place", F.struct(*[n for n in names if n != "match_status"], *flags, *carry).alias("n"))
     # only first places meet; a later current offer finds no partner and is kept
     both = cur.join(new, [*keys, "_place"], "full_outer")
     c, n = F.col("c"), F.col("n")
@@ -278,6 +278,7 @@ def upsert_offers(current: DataFrame, incoming: DataFrame, key: list[str]) -> Da
         F.when(written, n["updated_at"]).otherwise(c["updated_at"]).alias("updated_at"),
         F.when(new_id, F.coalesce(n["catalogue_id"], c["catalogue_id"]))
         .otherwise(c["catalogue_id"]).alias("catalogue_id"),
+        *[F.when(a == "insert", n[x]).otherwise(c[x]).alias(x) for x in carry],
         written.alias("changed"),
         F.when(a == "locked", F.concat(F.lit("offer is in "), status))
         .when(a == "other_url", "matched offer keeps its link")
@@ -303,38 +304,38 @@ def invalidate_offers(offers: DataFrame, changes: DataFrame, key: list[str], pro
     }).drop("_notes")
 
 
-def offer_decisions(evaluated: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+def offer_decisions(evaluated: DataFrame, existing: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """What to do with each searched product: upsert, review or nothing.
 
-    ``evaluated``: key, query_idx, pos, url, ok, reason, strict.  Of several
-    hits with one link the first counts.  A matched offer whose link was
-    rejected goes to review, or is replaced when another candidate was taken.
+    ``evaluated``: key, query_idx, pos, url, ok, reason, strict.  Of several hits with one link the first
+    counts, and the search ends with the first accepted one.  A matched offer whose link was rejected until
+    then goes to review, or is replaced when another candidate was taken.  ``carry`` names columns of the
+    accepted hit that come along as ``selected``.
     """
     order = [F.col("query_idx"), F.col("pos")]
     seen = first_per(evaluated, [key, "url"], order)
-    taken = seen.filter("ok").groupBy(key).agg(
-        F.min_by(F.struct("url", "strict"), F.struct(*order)).alias("_t"))
+    place = F.struct(*order)
+    taken = seen.groupBy(key).agg(
+        F.min_by(F.struct("url", "strict", place.alias("place"), *carry), F.when(F.col("ok"), place)).alias("_t"),
+    ).withColumn("_t", F.when(F.col("_t.place").isNotNull(), F.col("_t")))
     matched = existing.filter(
         (F.col("provider") == "yahoo")
         & (F.coalesce(F.nullif(F.col("match_status"), F.lit("")), F.lit("matched")) == "matched")
     ).groupBy(key).agg(F.min_by("url", "pos").alias("matched_url"))
-    # the matched link may come back under any query, in either order
-    rejected = (
-        seen.filter(~F.col("ok")).select(key, "url", "reason")
-        .join(matched, key).filter(F.col("url") == F.col("matched_url"))
-        .select(key, F.col("reason").alias("rejected_reason"))
-    )
-    searched = seen.select(key).distinct()
-    was = F.col("rejected_reason").isNotNull()
+    held = taken.join(matched, key, "left")
+    # a link stands once per product, so at most one hit is the matched one
+    hit = seen.filter(~F.col("ok")).select(
+        key, F.col("url").alias("matched_url"), place.alias("_place"), F.col("reason").alias("rejected_reason"))
+    both = held.join(hit, [key, "matched_url"], "left")
+    was = F.col("rejected_reason").isNotNull() & F.coalesce(F.col("_place") < F.col("_t.place"), F.lit(True))
     url = F.col("_t.url")
-    return (
-        searched.join(taken, key, "left").join(matched, key, "left").join(rejected, key, "left")
-        .select(
-            key,
-            F.when(url.isNotNull(), "upsert").when(was, "review").otherwise("none").alias("action"),
-            url.alias("selected_url"),
-            F.when(url.isNotNull(), F.coalesce(F.col("_t.strict"), F.lit(False))).alias("strict"),
-            (was & F.coalesce(url != F.col("matched_url"), F.lit(False))).alias("force"),
-            "rejected_reason",
-        )
+    out = both.select(
+        key,
+        F.when(url.isNotNull(), "upsert").when(was, "review").otherwise("none").alias("action"),
+        url.alias("selected_url"),
+        F.when(url.isNotNull(), F.coalesce(F.col("_t.strict"), F.lit(False))).alias("strict"),
+        (was & F.coalesce(url != F.col("matched_url"), F.lit(False))).alias("force"),
+        F.when(was, F.col("rejected_reason")).alias("rejected_reason"),
+        *([F.struct(*[F.col(f"_t.{c}") for c in carry]).alias("selected")] if carry else []),
     )
+    return out

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["prices", "offers", "catalogue", "text", "matching", "jobs", "ledger", "refresh"]
+FAMILIES = ["prices", "offers", "catalogue", "text", "matching", "jobs", "ledger", "refresh", "offer_sync"]
 
 
 def load_all() -> None:
