@@ -27,14 +27,14 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 _SIGNS = re.escape("".join(LOOKALIKES))
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_FRONT, _BACK = re.compile(r"^[\W_]+"), re.compile(r"[\W_]+$")
 _EDGE_SIGN = re.compile(rf"^[{_SIGNS}]+[^\W\d_]|[^\W\d_][{_SIGNS}]+$")
-_DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}*.\-_]+[^\W\d_]|[{_SIGNS}]+[^\W\d_]|[^\W\d_][0-9@$]+|([^\W\d_])\1\1")
+_DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}*.\-_]+[^\W\d_]|[{_SIGNS}][^\W\d_]|[^\W\d_][0-9@$]+|([^\W\d_])\1\1")
 # Single letters, digits or signs that resemble letters, apart from each other, between punctuation or space.
 _GAP = r"[\s.\-_*]{1,3}"
 _SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:{_GAP}(?:[^\W_]|[{_SIGNS}])){{2,}}(?![^\W_])")
 _MEMBER = re.compile(rf"({_GAP})?([^\W_]|[{_SIGNS}])")
+# Letters of a reading that stand in one piece, and what begins a further piece.
+_PART, _MORE = 128, "\0"
 _N = 28  # classes: 0 edge, 1 to 26 a to z, 27 any other letter
 _CODES = bytes([0 if not (chr(b).isalpha() or b > 127) else 27 if b > 127 else ord(chr(b).lower()) - 96 for b in range(256)])
 # Channel costs, natural logs: look-alike, dropped repeat, dropped sign, a sign at an end as punctuation (some
@@ -86,7 +86,7 @@ def prefixes(known) -> frozenset[str]:
     return frozenset(w[:i] for w in known for i in range(1, len(w) + 1))
 
 
-def restore(token: str, model: list, known=(), beam: int = 48, readings_kept: int = 3, begun=frozenset()) -> str:
+def restore(token: str, model: list, known=(), beam: int = 48, readings_kept: int = 3, begun=frozenset(), part: int = _PART) -> str:
     """The likeliest reading of a disguised token: Viterbi over its lattice, a state being the last two classes.
 
     A reading among the ``known`` marked words has a prior of its own: such words are what is disguised.
@@ -95,18 +95,25 @@ def restore(token: str, model: list, known=(), beam: int = 48, readings_kept: in
     """
     lead, tail = _ends(token)
     ends = [i < lead or i >= tail for i in range(len(token))]
-    return _decode(token, ends, [None] * len(token), model, known, beam, readings_kept, begun)[-1]
+    return _decode(token, ends, [None] * len(token), model, known, beam, readings_kept, begun, part=part)[-1]
 
 
 def _ends(token: str) -> tuple[int, int]:
-    """Where the signs in front of a token end and where those behind it begin."""
-    return len(token) - len(_FRONT.sub("", token)), len(_BACK.sub("", token))
+    """Where the signs in front of a token end and where those behind it begin; signs alone are all front."""
+    lead, tail = 0, len(token)
+    while lead < tail and not token[lead].isalnum():
+        lead += 1
+    while tail and not token[tail - 1].isalnum():
+        tail -= 1
+    return lead, tail
 
 
 def _decode(chars, ends: list[bool], breaks: list[float | None], model: list, known, beam: int, readings_kept: int,
-            begun, each: float = 0.0) -> list[str]:
+            begun, each: float = 0.0, part: int = _PART) -> list[str]:
     """Words of the best path.  ``ends`` are the signs that may be punctuation; ``breaks`` is what it costs to
-    begin a new word before a character, None where none can begin; ``each`` adds to the prior by letter."""
+    begin a new word before a character, None where none can begin; ``each`` adds to the prior by letter.
+    A reading of over ``part`` letters, more than any known word has, goes on in a further piece, so that the
+    time grows with the length of the token and not with its square."""
     # state: (class before last, last class) -> the best readings that end there: (log probability, word) -> words before
     states: dict[tuple[int, int], dict[tuple[float, str], tuple | None]] = {(0, 0): {(0.0, ""): None}}
     before = ""
@@ -130,7 +137,10 @@ def _decode(chars, ends: list[bool], breaks: list[float | None], model: list, kn
             for (p, word), done in readings.items():
                 for x, cost in options:
                     k = ord(x) - 96 if "a" <= x <= "z" else 27
-                    then.setdefault((b, k), {}).setdefault((p + cost + row[k], word + x), done)
+                    if len(word) < part:
+                        then.setdefault((b, k), {}).setdefault((p + cost + row[k], word + x), done)
+                    else:
+                        then.setdefault((b, k), {}).setdefault((p + cost + row[k], _MORE + x), (done, word))
                 if drop is not None:
                     then.setdefault((a, b), {}).setdefault((p + drop, word), done)
         top = sorted(((max(r), s) for s, r in then.items()), reverse=True)
@@ -150,11 +160,18 @@ def _decode(chars, ends: list[bool], breaks: list[float | None], model: list, kn
     while done is not None:
         done, word = done
         out.append(word)
-    return out[::-1]
+    words: list[list[str]] = []
+    for piece in reversed(out):
+        if piece.startswith(_MORE):
+            words[-1].append(piece[1:])
+        else:
+            words.append([piece])
+    return ["".join(pieces) for pieces in words]
 
 
 def plain(token: str) -> str:
-    return _EDGE.sub("", token)
+    lead, tail = _ends(token)
+    return token[lead:tail]
 
 
 class Reader:
@@ -163,6 +180,7 @@ class Reader:
     def __init__(self, scorer: Scorer):
         self.model, self.known = scorer.model.tolist(), scorer.weights
         self.begun = prefixes(self.known)
+        self.part = max([_PART, *[len(word) + 1 for word in self.known]])
         self.memo = Bounded(self._read)
 
     def _read(self, token: str) -> str:
@@ -174,7 +192,7 @@ class Reader:
         if word.isalpha() and bare == word and not _DISGUISED.search(word):
             return word
         if _DISGUISED.search(bare) or _EDGE_SIGN.search(bare):
-            return restore(bare, self.model, self.known, begun=self.begun)
+            return restore(bare, self.model, self.known, begun=self.begun, part=self.part)
         return word
 
     def spaced(self, low: str) -> list[str]:
@@ -188,12 +206,13 @@ class Reader:
                 breaks = [None] + [_BREAK if len(gap) == usual else 0.0 for gap, _ in members[1:]]
                 lead, tail = _ends("".join(chars))
                 ends = [i < lead or i >= tail for i in range(len(chars))]
-                out += _decode(chars, ends, breaks, self.model, self.known, 48, 3, self.begun, _EACH)
+                out += _decode(chars, ends, breaks, self.model, self.known, 48, 3, self.begun, _EACH, self.part)
         return out
 
     def words(self, text: str) -> list[str]:
         low = text.lower()
-        return [*map(self.memo.__getitem__, low.split()), *self.spaced(low)]
+        tokens = [self.memo[t] if len(t) <= _PART else self._read(t) for t in low.split()]
+        return [*tokens, *self.spaced(low)]
 
 
 @dataclass

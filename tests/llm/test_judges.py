@@ -162,3 +162,27 @@ def test_a_repeated_id_is_not_collected(spark, monkeypatch):
     dl.fit(docs, labels)
     de.fit(docs, labels)
     assert seen == [40, 40]
+
+
+def test_long_tokens_cost_time_by_length_only():
+    """Readings beyond one piece stay whole, pieces change no reading, and no form of token is quadratic."""
+    import time
+
+    rng = np.random.default_rng(8)
+    model = np.log(rng.dirichlet(np.ones(28), (28, 28)) + 1e-9).tolist()
+    for token in ("st" + "u" * 400 + "p1d" * 150, "a0" * 300, "".join(rng.choice(list("abc013@$"), 500))):
+        whole = de.restore(token, model, part=10_000)
+        assert len(whole) > 128 and de.restore(token, model) == whole and de.restore(token, model, part=7) == whole
+    scorer = de.Scorer.__new__(de.Scorer)
+    scorer.model, scorer.weights = np.array(model), {"stupid": 1.0}
+    reader = de.Reader(scorer)
+
+    def seconds(token):
+        t0 = time.perf_counter()
+        reader.words(token)
+        return time.perf_counter() - t0
+
+    for form in ("a1", "!", "0", "a!", "ab", "_a"):
+        small, large = seconds(f"x{form * 4_000}y"), seconds(f"x{form * 32_000}y")
+        assert large < 24 * small + 1.0, form
+    assert reader.words("st" + "u" * 300 + "pid s t u p i d")[-1] == "stupid"
