@@ -16,8 +16,15 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
     return docs.toDF(*names.values()), ask, [F.col(n).alias(c) for c, n in names.items()]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of a few megabytes, so that a task's memory does not grow with their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below one half."""
+    _small_batches(spark)
     scorer = deobfuscate.fit(docs, table(spark, sf_dir, "labels"))
     rows, ask, back = _numbered(docs)
     return deobfuscate.score(rows, scorer, **ask).where("predicted = 0").select(*back)
@@ -25,6 +32,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the decision list learned from the labels."""
+    _small_batches(spark)
     rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
     rows, ask, back = _numbered(docs)
     return decision_list.judge_quality(rows, rules, **ask).where("kept").select(*back)
@@ -33,9 +41,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their near copies: five-word shingles of Jaccard similarity 0.8 or more.
 
-    One row of each group stays, that of the smallest id; rows without id come last, ties go by text and then
+    The popcount grid of op10 links near fingerprints and the shingles confirm them; MinHash bands bring in the
+    similar pairs that differ in more bits.  One row of each group stays, that of the smallest id; rows without id come last, ties go by text and then
     by the row's number in a written table.  Rows of one id that are no near copies all stay.
     """
+    _small_batches(spark)
     rows, ask, back = _numbered(docs)
     doc_id, text = ask["doc_id"], ask["text"]
     rows = cut_lineage(jaccard_dedup.prints(rows.withColumn("_row", F.monotonically_increasing_id()), text))
@@ -48,6 +58,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in sequences of 2048 tokens."""
+    _small_batches(spark)
     return best_fit.pack_documents(docs, vocabulary_file("byte_bpe_50k.json"))
 
 

@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose, the shingles decide."""
+"""Near-duplicates by the Jaccard similarity of word shingles.
+
+The popcount grid of ``popcount_dedup`` links near fingerprints first, MinHash bands propose what differs in more
+bits, and the shingles themselves decide on every link.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import popcount_dedup
 from .common import components, cut_lineage, present
 from .popcount_dedup import shingles
 
@@ -47,21 +52,26 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def prints(docs: DataFrame, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """All columns and ``_set``, the hash of the shingle set, ``_n``, its size, and ``_bands``."""
+    """All columns and ``_set``, the hash of the shingle set, ``_n``, its size, ``_bands``, and ``_fp``, the SimHash."""
     import xxhash
 
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, shingle) for t in present(batch.column(at).to_pylist())]
-            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), _SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], [*names, "_set", "_n", "_bands"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):  # bounds the memory of the sets
+                batch = whole.slice(start, 1024)
+                texts = present(batch.column(at).to_pylist())
+                sets = [shingle_set(t, shingle) for t in texts]
+                ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), _SEED) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(ids), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
+                     pa.array([popcount_dedup.fingerprint(t, shingle) for t in texts], pa.int64())],
+                    [*names, "_set", "_n", "_bands", "_fp"])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return docs.mapInArrow(run, kept + "_set long, _n long, _bands array<long>")
+    return docs.mapInArrow(run, kept + "_set long, _n long, _bands array<long>, _fp long")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -103,30 +113,60 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` whose sets are similar."""
+    pairs = pairs.join(sets.select(F.col("_set").alias("a"), F.col("hashes").alias("p")), "a")
+    pairs = pairs.join(sets.select(F.col("_set").alias("b"), F.col("hashes").alias("q")), "b")
+    both = F.size(F.array_intersect("p", "q"))
+    return pairs.where((100 + percent) * both >= percent * (F.size("p") + F.size("q"))).select("a", "b")
+
+
+def _near_prints(one: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets that the popcount grid brings together: near fingerprints, by their smallest sets,
+    and equal ones, each with the smallest set of its own."""
+    held = one.where("_n > 0").select("_set", "_n", "_fp")
+    heads = cut_lineage(held.groupBy("_fp").agg(F.min(F.struct("_set", "_n")).alias("head")))
+    near = popcount_dedup.links(heads.select(F.col("_fp").alias("fp")))
+    near = near.join(heads.select(F.col("_fp").alias("a"), F.col("head").alias("x")), "a").join(
+        heads.select(F.col("_fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    same = held.join(heads, "_fp").where("_set <> head._set").select(
+        F.col("head").alias("x"), F.struct("_set", "_n").alias("y"))
+    pairs = near.unionByName(same).where(_close(F.col("x._n"), F.col("y._n"), percent))
+    return pairs.select(F.least("x._set", "y._set").alias("a"), F.greatest("x._set", "y._set").alias("b")).distinct()
+
+
 def links(docs: DataFrame, text: str, percent: int = PERCENT, shingle: int = SHINGLE, listed: int = LISTED,
           part: int = PART) -> DataFrame:
-    """Links ``a``, ``b`` between sets of ``docs`` (``_row``, text, ``_set``, ``_n``, ``_bands``) that connect all
-    similar ones which share a band.
+    """Links ``a``, ``b`` between sets of ``docs`` (``_row``, text, ``_set``, ``_n``, ``_bands``, ``_fp``) that connect
+    all similar ones which share a band or stand within the popcount grid's bits.
 
-    Cells of one set are dropped.  Of cells of at most ``listed`` sets all pairs are listed once and compared
-    by their shingles.  A larger cell is cut by hash, and each pair of its parts is a task of its own, which
-    gives links that span the same components.
+    The grid's links are confirmed by the shingles and contracted; cells whose sets they connect drop out, as do
+    cells of one set.  Of cells of at most ``listed`` sets all pairs between components are listed once and
+    compared by their shingles.  A larger cell is cut by hash, and each pair of its parts is a task of its own,
+    which gives links that span the same components.
     """
-    one = docs.groupBy("_set").agg(F.min("_row").alias("_row"))
+    about = docs.groupBy("_set").agg(F.min(F.struct("_row", "_n", "_fp")).alias("r")).select("_set", "r.*")
+    one = about.select("_set", "_row")
+    near = cut_lineage(_near_prints(about, percent))
     spots = docs.join(one, ["_set", "_row"], "left_semi").select(F.explode("_bands").alias("cell"), "_set", "_n")
     sizes = spots.groupBy("cell").count().where("count > 1")
     spots = cut_lineage(spots.join(sizes, "cell"))
-    wanted = one.join(spots.select("_set").distinct(), "_set", "left_semi")
+    asked = spots.select("_set").unionByName(near.select(F.explode(F.array("a", "b")).alias("_set"))).distinct()
+    wanted = one.join(asked, "_set", "left_semi")
     sets = cut_lineage(_sets(docs.join(wanted.select("_row"), "_row", "left_semi").select("_set", text), shingle))
+    near = cut_lineage(_confirmed(near, sets, percent))
+
+    roots = components(near).withColumnRenamed("node", "_set")
+    spots = spots.join(roots, "_set", "left").withColumn("root", F.coalesce("root", "_set"))
+    apart = spots.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
+    spots = cut_lineage(spots.join(apart, "cell"))
 
-    few = spots.where(f"count <= {listed}").groupBy("cell").agg(F.collect_list(F.struct("_set", "_n")).alias("s"))
+    few = spots.where(f"count <= {listed}").groupBy("cell").agg(F.collect_list(F.struct("_set", "_n", "root")).alias("s"))
     pairs = few.select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y"))
-    pairs = pairs.where((F.col("x._set") < F.col("y._set")) & _close(F.col("x._n"), F.col("y._n"), percent))
+    pairs = pairs.where((F.col("x._set") < F.col("y._set")) & (F.col("x.root") != F.col("y.root"))
+                        & _close(F.col("x._n"), F.col("y._n"), percent))
     pairs = pairs.select(F.col("x._set").alias("a"), F.col("y._set").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("_set").alias("a"), F.col("hashes").alias("p")), "a")
-    pairs = pairs.join(sets.select(F.col("_set").alias("b"), F.col("hashes").alias("q")), "b")
-    both = F.size(F.array_intersect("p", "q"))
-    pairs = pairs.where((100 + percent) * both >= percent * (F.size("p") + F.size("q"))).select("a", "b")
+    pairs = near.unionByName(_confirmed(pairs, sets, percent))
 
     many = spots.where(f"count > {listed}").withColumn("parts", F.ceil(F.col("count") / part))
     own = F.pmod(F.xxhash64("_set"), F.col("parts"))

@@ -1,6 +1,8 @@
 from collections import Counter, defaultdict
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from shelfscope.llm import jaccard_dedup as jd
 from shelfscope.llm.common import components, cut_lineage
@@ -98,3 +100,24 @@ def test_near_dedup_goes_by_rows(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(parts, "n")
         assert {(r.doc_id, r.text) for r in cp.near_dedup(spark, docs, NEAR).collect()} == {(3, a + " end"), (7, b), (None, c)}
         assert cp.near_dedup(spark, docs, NEAR).count() == 3
+
+
+def test_near_dedup_goes_through_the_popcount_grid(spark, monkeypatch):
+    """The grid's links alone connect near copies and equal fingerprints; a near fingerprint of another text links nothing."""
+    from shelfscope.llm import popcount_dedup
+
+    seen, links = [], popcount_dedup.links
+    monkeypatch.setattr(popcount_dedup, "links", lambda fps, *a: seen.append(fps.count()) or links(fps, *a))
+    words = [f"w{i}" for i in range(900)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join([*words, "other"]), "some other text of seven words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    rows = cut_lineage(jd.prints(docs, "text").withColumn("_bands", F.array().cast("array<long>")))
+    roots = jd.roots(rows, "text").collect()
+    assert seen and len(roots) == 3 and len({r.root for r in roots}) == 1
+    forged = cut_lineage(rows.withColumn("_fp", F.lit(5).cast("long")).withColumn("_n", F.lit(9).cast("long")))
+    assert jd.roots(forged.where("_row in (0, 3)"), "text").count() == 0
+
+
+def test_stages_hand_over_small_batches(spark):
+    cp.near_dedup(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
