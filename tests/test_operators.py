@@ -395,3 +395,22 @@ def test_piece_counts_by_precedence(spark):
     rows = [(t,) for t in want]
     got = spark.createDataFrame(rows, "t string").select("t", N.sales_count(F.col("t")).alias("n")).collect()
     assert {r.t: r.n for r in got} == want
+
+
+def test_sorted_rows_go_to_as_many_tasks_as_their_count_asks_for(spark, monkeypatch, tmp_path):
+    """Rows of one key that compress to almost nothing are not merged into one task by their bytes."""
+    from shelfscope.operators import numbering as B
+    from shelfscope.operators import phrases as P
+
+    monkeypatch.setattr(B, "PIECE_ROWS", 100)
+    df = spark.range(2000).select(F.lit("k").alias("k"), "id", F.lit("low").alias("text"))
+    placed = P.place_entries(df, "k", [F.col("id")])
+    assert placed.agg(F.max("at")).first()[0] == 1999 * 4 - 1
+    index = P.write_index(P.gram_index(placed, "k"), str(tmp_path / "grams"))
+    rows = index.groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in rows) == 2000 * 4 - 1 and max(r["count"] for r in rows) < 200
+    cut = []
+    real = B.cut_lineage
+    monkeypatch.setattr(B, "cut_lineage", lambda d: cut.append(real(d)) or cut[-1])
+    B.prefix_sums(df, ["k"], [F.col("id")], F.lit(1), "n")
+    assert max(r["count"] for r in cut[-1].groupBy("_piece").count().collect()) < 200
