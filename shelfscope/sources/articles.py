@@ -35,7 +35,7 @@ def _yaml_to_json(front: pd.Series) -> pd.Series:
 
     import yaml
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         """Scalars of the JSON schema only: null, true and false, integers, floats; all else stays text."""
 
     kinds = {
@@ -119,6 +119,11 @@ def explode_offers(products: DataFrame) -> DataFrame:
         o["matchStatus"].alias("match_status"), o["matchNotes"].alias("match_notes"))
 
 
+def product_offers(products: DataFrame) -> DataFrame:
+    """All product columns beside each offer ``offer``, in one pass; a product without offers is one row without."""
+    return products.select("*", F.explode_outer("offers").alias("offer")).drop("offers")
+
+
 def category_table(records: DataFrame) -> DataFrame:
     d = F.col("data")
     return records.select(

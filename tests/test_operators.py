@@ -414,3 +414,17 @@ def test_sorted_rows_go_to_as_many_tasks_as_their_count_asks_for(spark, monkeypa
     monkeypatch.setattr(B, "cut_lineage", lambda d: cut.append(real(d)) or cut[-1])
     B.prefix_sums(df, ["k"], [F.col("id")], F.lit(1), "n")
     assert max(r["count"] for r in cut[-1].groupBy("_piece").count().collect()) < 200
+
+
+def test_products_with_offers_parse_each_article_once(spark):
+    import __spark_entry__ as entry
+    from shelfscope.sources import articles as A
+
+    from .conftest import SF
+
+    plan = entry.queries()["explode_products"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    front = "products:\n  - {name: a, offers: [{url: u}, {url: v}]}\n  - {name: b, offers: []}\n  - {name: c}\ntitle: \tt"
+    files = spark.createDataFrame([(f"{d}/one.md", f"---\n{front}\n---\n") for d in "xy"], "path string, content string")
+    rows = A.product_offers(A.explode_products(A.article_table(A.parse_front_matter(files)[0]))).collect()
+    assert sorted((r.name, r.offer and r.offer.url or "") for r in rows) == sorted([("a", "u"), ("a", "v"), ("b", ""), ("c", "")] * 2)
