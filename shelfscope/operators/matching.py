@@ -68,16 +68,20 @@ def staged_lookup(products: DataFrame, hits: DataFrame, key: str) -> DataFrame:
 
 
 def reconcile(products: DataFrame, hits: DataFrame, key: str) -> DataFrame:
-    """Each product beside its own hit, else the first hit marked as another item."""
+    """Each product beside its own hit, else the first hit marked as another item.
+
+    Both joins are merge joins: hits grow with the products, but Spark would judge them by the size of the
+    compressed files they are derived from and send all of them through the driver.
+    """
     wanted = products.withColumn("code", U.listed_code(F.col("base_url")))
     mine = hits.select(key, "pos", F.col("name").alias("hit_name"), F.col("price").alias("hit_price"),
                        U.listed_code(F.col("item_url")).alias("_code"))
-    joined = wanted.filter("code IS NOT NULL").select(key, "code").join(mine, key)
+    joined = wanted.filter("code IS NOT NULL").select(key, "code").join(mine.hint("merge"), key)
     other = ~F.coalesce(F.col("_code") == F.col("code"), F.lit(False))
     best = joined.groupBy(key).agg(F.min_by(
         F.struct("hit_name", "hit_price", other.alias("_other")), F.struct(other, "pos")).alias("_b"))
     return (
-        wanted.join(best, key, "left")
+        wanted.join(best.hint("merge"), key, "left")
         .withColumn("hit_name", F.when(F.col("code").isNull(), "URLエラー")
                     .otherwise(F.coalesce("_b.hit_name", F.lit("ERROR: 0件"))))
         .withColumn("hit_price", F.col("_b.hit_price"))

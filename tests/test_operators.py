@@ -428,3 +428,13 @@ def test_products_with_offers_parse_each_article_once(spark):
     files = spark.createDataFrame([(f"{d}/one.md", f"---\n{front}\n---\n") for d in "xy"], "path string, content string")
     rows = A.product_offers(A.explode_products(A.article_table(A.parse_front_matter(files)[0]))).collect()
     assert sorted((r.name, r.offer and r.offer.url or "") for r in rows) == sorted([("a", "u"), ("a", "v"), ("b", ""), ("c", "")] * 2)
+
+
+def test_reconciled_products_are_not_broadcast(spark):
+    import __spark_entry__ as entry
+
+    from .conftest import SF
+
+    df = entry.queries()["reconcile_urls"](spark, SF)
+    assert df.count() == 200
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
