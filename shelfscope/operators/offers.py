@@ -315,19 +315,19 @@ def offer_decisions(evaluated: DataFrame, existing: DataFrame, key: str, carry:
     order = [F.col("query_idx"), F.col("pos")]
     seen = first_per(evaluated, [key, "url"], order)
     place = F.struct(*order)
-    taken = seen.groupBy(key).agg(
-        F.min_by(F.struct("url", "strict", place.alias("place"), *carry), F.when(F.col("ok"), place)).alias("_t"),
-    ).withColumn("_t", F.when(F.col("_t.place").isNotNull(), F.col("_t")))
     matched = existing.filter(
         (F.col("provider") == "yahoo")
         & (F.coalesce(F.nullif(F.col("match_status"), F.lit("")), F.lit("matched")) == "matched")
     ).groupBy(key).agg(F.min_by("url", "pos").alias("matched_url"))
-    held = taken.join(matched, key, "left")
-    # a link stands once per product, so at most one hit is the matched one
-    hit = seen.filter(~F.col("ok")).select(
-        key, F.col("url").alias("matched_url"), place.alias("_place"), F.col("reason").alias("rejected_reason"))
-    both = held.join(hit, [key, "matched_url"], "left")
-    was = F.col("rejected_reason").isNotNull() & F.coalesce(F.col("_place") < F.col("_t.place"), F.lit(True))
+    # hits are read once; a link stands once per product, so at most one hit is the matched one
+    held = ~F.col("ok") & (F.col("url") == F.col("matched_url"))
+    both = seen.join(matched, key, "left").groupBy(key).agg(
+        F.min_by(F.struct("url", "strict", place.alias("place"), *carry), F.when(F.col("ok"), place)).alias("_t"),
+        F.max("matched_url").alias("matched_url"),
+        F.max(F.when(held, F.struct(place.alias("place"), "reason"))).alias("_held"),
+    ).withColumn("_t", F.when(F.col("_t.place").isNotNull(), F.col("_t")))
+    both = both.withColumn("rejected_reason", F.col("_held.reason"))
+    was = F.col("rejected_reason").isNotNull() & F.coalesce(F.col("_held.place") < F.col("_t.place"), F.lit(True))
     url = F.col("_t.url")
     out = both.select(
         key,
