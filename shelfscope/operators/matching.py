@@ -8,7 +8,7 @@ from ..functions import capacity as C
 from ..functions import names as N
 from ..functions import text as T
 from ..functions import urls as U
-from ..functions.arrow import nfkc_lower
+from ..functions.arrow import nfkc_lower, with_nfkc_lower
 from ..functions.patterns import TIMES, WS, WS_SET
 from .numbering import first_per, top_per
 
@@ -95,15 +95,13 @@ def reconcile(products: DataFrame, hits: DataFrame, key: str) -> DataFrame:
 def prepare_products(products: DataFrame, key: str) -> DataFrame:
     """Product side: tokens, brand tokens, total and sides, once per product."""
     variants = F.transform(F.coalesce("brand_variants", F.array().cast("array<string>")), T.search_keyword)
-    df = products.select(
+    df = with_nfkc_lower(products.select(
         key, F.col("name").alias("p_name"), F.col("capacity").alias("p_capacity"),
-        F.nullif("brand", F.lit("")).alias("p_brand"), "base_url",
-        nfkc_lower(T.search_keyword(F.col("name"))).alias("_kw"),
-        nfkc_lower(T.search_keyword(F.col("brand"))).alias("_b1"),
-        nfkc_lower(F.col("brand")).alias("_b2"),
-        nfkc_lower(F.array_join(variants, _SEP)).alias("_b3"),
-        nfkc_lower(F.col("capacity")).alias("_size"),
-    )
+        F.nullif("brand", F.lit("")).alias("p_brand"), F.col("brand").alias("_brand"), "brand_variants", "base_url",
+    ), {
+        "_kw": T.search_keyword(F.col("p_name")), "_b1": T.search_keyword(F.col("_brand")),
+        "_b2": F.col("_brand"), "_b3": F.array_join(variants, _SEP), "_size": F.col("p_capacity"),
+    })
     df = C.with_norm(df, "p_capacity", "p_norm")
     long_enough = [
         F.filter(F.transform(F.regexp_extract_all("_b2", F.lit(r"\(([^)]+)\)"), 1), N.trimmed),
@@ -118,7 +116,7 @@ def prepare_products(products: DataFrame, key: str) -> DataFrame:
         F.concat(primary, *[F.coalesce(x, none) for x in long_enough]).alias("brand_tokens"),
         F.coalesce(F.filter(F.split("_b1", rf"[{WS_SET}・_\-]+"), lambda t: F.length(t) >= 2), none)
         .alias("brand_parts"),
-        T.single_item_sides(F.col("_size"), True).alias("p_sides"),
+        T.single_item_sides(F.col("_size"), True).alias("p_sides"), U.base_item_code(F.col("base_url")).alias("p_code"),
     )
 
 
@@ -126,7 +124,8 @@ def prepare_candidates(candidates: DataFrame) -> DataFrame:
     """Candidate side: composed text, size, link multiplier, once per row."""
     df = N.with_name_capacity(candidates, "name", "found")
     df = C.with_total(df, "found", "_raw").withColumns({
-        "text": nfkc_lower(F.col("name")), "times": U.quantity_multiplier(F.col("url"))})
+        "text": nfkc_lower(F.col("name")), "times": U.quantity_multiplier(F.col("url")),
+        "c_code": U.offer_item_code(F.col("url"))})
     held = F.array_contains(
         F.regexp_extract_all("found", F.lit(rf"[{TIMES}]{WS}*(\d+)"), 1), F.col("times").cast("string"))
     scaled = F.when((F.col("times") > 1) & ~held, C.size(
@@ -180,7 +179,7 @@ def evaluate_candidates(products: DataFrame, candidates: DataFrame, key: str) ->
         "same_sides": F.coalesce(
             (F.col("times") == 1) & (F.col("p_sides") == F.col("c_sides")), F.lit(False)),
         "same_size": C.same_total(F.col("p_norm"), F.col("c_norm")),
-        "url_identity": U.same_code(F.col("base_url"), F.col("url")),
+        "url_identity": U.is_same_code(F.col("p_code"), F.col("c_code")),
         **{f"_{k}": v for k, v in checks.items()},
     })
     no_size = F.coalesce(F.col("p_capacity") == "", F.lit(True))
