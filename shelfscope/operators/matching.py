@@ -23,16 +23,21 @@ _DONATION_NAME = "ふるさと納税|ふるさと|寄付|寄附|返礼品"
 _DONATION_SHOP_NAME = "ふるさと納税|furusato"
 
 
-def regular_listings(hits: DataFrame) -> DataFrame:
-    """Drop donation listings by shop link, item name and shop name."""
+def is_regular() -> Column:
+    """Not a donation listing, by shop link, item name and shop name."""
     blank = F.lit("")
 
     def found(column: str, pattern: str) -> Column:
         return F.coalesce(F.col(column), blank).rlike(pattern)
 
-    return hits.filter(~(
+    return ~(
         found("shop_url", _DONATION_SHOP) | found("item_url", _DONATION_SHOP)
-        | found("name", _DONATION_NAME) | found("shop_name", _DONATION_SHOP_NAME)))
+        | found("name", _DONATION_NAME) | found("shop_name", _DONATION_SHOP_NAME))
+
+
+def regular_listings(hits: DataFrame) -> DataFrame:
+    """Drop donation listings."""
+    return hits.filter(is_regular())
 
 
 def first_hits(products: DataFrame, hits: DataFrame, key: str) -> DataFrame:
@@ -48,20 +53,37 @@ def first_hits(products: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _leads_to(want: Column, column: str) -> Column:
+    """A link, decoded if need be, goes to the item."""
+    fragment = F.concat(F.lit("/"), want["shop"], F.lit("/"), want["item"])
+    link = F.coalesce(F.try_url_decode(column), F.col(column))
+    return F.coalesce(F.contains(link, F.concat(fragment, F.lit("/"))) | F.endswith(link, fragment), F.lit(False))
+
+
+def found_items(wanted: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """Per product with hits: how many (``_n``), its first regular one (``_first``), its own item (``_own``).
+
+    ``wanted``: the key and ``_want``, the item of the product's link or NULL.  Hits move once, to their product,
+    by a merge join: Spark would judge them by the size of the compressed files they come from.
+    """
+    hit = F.struct(*[c for c in hits.columns if c != key])
+    regular = is_regular()
+    own = F.coalesce(regular & F.col("_want").isNotNull() & (
+        _leads_to(F.col("_want"), "item_url") | _leads_to(F.col("_want"), "affiliate_url")), F.lit(False))
+    marked = hits.hint("merge").join(wanted, key).select(
+        key, hit.alias("_hit"), F.when(regular, F.struct("pos")).alias("_at"), F.when(own, F.struct("stage", "pos")).alias("_own_at"))
+    return marked.groupBy(key).agg(
+        F.count("*").alias("_n"), F.min_by("_hit", "_at").alias("_first"), F.min_by("_hit", "_own_at").alias("_own"))
+
+
 def staged_lookup(products: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     """The product's own item among landed searches; the earliest stage wins.
 
     A hit counts if its item or affiliate link leads to the product's item.
     """
     wanted = products.select(key, U.item_parts(F.col("base_url")).alias("_want")).filter("_want IS NOT NULL")
-    fragment = F.concat(F.lit("/"), F.col("_want.shop"), F.lit("/"), F.col("_want.item"))
-
-    def leads(column: str) -> Column:
-        link = F.coalesce(F.try_url_decode(column), F.col(column))
-        return F.coalesce(
-            F.contains(link, F.concat(fragment, F.lit("/"))) | F.endswith(link, fragment), F.lit(False))
-
-    own = regular_listings(hits).join(wanted, key).filter(leads("item_url") | leads("affiliate_url"))
+    want = F.col("_want")
+    own = regular_listings(hits).join(wanted, key).filter(_leads_to(want, "item_url") | _leads_to(want, "affiliate_url"))
     fields = [c for c in hits.columns if c != key]
     return own.groupBy(key).agg(
         F.min_by(F.struct(*fields), F.struct("stage", "pos")).alias("_h")).select(key, "_h.*")

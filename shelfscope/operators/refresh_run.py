@@ -22,17 +22,20 @@ KEY = ["article_id", "orig_idx"]
 _TAKEN = {"rating": "rating", "review_count": "review_count", "affiliate_url": "base_url", "image_url": "image_url"}
 
 
-def hit_digests(hits: DataFrame, key: str = "orig_idx") -> DataFrame:
-    """One number per product over all its landed hits, whatever their order in the files."""
-    row = F.xxhash64(F.struct(*sorted(hits.columns))).cast("decimal(20,0)")
-    return hits.groupBy(key).agg(F.sum(row).cast("decimal(38,0)").alias("digest"), F.count("*").alias("n"))
+def moved_products(before: DataFrame, after: DataFrame, key: str = "orig_idx") -> DataFrame:
+    """Products whose landed hits differ, whatever their order in the files: counts and sums of row digests."""
+    def rows(hits: DataFrame, sign: int) -> DataFrame:
+        digest = F.xxhash64(F.struct(*sorted(hits.columns))).cast("decimal(20,0)")
+        return hits.select(key, F.lit(sign).alias("_n"), (digest * sign).cast("decimal(21,0)").alias("_digest"))
+
+    both = rows(before, -1).unionByName(rows(after, 1)).groupBy(key).agg(
+        F.sum("_n").alias("_n"), F.sum("_digest").alias("_digest"))
+    return both.where("_n <> 0 OR _digest <> 0").select(key)
 
 
 def reached_articles(products: DataFrame, before: DataFrame, after: DataFrame, unsettled: DataFrame) -> DataFrame:
     """Articles whose products have other landed hits than before, and the unsettled ones; one row each."""
-    old = hit_digests(before).select("orig_idx", F.struct("digest", "n").alias("_old"))
-    new = hit_digests(after).select("orig_idx", F.struct("digest", "n").alias("_new"))
-    moved = old.join(new, "orig_idx", "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new"))).select("orig_idx")
+    moved = moved_products(before, after)
     return products.select(*KEY).join(moved, "orig_idx", "left_semi").select("article_id").unionByName(
         unsettled.select("article_id")).distinct()
 
@@ -43,20 +46,17 @@ def look_up(products: DataFrame, hits: DataFrame, key: str = "orig_idx") -> Data
     A product with an item link takes that item, found by the earliest stage, if its name agrees; no other item
     stands in for it.  A product without such a link takes the first regular hit.
     """
-    own = M.staged_lookup(products, hits, key)
-    fields = [c for c in hits.columns if c != key]
-    own = own.select(key, F.struct(*fields).alias("_own"))
-    linked = U.item_parts(F.col("base_url")).isNotNull()
-    first = M.first_hits(products.withColumn("_linked", F.coalesce(linked, F.lit(False))), hits, key).withColumnRenamed("hit", "_first")
-    found = first.join(own, key, "left")
+    looked = products.withColumn("_want", U.item_parts(F.col("base_url")))
+    found = M.found_items(looked.select(key, "_want"), hits, key)
+    joined = looked.withColumn("_linked", F.col("_want").isNotNull()).join(found, key, "left")
     agrees = T.same_name(T.distinctive_tokens(F.col("name")), F.col("_own.name"))
     failure = (
         F.when(F.col("_linked") & F.col("_own").isNull(), "own item not confirmed")
         .when(F.col("_linked") & ~F.coalesce(agrees, F.lit(False)), "name of own item differs")
-        .when(~F.col("_linked") & F.col("_first").isNull(), F.col("status")))
-    return found.withColumn("failure", failure).withColumns({
+        .when(~F.col("_linked") & F.col("_first").isNull(), F.when(F.col("_n") > 0, "only excluded").otherwise("none found")))
+    return joined.withColumn("failure", failure).withColumns({
         "hit": F.when(F.col("failure").isNull(), F.when(F.col("_linked"), F.col("_own")).otherwise(F.col("_first"))),
-        "exact": F.col("_linked")}).drop("_own", "_first", "_linked", "status")
+        "exact": F.col("_linked")}).drop("_own", "_first", "_linked", "_want", "_n")
 
 
 def judge_run(products: DataFrame, articles: DataFrame, hits: DataFrame, frozen: DataFrame, reached: DataFrame | None = None) -> DataFrame:
@@ -69,11 +69,14 @@ def judge_run(products: DataFrame, articles: DataFrame, hits: DataFrame, frozen:
     if reached is not None:
         at = at.join(reached, "article_id", "left_semi")
     mine = products.join(at, "article_id")
+    if reached is not None:
+        mine = cut_lineage(mine)  # few of all products; they are asked for below, and their hits
     my_hits = hits.join(mine.select("orig_idx"), "orig_idx", "left_semi") if reached is not None else hits
     looked = look_up(mine, my_hits).join(frozen.select(*KEY, F.lit(True).alias("frozen")), KEY, "left")
-    asked = looked.withColumns({
+    # the texts are read apart from the rows
+    asked = cut_lineage(looked.withColumns({
         "item_name": F.col("hit.name"), "item_price": F.col("hit.price"), "item_url": F.col("hit.item_url"),
-        "frozen": F.coalesce("frozen", F.lit(False))})
+        "frozen": F.coalesce("frozen", F.lit(False))}))
     decided = P.decide_fields(asked, F.col("target_unit"))
     none = F.col("hit").isNull()
     kept = {f"after_{c}": F.when(none, F.col(c)).otherwise(F.col(f"after_{c}")) for c in ("price", "capacity", "price_per_unit")}
@@ -99,11 +102,13 @@ def run_tables(judged: DataFrame, now: DataFrame, articles: DataFrame, as_of: Co
     taken = {c[6:]: F.col(c) for c in judged.columns if c.startswith("after_") and c[6:] in _TAKEN.values()}
     out = P.refresh_articles(judged.withColumns(taken), articles, max_rank)
     new = cut_lineage(out["products"].select(*KEY, "rank", "name", "price", "capacity", "price_per_unit", "review_count", "base_url"))
-    removed = now.join(out["removed"].select(*KEY), KEY, "left_semi")
+    # the judged rows hold the products as they were, so the catalogue is not read again
+    before = judged.select(*now.columns)
+    removed = before.join(out["removed"].select(*KEY), KEY, "left_semi")
     rest = [c for c in now.columns if c not in new.columns or c in KEY]
     others = judged.withColumns(taken).select(*rest)
     after = new.join(others, KEY).select(*[F.col(c).cast(now.schema[c].dataType).alias(c) for c in now.columns])
-    old = now.select(*KEY, F.struct(*now.columns).alias("_old"))
+    old = before.select(*KEY, F.struct(*now.columns).alias("_old"))
     moved = after.join(old, KEY, "left").where(~F.struct(*now.columns).eqNullSafe(F.col("_old"))).drop("_old")
     changes = moved.withColumn("gone", F.lit(False)).unionByName(removed.withColumn("gone", F.lit(True)))
     return {
