@@ -12,9 +12,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls as U
+from ..session import cut_lineage
 from .decisions import match_fields
 from .numbering import row_numbers
 
@@ -141,7 +143,7 @@ def fold_decisions(lines: DataFrame, articles: DataFrame, products: DataFrame, w
     by falling rank, then the rest.  Outcome rows have ``file, line_no, raw, article_id, outcome, effect,
     message``; change rows have ``article_id, orig_idx, gone`` and the new fields.  ``lines`` are tolerant lines,
     ``products`` need ``article_id, orig_idx, rank, name``.  Rows move once, by article, sorted; lines that belong
-    to no article are spread by their number.  The lines are read twice, so they should be a written table.
+    to no article are spread by their number.  The lines are parsed once into a written table.
     """
     df = match_fields(lines)
     c = F.col
@@ -156,7 +158,8 @@ def fold_decisions(lines: DataFrame, articles: DataFrame, products: DataFrame, w
     df = df.withColumn("_pre", pre)
     no_article = F.concat_ws("\u0001", F.lit(""), F.pmod(F.xxhash64("file", "line_no"), F.lit(4096)).cast("string"))
     texts = [f for f in FIELDS if f not in _KINDS]
-    asked = df.select(
+    # read for the articles they ask for, and as lines
+    asked = cut_lineage(df.select(
         F.when(c("_pre.o").isNull() | (c("_pre.o") == "pending"), c("article_id")).otherwise(no_article).alias("key"),
         F.lit(LINE).alias("tag"), "file",
         F.when(c("action") == "replace", 0).when(c("action") == "review", 1).otherwise(2).alias("cls"),
@@ -164,7 +167,7 @@ def fold_decisions(lines: DataFrame, articles: DataFrame, products: DataFrame, w
         c("line_no").cast("long").alias("line_no"), "raw", "article_id", c("_pre.o").alias("pre"), c("_pre.m").alias("pre_message"),
         c("rank").cast("long").alias("rank"), "action", "decision", F.nullif("current_name", F.lit("")).alias("current_name"),
         "reason", F.coalesce(U.is_web_url(c("new_url")), F.lit(False)).alias("url_ok"),
-        *[c(f).cast(_KINDS.get(f, "string")).alias(f) for f in (*texts, *_KINDS)])
+        *[c(f).cast(_KINDS.get(f, "string")).alias(f) for f in (*texts, *_KINDS)]))
     # only articles that lines ask for move
     touched = asked.where("pre IS NULL").select("key").distinct()
     there = articles.select(F.col("article_id").alias("key"), F.lit(ARTICLE).alias("tag")).join(touched, "key", "left_semi")
@@ -174,7 +177,6 @@ def fold_decisions(lines: DataFrame, articles: DataFrame, products: DataFrame, w
     rows = asked.unionByName(there, allowMissingColumns=True).unionByName(held, allowMissingColumns=True)
     order = ["key", "tag", "file", "cls", "place", "line_no"]
     rows = rows.repartition("key").sortWithinPartitions(*order)
-    names = [x.split()[0] for x in f"{OUTCOME}, {CHANGE}".split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in f"{OUTCOME}, {CHANGE}".split(", ")])
 
@@ -184,6 +186,7 @@ def fold_decisions(lines: DataFrame, articles: DataFrame, products: DataFrame, w
             column = dict(zip(batch.schema.names, batch.columns))
             keys, tags = column["key"].to_pylist(), column["tag"].to_pylist()
             place, rank, name = (column[x].to_pylist() for x in ("place", "rank", "current_name"))
+            said = iter(batch.filter(pc.equal(column["tag"], LINE)).to_pylist())
             for i, (k, tag) in enumerate(zip(keys, tags)):
                 if k != key:
                     if mine:
@@ -192,17 +195,17 @@ def fold_decisions(lines: DataFrame, articles: DataFrame, products: DataFrame, w
                 if tag == ARTICLE:
                     known = True
                 elif tag == LINE:
-                    mine.append({x: column[x][i].as_py() for x in batch.schema.names})
+                    mine.append(next(said))
                 elif mine:
                     state = state or Article(mine)
                     state.add(place[i], rank[i], name[i])
                 if len(out) >= 5000:
-                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in out], schema)
+                    yield pa.RecordBatch.from_pylist(out, schema)
                     out = []
         if mine:
             out.extend(_output(key, known, mine, state or Article(mine)))
         if out:
-            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in out], schema)
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     return rows.mapInArrow(run, f"{OUTCOME}, {CHANGE}")
 
@@ -225,7 +228,8 @@ def changed_products(folded: DataFrame, products: DataFrame) -> DataFrame:
     new = {old: F.coalesce(F.col(f).cast(products.schema[old].dataType), F.col(old))
            for f, old in FIELDS.items() if old in products.columns}
     is_changed = F.col("gone").isNotNull()
-    mine = mine.withColumns({**new, "gone": gone, "_changed": is_changed}).where("_changed OR _cut")
+    # counted, numbered and read for the deleted rows
+    mine = cut_lineage(mine.withColumns({**new, "gone": gone, "_changed": is_changed}).where("_changed OR _cut"))
     left = row_numbers(mine.where("NOT gone"), ["article_id"], [F.col("orig_idx")], "_new")
     left = left.withColumn("rank", F.when(F.col("_cut"), F.col("_new").cast(products.schema["rank"].dataType)).otherwise(F.col("rank")))
     columns = [*products.columns, "gone"]

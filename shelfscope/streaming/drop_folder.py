@@ -72,7 +72,7 @@ def match_tables(as_of: Column) -> ledger.Derive:
     def derive(judged: DataFrame, now: DataFrame) -> dict[str, DataFrame]:
         lines = L.outcomes(judged)
         changes = L.changed_products(judged, now)
-        gone = changes.where("gone").select("article_id", "orig_idx")
+        gone = judged.where("outcome IS NULL AND gone").select(*ledger.KEY)
         removed = now.join(gone, ledger.KEY, "left_semi")
         return {
             "outcomes": lines, "files": D.finalize_files(lines), "changes": changes,
