@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import capacity as C
 from ..functions import urls as U
+from ..session import cut_lineage
 from ..sources.jsonl import number_at, text_at
 from .numbering import first_per, row_numbers
 
@@ -44,6 +45,9 @@ def route_decisions(
     All lines are judged against the same state of the catalogue.  Of several
     lines for one product the first in application order counts (replacements,
     then reviews by falling rank), the others go to review.
+
+    All joins are merge joins: articles, products and lines grow together, and tables just below Spark's
+    threshold for a broadcast would all go through the driver.
     """
     df = match_fields(lines)
     named = products.groupBy("article_id", "name").agg(F.count("*").alias("_same"))
@@ -52,9 +56,9 @@ def route_decisions(
         "article_id", "rank", F.col("name").alias("_name"), "orig_idx")
     known = articles.select("article_id").withColumn("_known", F.lit(True))
     df = (
-        df.join(known, "article_id", "left").join(at_rank, ["article_id", "rank"], "left")
-        .join(sizes, "article_id", "left")
-        .join(named.withColumnRenamed("name", "_name"), ["article_id", "_name"], "left")
+        df.join(known.hint("merge"), "article_id", "left").join(sizes.hint("merge"), "article_id", "left")
+        .join(at_rank.hint("merge"), ["article_id", "rank"], "left")
+        .join(named.withColumnRenamed("name", "_name").hint("merge"), ["article_id", "_name"], "left")
     )
     c = F.col
     no_product = c("_name").isNull() | c("current_name").isNull()
@@ -89,6 +93,8 @@ def route_decisions(
         "_class": F.when(c("action") == "replace", 0).when(c("action") == "review", 1).otherwise(2),
         "_back": F.when(c("action") == "review", -F.coalesce("rank", F.lit(0))).otherwise(0),
     })
+    # judged once, read for the lines that win and for all
+    df = cut_lineage(df.drop("_name", "_same", "_known", "body"))
     # first line per product wins; an article keeps its last product
     order = [c("_class"), c("_back"), c("file"), c("line_no")]
     acts = df.filter("effect IN ('replace', 'delete')")
@@ -100,18 +106,19 @@ def route_decisions(
             F.max(F.struct("_class", "_back", "file", "line_no")).alias("_last"))
         .filter("_d >= _all").select("_last.file", "_last.line_no")
     )
-    done = winners.select("file", "line_no").join(spared, ["file", "line_no"], "left_anti").withColumn(
+    done = winners.select("file", "line_no").join(spared.hint("merge"), ["file", "line_no"], "left_anti").withColumn(
         "_done", F.lit(True))
-    return df.join(done, ["file", "line_no"], "left").withColumn(
+    return df.join(done.hint("merge"), ["file", "line_no"], "left").withColumn(
         "effect", F.when(c("effect").isin("replace", "delete") & c("_done").isNull(), "review")
         .otherwise(c("effect"))
-    ).withColumn("message", c("_failed")).drop("_failed", "_name", "_n", "_same", "_known", "_done", "body")
+    ).withColumn("message", c("_failed")).drop("_failed", "_n", "_done")
 
 
 def application_order(routed: DataFrame) -> DataFrame:
     """``apply_seq`` per file and article: replacements, reviews by falling rank, others."""
+    # counted and numbered
     return row_numbers(
-        routed.filter("article_id <> ''"), ["file", "article_id"],
+        cut_lineage(routed.filter("article_id <> ''")), ["file", "article_id"],
         [F.col("_class"), F.col("_back"), F.col("line_no")], "apply_seq")
 
 
