@@ -116,7 +116,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cell_part: int = CELL_PART)
     keys = [F.xxhash64(F.lit(i), F.col("point").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(max_bits))]
     spots = spots.select(F.explode(F.array(*keys)).alias("cell"), "fp", "point")
     sizes = spots.groupBy("cell").count().where("count > 1")
-    spots = spots.join(sizes, "cell").withColumn("parts", F.ceil(F.col("count") / cell_part))
+    # Spark sizes the exploded cells like the fingerprints, and both sides seem small enough to broadcast
+    spots = spots.join(sizes.hint("merge"), "cell").withColumn("parts", F.ceil(F.col("count") / cell_part))
     own = F.pmod(F.xxhash64("fp"), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(
         F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
@@ -172,8 +173,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = cut_lineage(fingerprints(docs, doc_id, text, shingle))
     least = cut_lineage(prints.groupBy("fp").agg(F.min(doc_id).alias("least")))
     roots = components(links(least.select("fp"), max_bits))
-    placed = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # merge joins: these tables have a row for each fingerprint, and Spark would size them by their compressed files
+    placed = least.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp"))
     heads = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = placed.join(heads, "root").select("fp", "component_id")
+    found = placed.join(heads.hint("merge"), "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(found, "fp").select(doc_id, hexed.alias("fingerprint"), "component_id")
+    return prints.join(found.hint("merge"), "fp").select(doc_id, hexed.alias("fingerprint"), "component_id")

@@ -319,3 +319,13 @@ def test_op10_with_ids_of_another_type(spark, kind):
     assert got.schema["doc_id"].dataType.simpleString() == got.schema["component_id"].dataType.simpleString() == kind
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got.collect()) == [
         ("3", "3"), ("5", "5"), ("7", "3"), ("None", "None")]
+
+
+def test_op10_broadcasts_no_fingerprints(spark):
+    """Spark sizes exploded cells like the fingerprints they come from, and tables by their compressed files."""
+    docs = spark.createDataFrame([(i, f"a b c d e {i // 2}") for i in range(60)], "doc_id long, text string")
+    got = pd.near_duplicates(docs)
+    cells = pd.links(got.select(F.conv("fingerprint", 16, -10).cast("long").alias("fp")).distinct())
+    for df in (got, cells):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.component_id <= r.doc_id) for r in got.collect()} == {(i, True) for i in range(60)}
